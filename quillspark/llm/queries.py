@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, quality, secrets, simhash, token_counts, toxicity
+from quillspark.llm import licenses, packing, quality, secrets, simhash, token_counts, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.token_counts import tokenizer_path
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_token_counts, op6_simhash_golay, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op4_token_counts, op6_simhash_golay, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op1_license_scan.__name__: licenses.ORACLE_SQL}
