@@ -25,8 +25,9 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def batch_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column without nulls, and where each text starts (one more than texts)."""
-    column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
+    """The bytes of a string or binary column without nulls, and where each value starts (one more than values)."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, licenses, packing, quality, secrets, simhash, token_counts, toxicity
+from quillspark.llm import decontamination, licenses, packing, quality, secrets, simhash, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.token_counts import tokenizer_path
 
@@ -31,6 +31,10 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
