@@ -10,7 +10,8 @@ judged on the input.
    which windows it serves and what they hold. Of equal contexts, all but the first lose all
    windows of the anchor; batches settle that among their own texts before the shuffle.
 2. Shards. Anchors with several contexts send the bytes of their windows, of the first of
-   each context, to the shard that the anchor's hash names. A shard is one text on disk; its
+   each context, to the shard that the anchor's hash names. There, windows are left out whose
+   surroundings of the anchor no other context has. What is left is one text on disk; its
    suffixes are sorted by induction with their common prefixes (see induced_sort), and runs
    of windows with `length` common bytes are equal windows: all but the first go. Anchors of
    more than most_contexts contexts are split: each window goes to the shard of its own hash,
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from quillspark.llm.induced_sort import Scratch, SuffixSorter
 
 GRAM = 32
 SEGMENT = 1 << 21
+QUARTERS = 4
 PLACE = np.uint64((1 << 22) - 1)
 BORDER = 0xFF  # not in UTF-8
 NO_ID = np.iinfo(np.int64).min
@@ -62,7 +65,7 @@ def _totals(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram hash, context hash, first window, last window) of the anchors of one text, in parts."""
+    """(gram hash, context hash, first window, last window, place) of the anchors of one text, in parts."""
     n, w = len(raw), length - GRAM + 1
     for a in range(0, n - length + 1, SEGMENT):
         lo = max(0, a - w + 1)
@@ -89,7 +92,7 @@ def anchors(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         first, last, at = first[own], last[own], at[own]
         left, right = np.maximum(at - w + 1, 0), np.minimum(at + length, len(part))
         context = _mixed(_hash(total, left, right) + _mixed((at - left).astype(np.uint64) << np.uint64(32) | (right - left).astype(np.uint64)))
-        yield g[at], context, lo + first, lo + last
+        yield g[at], context, lo + first, lo + last, lo + at
 
 
 def _first_of(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
@@ -117,19 +120,19 @@ def _anchor_rows(length: int) -> Callable:
                     parts.append((*part, np.full(len(part[0]), ids[i]), np.full(len(part[0]), ths[i])))
             if not parts:
                 continue
-            gram, context, lo, hi, doc, th = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gram, context, lo, hi, at, doc, th = (np.concatenate(x) for x in zip(*parts, strict=True))
             one = _first_of([gram, context, doc, th, lo], [doc])  # rows that repeat id and text
-            gram, context, lo, hi, doc, th = (x[one] for x in (gram, context, lo, hi, doc, th))
+            gram, context, lo, hi, at, doc, th = (x[one] for x in (gram, context, lo, hi, at, doc, th))
             known = ~_first_of([gram, context], [doc, th, lo])
             gram = np.where(known, _mixed(doc.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)), gram)
-            cols = [gram.view(np.int64), context.view(np.int64), doc, th, lo.astype(np.int32), (hi - lo).astype(np.int16), known]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "context", "doc_id", "th", "lo", "more", "known"])
+            cols = [gram.view(np.int64), context.view(np.int64), doc, th, lo.astype(np.int32), (hi - lo).astype(np.int16), (at - lo).astype(np.int16), known]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "context", "doc_id", "th", "lo", "more", "anchor", "known"])
 
     return run
 
 
 def _window_rows(length: int) -> Callable:
-    """Bytes of contended windows: (shard, doc_id, th, lo, bytes); with lo < 0, a window -1 - lo that goes at once."""
+    """Bytes of contended windows: (shard, doc_id, th, lo, anchor in the bytes or -1, bytes); with lo < 0, a window -1 - lo that goes at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,23 +144,72 @@ def _window_rows(length: int) -> Callable:
                 for x in spans:
                     lo, end = x["lo"], x["lo"] + x["more"] + length
                     if not x["hot"]:
-                        out.append((x["gram"], ids[i], ths[i], lo, data[at + lo : at + end]))
+                        out.append((x["gram"], ids[i], ths[i], lo, x["anchor"], data[at + lo : at + end]))
                     else:
-                        hot += [(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), ids[i], ths[i], s, piece) for s in range(lo, lo + x["more"] + 1) for piece in (data[at + s : at + s + length],)]
+                        hot += [(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), ids[i], ths[i], s, -1, piece) for s in range(lo, lo + x["more"] + 1) for piece in (data[at + s : at + s + length],)]
             best: dict[bytes, tuple] = {}
             for row in hot:
-                if (was := best.get(row[4])) and was[:4] != row[:4]:
+                if (was := best.get(row[5])) and was[:4] != row[:4]:
                     row, gone = min(row, was, key=lambda r: r[1:4]), max(row, was, key=lambda r: r[1:4])
-                    out.append((gone[0], *gone[1:3], -1 - gone[3], b""))
-                best[row[4]] = row
+                    out.append((gone[0], *gone[1:3], -1 - gone[3], -1, b""))
+                best[row[5]] = row
             out += best.values()
             for k in range(0, len(out), 20000):
                 cols = list(zip(*out[k : k + 20000], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["shard", "doc_id", "th", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["shard", "doc_id", "th", "lo", "anchor", "bytes"])
 
     return run
 
 
+def _quarters(length: int) -> list[tuple[int, int, int]]:
+    """(left, right, most): windows that have left to most bytes before their anchor hold left before it and right behind it."""
+    span = length - GRAM
+    q = -(-(span + 1) // QUARTERS)
+    return [(left, max(0, span - left - q + 1), min(span, left + q - 1)) for left in range(0, span + 1, q)]
+
+
+def _shared_keys(raw: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, shard: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each quarter a hash of the shard and of what its windows hold around the anchor; 0 where they lack it."""
+    total, out = _totals(raw), []
+    for k, (left, right, _) in enumerate(_quarters(length)):
+        at = offsets[:-1] + anchor
+        ok = (anchor >= left) & (at + GRAM + right <= offsets[1:])
+        h = np.zeros(len(anchor), np.uint64)
+        h[ok] = _mixed(_hash(total, at[ok] - left, at[ok] + GRAM + right) ^ _mixed(shard[ok].view(np.uint64) + np.uint64(k))) | np.uint64(1)
+        out.append(h)
+    return out
+
+
+def _shared_windows(anchor: np.ndarray, size: np.ndarray, keys: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each row that may be equal to another row's: its quarter's key is not alone.
+
+    Equal windows of an anchor have equal keys, so none is lost; rows without an anchor
+    (hot ones) keep all.
+    """
+    first, last = np.full(len(anchor), np.iinfo(np.int64).max), np.full(len(anchor), -1)
+    for h, (left, _, most) in zip(keys, _quarters(length), strict=True):
+        _, of, n = np.unique(h, return_inverse=True, return_counts=True)
+        shared = (h != 0) & (n[of] > 1)
+        first[shared] = np.minimum(first[shared], anchor[shared] - most)
+        last[shared] = np.maximum(last[shared], anchor[shared] - left)
+    whole = anchor < 0
+    first[whole], last[whole] = 0, size[whole] - length
+    return np.maximum(first, 0), np.minimum(last, size - length)
+
+
+def _joined(scratch: Scratch, path: Path, begin: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The parts (begin, size) of a file, each with a border behind it, as one text."""
+    source, text = np.memmap(path, np.uint8, "r"), scratch.array(int(start[-1]), np.uint8)
+    for k in range(0, len(begin), 8192):
+        part = slice(k, k + 8192)
+        n = size[part] + 1
+        where = np.repeat(begin[part] - (start[k] + np.concatenate([[0], np.cumsum(n)[:-1]])), n) + np.arange(start[k], start[k] + n.sum())
+        piece = source[np.minimum(where, len(source) - 1)]
+        piece[np.cumsum(n) - 1] = BORDER
+        text[start[k] : start[k] + len(piece)] = piece
+    return text
+
+
 def _later_windows(length: int, memory: int) -> Callable:
     """Sort one shard; the windows that are not the first of their kind, as ranges (doc_id, th, lo, hi)."""
 
@@ -173,27 +225,30 @@ def _later_windows(length: int, memory: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Scratch(memory) as scratch:
-            path, start, at, owner, gone = scratch.path(), [], 0, [], []
+            path, at, gone, rows = scratch.path(), 0, [], []
             with path.open("wb") as f:
                 for b in batches:
-                    doc, th, lo = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "lo"))
+                    doc, th, lo, anchor, shard = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "lo", "anchor", "shard"))
                     raw, offsets = batch_bytes(b.column("bytes"))
                     live = lo >= 0
-                    if not live.all():
-                        gone.append((doc[~live], th[~live], -1 - lo[~live]))
-                    size = np.diff(offsets)
-                    f.write(np.insert(raw, offsets[1:][live], BORDER).tobytes())
-                    size = size[live]
-                    start.append(at + np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if len(size) else np.empty(0, np.int64))
-                    at += int((size + 1).sum())
-                    owner.append((doc[live], th[live], lo[live]))
-            if gone:
+                    gone.append((doc[~live], th[~live], -1 - lo[~live]))
+                    f.write(raw.tobytes())
+                    rows.append([x[live] for x in (doc, th, lo, anchor, at + offsets[:-1], np.diff(offsets), *_shared_keys(raw, offsets, anchor, shard, length))])
+                    at += len(raw)
+            if not rows:
+                return
+            if sum(len(x[0]) for x in gone):
                 yield ranges(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            if not at:
+            doc, th, lo, anchor, begin, size, *keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+            del rows
+            first, last = _shared_windows(anchor, size, keys, length)
+            keep = first <= last
+            doc, th, lo, begin, first, last = (x[keep] for x in (doc, th, lo, begin, first, last))
+            lo, begin, size = lo + first, begin + first, last - first + length
+            if not len(lo):
                 return
-            text = np.fromfile(path, np.uint8) if at <= memory else np.memmap(path, np.uint8, "r")
-            start = np.append(np.concatenate(start), at).astype(np.int64)
-            doc, th, lo = (np.concatenate(x) for x in zip(*owner, strict=True))
+            start = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)
+            text, at = _joined(scratch, path, begin, size, start), int(start[-1])
             run_no, open_rows, found, held = 0, [], [], 0
             for place, common in SuffixSorter(text, scratch, length).descending():
                 row = np.searchsorted(start, place, side="right") - 1
@@ -253,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 200_
         raise ValueError(f"length is {2 * GRAM} at least")
     bounded_batches(docs.sparkSession)
     own = texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    rows = own.mapInArrow(_anchor_rows(length), "gram long, context long, doc_id long, th long, lo int, more short, known boolean")
+    rows = own.mapInArrow(_anchor_rows(length), "gram long, context long, doc_id long, th long, lo int, more short, anchor short, known boolean")
     in_order = Window.partitionBy("gram", "context").orderBy("doc_id", "th", "lo")
     by_gram = Window.partitionBy("gram")
     repeats = (
@@ -263,11 +318,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 200_
         .where(F.col("known") | F.col("later") | (F.col("contexts") > 1))
         .withColumn("goes", F.col("known") | F.col("later"))
     )
-    repeats = staged(repeats.select("gram", "doc_id", "th", "lo", "more", "goes", (F.col("contexts") > most_contexts).alias("hot")), "repeats")
+    repeats = staged(repeats.select("gram", "doc_id", "th", "lo", "more", "anchor", "goes", (F.col("contexts") > most_contexts).alias("hot")), "repeats")
     key = ["doc_id", "th"]
-    contended = repeats.where("not goes").groupBy(*key).agg(F.collect_list(F.struct("gram", "lo", "more", "hot")).alias("spans"))
+    contended = repeats.where("not goes").groupBy(*key).agg(F.collect_list(F.struct("gram", "lo", "more", "anchor", "hot")).alias("spans"))
     with_id = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    windows = with_id.join(contended, key).mapInArrow(_window_rows(length), "shard long, doc_id long, th long, lo long, bytes binary")
+    windows = with_id.join(contended, key).mapInArrow(_window_rows(length), "shard long, doc_id long, th long, lo long, anchor long, bytes binary")
     later = windows.repartition("shard").mapInArrow(_later_windows(length, memory), "doc_id long, th long, lo long, hi long")
     later = staged(later, "later")
     gone = repeats.where("goes").select(*key, F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("more")).cast("long").alias("hi")).unionByName(later)
