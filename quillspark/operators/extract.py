@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +13,11 @@ from quillspark.functions.names import parse_person_cell, people_of
 from quillspark.functions.text import feminize_surname, first_non_empty, fold_ascii, given_norm, split_people, split_place_house, status_of, strip
 from quillspark.operators.identity import keep_ids
 
-MENTION = T.StructType.fromDDL(
-    "role string, ordinal int, raw_text string, given_name string, surname string, given_norm string, surname_norm string, "
-    "maiden_norm string, sex string, occupation string, marital_status string, place_text string, birth_year int, age_text string, extra map<string,string>"
+_TEXTS = "raw_text given_name surname given_norm surname_norm maiden_norm sex occupation marital_status place_text".split()
+MENTION = T.StructType(
+    [T.StructField("role", T.StringType()), T.StructField("ordinal", T.IntegerType())]
+    + [T.StructField(f, T.StringType()) for f in _TEXTS]
+    + [T.StructField("birth_year", T.IntegerType()), T.StructField("age_text", T.StringType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))]
 )
 EVENT_TYPES = {"narozeni": "birth", "oddani": "marriage", "umrti": "death"}
 
@@ -36,8 +40,13 @@ def _cell(key: str) -> Column:
     return F.coalesce(F.try_element_at(F.col("cells"), F.lit(key)), F.lit(""))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: f may name it many times without the plan's code growing."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _place(key_or_text: str | Column) -> Column:
-    return split_place_house(_cell(key_or_text) if isinstance(key_or_text, str) else key_or_text)["place"]
+    return _once(_cell(key_or_text) if isinstance(key_or_text, str) else key_or_text, split_place_house)["place"]
 
 
 def _mention(role: str, p: Column, ordinal: Column | int = 0, **own: Column) -> Column:
@@ -63,13 +72,13 @@ def _or(a: Column, b: Column) -> Column:
 
 
 def _sex_of(cell: Column, otherwise: Column) -> Column:
-    s = fold_ascii(strip(cell))
-    return F.when(s.isin("chlapec", "muz", "m"), "m").when(s.isin("devce", "divka", "zena", "f", "z"), "f").otherwise(otherwise)
+    said = _once(fold_ascii(strip(cell)), lambda s: F.when(s.isin("chlapec", "muz", "m"), "m").when(s.isin("devce", "divka", "zena", "f", "z"), "f"))
+    return F.coalesce(said, otherwise)
 
 
 def _births(r: DataFrame) -> DataFrame:
     r = r.withColumns({k: parse_person_cell(_cell(c)) for k, c in (("__otec", "otec_jmeno_stav"), ("__matka", "matka_jmeno_rodice"), ("__dite", "dite_jmeno"), ("__babka", "babka"))})
-    r = r.withColumn("__kmotri", people_of(split_people(_cell("kmotri"))))
+    r = r.withColumn("__kmotri", people_of(_once(_cell("kmotri"), split_people)))
     otec, matka, dite, babka = (F.col(k)["p"] for k in ("__otec", "__matka", "__dite", "__babka"))
     has = {k: strip(_cell(c)) != "" for k, c in (("otec", "otec_jmeno_stav"), ("matka", "matka_jmeno_rodice"), ("dite", "dite_jmeno"), ("babka", "babka"))}
     name, norm = F.coalesce(otec["surname"], F.lit("")), F.coalesce(otec["surname_norm"], F.lit(""))
@@ -82,7 +91,7 @@ def _births(r: DataFrame) -> DataFrame:
             "matka", F.col("__matka"),
             _mention(
                 "matka", matka, sex=F.lit("f"), place_text=_or(matka["place"], _place("matka_bydliste")),
-                surname=F.when(inherits(matka), feminize_surname(name)).otherwise(matka["surname"]),
+                surname=F.when(inherits(matka), _once(name, feminize_surname)).otherwise(matka["surname"]),
                 surname_norm=F.when(inherits(matka), norm).otherwise(matka["surname_norm"]),
             ), has["matka"],
         ),
@@ -90,10 +99,10 @@ def _births(r: DataFrame) -> DataFrame:
             has["dite"],
             _mention(
                 "dite", dite, raw_text=_cell("dite_jmeno"), given_name=given, sex=sex,
-                given_norm=F.when(dite["given"] == "", given_norm(given)).otherwise(dite["given_norm"]),
-                surname=F.when(inherits(dite) & (sex == "f"), feminize_surname(name)).when(inherits(dite), name).otherwise(dite["surname"]),
+                given_norm=F.when(dite["given"] == "", _once(given, given_norm)).otherwise(dite["given_norm"]),
+                surname=F.when(inherits(dite) & (sex == "f"), _once(name, feminize_surname)).when(inherits(dite), name).otherwise(dite["surname"]),
                 surname_norm=F.when(inherits(dite), norm).otherwise(dite["surname_norm"]),
-                marital_status=F.coalesce(status_of(_cell("dite_manzelske")), dite["marital_status"]),
+                marital_status=F.coalesce(_once(_cell("dite_manzelske"), status_of), dite["marital_status"]),
                 place_text=_or(dite["place"], F.col("event.place_text")), birth_year=F.col("event.year"),
             ),
         ),
@@ -106,7 +115,7 @@ def _births(r: DataFrame) -> DataFrame:
 def _marriages(r: DataFrame) -> DataFrame:
     bride = first_non_empty(_cell("nevesta_jmeno_stav_rodice"), _cell("nevesta_jmeno"))
     birthplace = first_non_empty(_cell("nevesta_misto_narozeni"), _cell("nevesta_misto_zrozeni"))
-    r = r.withColumns({"__zenich": parse_person_cell(_cell("zenich_jmeno_stav_rodice")), "__nevesta": parse_person_cell(bride), "__svedkove": people_of(split_people(_cell("svedkove"))), "__born": parse_date(_cell("nevesta_datum_narozeni"))})
+    r = r.withColumns({"__zenich": parse_person_cell(_cell("zenich_jmeno_stav_rodice")), "__nevesta": parse_person_cell(bride), "__svedkove": people_of(_once(_cell("svedkove"), split_people)), "__born": _once(_cell("nevesta_datum_narozeni"), parse_date)})
     zenich, nevesta, born = F.col("__zenich")["p"], F.col("__nevesta")["p"], F.col("__born")
     plain = F.concat_ws(" | ", birthplace, _cell("nevesta_datum_narozeni"), _cell("nevesta_stav"))
     mentions = [
@@ -115,7 +124,7 @@ def _marriages(r: DataFrame) -> DataFrame:
             "nevesta", F.col("__nevesta"),
             _mention(
                 "nevesta", nevesta, sex=F.lit("f"), raw_text=_or(nevesta["raw"], strip(plain)), place_text=_or(nevesta["place"], _place(birthplace)),
-                marital_status=_or(nevesta["marital_status"], F.coalesce(status_of(_cell("nevesta_stav")), F.lit(""))), birth_year=born["year"],
+                marital_status=_or(nevesta["marital_status"], F.coalesce(_once(_cell("nevesta_stav"), status_of), F.lit(""))), birth_year=born["year"],
                 extra=F.when(born["year"].isNotNull(), F.create_map(F.lit("birth_date"), born["iso"], F.lit("birth_date_precision"), born["precision"])),
             ), (bride != "") | (strip(_cell("nevesta_datum_narozeni")) != ""),
         ),
@@ -126,7 +135,7 @@ def _marriages(r: DataFrame) -> DataFrame:
 def _deaths(r: DataFrame) -> DataFrame:
     r = r.withColumn("__zemrely", parse_person_cell(_cell("zemrely_jmeno_stav")))
     p, age = F.col("__zemrely")["p"], strip(_cell("vek"))
-    own = _mention("zemrely", p, sex=_sex_of(_cell("pohlavi"), p["sex"]), place_text=_or(p["place"], F.col("event.place_text")), age_text=age, birth_year=F.col("event.year") - parse_age(age))
+    own = _mention("zemrely", p, sex=_sex_of(_cell("pohlavi"), p["sex"]), place_text=_or(p["place"], F.col("event.place_text")), age_text=age, birth_year=F.col("event.year") - _once(age, parse_age))
     return r.withColumn("__all", F.array(*_with_parents("zemrely", F.col("__zemrely"), own, strip(_cell("zemrely_jmeno_stav")) != "")))
 
 
@@ -135,8 +144,8 @@ def _events(records: DataFrame) -> DataFrame:
     kind = F.col("record_type")
     one = lambda n, o, z: F.when(kind == "narozeni", n).when(kind == "oddani", o).otherwise(z)
     text = one(first_non_empty(_cell("datum_narozeni"), _cell("datum_krtu")), first_non_empty(_cell("datum_oddavek"), _cell("datum_ohlasek")), first_non_empty(_cell("datum_umrti"), _cell("datum_pohrbu")))
-    place = split_place_house(one(_cell("misto_dum"), _cell("misto_oddavek"), _cell("misto_dum")))
-    r = records.where(kind.isin(*EVENT_TYPES)).withColumns({"__text": text, "__place": place}).withColumn("__date", parse_date("__text"))
+    place = _once(one(_cell("misto_dum"), _cell("misto_oddavek"), _cell("misto_dum")), split_place_house)
+    r = records.where(kind.isin(*EVENT_TYPES)).withColumns({"__text": text, "__place": place}).withColumn("__date", _once(F.col("__text"), parse_date))
     event = F.struct(
         one(*(F.lit(t) for t in EVENT_TYPES.values())).alias("type"), F.col("__text").alias("date_text"), F.col("__date.iso").alias("date"),
         F.col("__date.precision").alias("date_precision"), F.nullif("__date.year", F.lit(0)).alias("year"), F.col("__place.place").alias("place_text"), F.col("__place.house").alias("house_no"),

@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 from quillspark.functions.text import book_id_of, first_non_empty, strip
 
-PAGE = T.StructType.fromDDL(
-    "file string, typ string, folio string, rok string, ok boolean, rows_count bigint, rows array<map<string,string>>, "
-    "lint struct<ok: boolean, empty_cells: bigint, issues: array<string>>, model string, attempts bigint, ts string, "
-    "raw string, prompt_tokens bigint, completion_tokens bigint, duration_ms bigint, error string"
-)
-META = T.StructType.fromDDL("id string, name string, typ string, district string, localities array<string>, source string")
+_TEXT, _LONG = T.StringType(), T.LongType()
+LINT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("empty_cells", _LONG), T.StructField("issues", T.ArrayType(_TEXT))])
+_PAGE = {
+    "file": _TEXT, "typ": _TEXT, "folio": _TEXT, "rok": _TEXT, "ok": T.BooleanType(), "rows_count": _LONG, "rows": T.ArrayType(T.MapType(_TEXT, _TEXT)), "lint": LINT,
+    "model": _TEXT, "attempts": _LONG, "ts": _TEXT, "raw": _TEXT, "prompt_tokens": _LONG, "completion_tokens": _LONG, "duration_ms": _LONG, "error": _TEXT,
+}
+PAGE = T.StructType([T.StructField(k, v) for k, v in _PAGE.items()])
+META = T.StructType([T.StructField(k, T.ArrayType(_TEXT) if k == "localities" else _TEXT) for k in ("id", "name", "typ", "district", "localities", "source")])
 
 
 def read_pages(spark: SparkSession, paths: str | Iterable[str], strict: bool = True) -> DataFrame:
