@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, licenses, packing, quality, secrets, simhash, substring_dedup, token_counts, toxicity
+from quillspark.llm import chroma, decontamination, licenses, packing, quality, secrets, simhash, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.token_counts import tokenizer_path
 
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.grouped(table(spark, sf_dir, "documents"), "doc_id", "text", rate=2000, frame=256, hop=64, sample="u1")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chroma_fingerprints, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
