@@ -161,10 +161,12 @@ def extract_events(records: DataFrame, corrections: DataFrame | None = None) ->
 def extract_mentions(records: DataFrame, corrections: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
     """Mentions (id, record_id and the fields of MENTION); ids that previous has for (record_id, role, ordinal) stay.
 
-    Each record is parsed where it lies: no shuffle before ids are given.
+    Each record is parsed where it lies: no shuffle before ids are given. The outer explode
+    keeps the optimizer from filtering on the size of the array first, which would parse
+    every cell twice.
     """
     r = _events(corrected(records, corrections))
-    branches = [make(r.where(F.col("record_type") == t)).select("record_id", F.posexplode("__all").alias("seq", "m")) for t, make in zip(EVENT_TYPES, (_births, _marriages, _deaths), strict=True)]
+    branches = [make(r.where(F.col("record_type") == t)).select("record_id", F.posexplode_outer("__all").alias("seq", "m")) for t, make in zip(EVENT_TYPES, (_births, _marriages, _deaths), strict=True)]
     found = branches[0].unionByName(branches[1]).unionByName(branches[2]).where("m is not null").select("record_id", "seq", "m.*")
     found = found.withColumn("birth_year", F.nullif("birth_year", F.lit(0)))
     return keep_ids(found, previous, ["record_id", "role", "ordinal"], ["record_id", "seq"], "id").drop("seq")
