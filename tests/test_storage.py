@@ -1,13 +1,12 @@
 from __future__ import annotations
 
-from pathlib import Path
+from quillspark import storage
 
-from quillspark.storage import clear, shared_dir, staged
 
-
-def test_staged_tables(spark):
-    df = staged(spark.range(5).withColumnRenamed("id", "x"), "t")
-    folder = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+def test_staged_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    df = storage.staged(spark.range(5).withColumnRenamed("id", "x"), "t")
+    folder = tmp_path / spark.sparkContext.applicationId
     assert df.count() == 5 and any(folder.iterdir())
-    clear(spark)
+    storage.clear(spark)
     assert not folder.exists()
