@@ -1,41 +1,15 @@
-"""Connected components by alternating large and small stars, whole on the cluster."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillspark.llm.common import staged
+from quillspark.operators.graph import components
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, root): each node that has an edge, with the smallest node it reaches.
 
-    Rounds grow with the logarithm of the longest path. Each round ends in a table in the
-    shared folder. Self-edges and nulls are ignored; an empty input gives an empty result.
+    Self-edges and nulls are ignored; an empty input gives an empty result.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = staged(e, "edges")
-    before = _mark(e)
-    for _ in range(max_rounds if before[0] else 0):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        out = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
-        e = staged(out.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        after = _mark(e)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return components(edges.where("a <> b").select("a", "b"))

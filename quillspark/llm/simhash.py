@@ -15,7 +15,9 @@ pairs verified by their Hamming distance.
 A key with more than max_bucket fingerprints is not expanded into pairs. Its fingerprints
 are linked through the 65 words within one bit of each: two fingerprints are within two
 bits just if they share such a word, so linking each to the smallest one at the same word
-loses no link and makes a number of rows in proportion to the fingerprints.
+loses no link and makes a number of rows in proportion to the fingerprints. Sizes and
+smallest fingerprints of keys are summed on both sides of the shuffle and joined back, so
+that a hot key can be split.
 
 Equal fingerprints are one class from the start, so copies are never paired.
 
@@ -32,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded_batches, staged, texts
@@ -148,16 +150,16 @@ def links(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
             word = (fp.view(np.uint64)[:, None] ^ masks).ravel().view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, np.repeat(rep, 65))], names=["word", "rep"])
 
-    keys = classes.select("rep", "fp").mapInArrow(keyed, "key long, rep long, fp long")
-    by_key = Window.partitionBy("key")
-    sized = keys.withColumn("n", F.count("*").over(by_key)).where("n > 1")
-    sized = staged(sized.select("key", "rep", "fp", "n"), "buckets")
+    keys = staged(classes.select("rep", "fp").mapInArrow(keyed, "key long, rep long, fp long"), "keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = staged(keys.join(sizes, "key"), "buckets")
     few = sized.where(F.col("n") <= max_bucket)
     right = few.select("key", F.col("rep").alias("rep_b"), F.col("fp").alias("fp_b"))
     near = few.join(right, "key").where("rep < rep_b and bit_count(fp ^ fp_b) <= 2").select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
     hot = sized.where(F.col("n") > max_bucket).select("rep", "fp").distinct()
-    low = Window.partitionBy("word")
-    stars = hot.mapInArrow(flipped, "word long, rep long").withColumn("m", F.min("rep").over(low)).where("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b"))
+    words = hot.mapInArrow(flipped, "word long, rep long")
+    low = words.groupBy("word").agg(F.min("rep").alias("m"))
+    stars = words.join(low, "word").where("rep <> m").select(F.col("m").alias("a"), F.col("rep").alias("b"))
     return near.unionByName(stars).distinct()
 
 
