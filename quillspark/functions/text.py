@@ -186,6 +186,11 @@ def image_type(content: ColumnOrName) -> Column:
     )
 
 
+def content_hash(content: ColumnOrName, first: int | None = None) -> Column:
+    """SHA-256 of a binary, or of its first bytes."""
+    return F.sha2(col(content) if first is None else F.substring(col(content), 1, first), 256)
+
+
 def clean_cell(html: ColumnOrName) -> Column:
     """A table cell's text: tags away, the common entities read, spaces joined, ' -' trimmed."""
     s = F.regexp_replace(F.coalesce(col(html), F.lit("")), "<[^>]*>", " ")

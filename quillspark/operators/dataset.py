@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import char_error_rate, first_number, strip
+from quillspark.operators.identity import dense_ids
 from quillspark.sources.templates import BUILT_IN, Template
 
 # The columns on the left half of an open double page; the right half has the others.
@@ -30,7 +31,8 @@ def usable(scans: DataFrame, images: DataFrame, excluded: DataFrame | None = Non
     s = scans.join(images, ["book_id", "file"])
     if excluded is not None:
         s = s.join(excluded, "book_id", "left_anti")
-    return s.withColumn("__n", F.row_number().over(Window.partitionBy("sha256").orderBy("seq"))).where("__n = 1").drop("__n")
+    first = s.groupBy("sha256").agg(F.min("seq").alias("seq"))
+    return s.join(first, ["sha256", "seq"], "left_semi")
 
 
 def with_split(scans: DataFrame, val_books: list[str], tails: dict[str, int]) -> DataFrame:
@@ -60,8 +62,8 @@ def half_samples(scans: DataFrame, t: Template) -> DataFrame:
 
 def every(df: DataFrame, step: int, order: str, by: str | None = None) -> DataFrame:
     """Each step-th row in order, the first included."""
-    n = F.row_number().over(Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(order))
-    return df.withColumn("__n", n).where((F.col("__n") - 1) % step == 0).drop("__n")
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))) if by else dense_ids(df, [order], "__n")
+    return numbered.where((F.col("__n") - 1) % step == 0).drop("__n")
 
 
 def uniform_window(heights: Column | str, n: Column | int, most: float = 0.35) -> Column:

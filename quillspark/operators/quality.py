@@ -208,4 +208,5 @@ def halves_issue(left: Column | str, right: Column | str) -> Column:
 def first_of_equal(images: DataFrame, by: str | None = None, order: str = "path", content: str = "content") -> DataFrame:
     """images with sha256 and the first one of equal content (per group)."""
     h = images.withColumn("sha256", F.sha2(content, 256))
-    return h.withColumn("first", F.min(order).over(Window.partitionBy(*([by] if by else []), "sha256")))
+    key = [*([by] if by else []), "sha256"]
+    return h.join(h.groupBy(*key).agg(F.min(order).alias("first")), key)

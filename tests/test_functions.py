@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+
+
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +61,17 @@ def test_lists_and_places(spark):
     assert values(spark, X.clean_cell, ["<b>a&nbsp;b</b> - ", "---", None]) == ["a b", "", ""]
 
 
+def test_binaries(spark):
+    df = spark.createDataFrame([(b"\x89PNG\r\n\x1a\nxyz",), (b"\xff\xd8\xff",), (b"RIFF0000WEBP",), (b"",)], "b binary")
+    got = df.select(X.image_type("b").alias("t"), X.content_hash("b").alias("h"), X.content_hash("b", 4).alias("f")).collect()
+    assert [r["t"] for r in got] == ["png", "jpg", "webp", "bin"]
+    assert got[0]["f"] == hashlib.sha256(b"\x89PNG").hexdigest() and got[3]["h"] == hashlib.sha256(b"").hexdigest()
+    paths = spark.createDataFrame([("/a/b/c.png", "/a/"), ("/x/c.png", "/a")], "p string, r string")
+    assert [r[0] for r in paths.select(X.relative_path("p", "r")).collect()] == ["b/c.png", "/x/c.png"]
+    years = spark.createDataFrame([(1876, 1903), (None, 1903), (None, None)], "b int, d int")
+    assert [r[0] for r in years.select(X.years_label("b", "d")).collect()] == ["*1876 †1903", "†1903", ""]
+
+
 def test_cells():
     p, f, m = read_cell("Slavík František, mistr obuvnický v Kladně, syn Josefa Slavíka, rolníka z Hnidous, a Marie roz. Dvořákové")
     assert (p.given, p.surname, p.given_norm, p.surname_norm, p.sex, p.place) == ("František", "Slavík", "frantisek", "slavik", "m", "Kladně")

@@ -194,6 +194,14 @@ def test_halves_and_samples(spark, run):
     assert (got["b"]["cer"], got["b"]["json_valid"], got[None]["n"], got["c"]["field_accuracy"]) == (0.25, 1, 3, 1.0)
 
 
+def test_usable_scans_and_samples(spark):
+    scans = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "1", 3), ("c", "1", 4)], "book_id string, file string, seq long")
+    images = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "1", "x"), ("c", "1", "z")], "book_id string, file string, sha256 string")
+    out = dataset.usable(scans, images, spark.createDataFrame([("c",)], "book_id string"))
+    assert rows(out, "book_id", "file") == [("a", "1"), ("a", "2")]
+    assert rows(dataset.every(scans, 3, "seq"), "seq") == [(1,), (4,)]
+
+
 def test_templates_and_meta(spark):
     assert [len(template(t).keys) for t in ("narozeni", "oddani", "umrti")] == [16, 19, 12] and combined().keys[0] == "record_type"
     with pytest.raises(ValueError):
