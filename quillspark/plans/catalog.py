@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates as D
@@ -122,19 +122,13 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey // 25) AS root FROM part")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    first = F.min(k).over(_by(F.floor(k / 5)))
+    first = F.min(k).over(Window.partitionBy(F.floor(k / 5)))
     p = table(spark, sf_dir, "part").withColumn("f", first)
-    far = p.withColumn("g", F.min("f").over(_by(F.floor(k / 25))))
+    far = p.withColumn("g", F.min("f").over(Window.partitionBy(F.floor(k / 25))))
     edges = p.select(k.alias("a"), F.col("f").alias("b")).unionByName(far.select(F.col("f").alias("a"), F.col("g").alias("b")))
     return graph.components(edges)
 
 
-def _by(c) -> object:  # noqa: ANN001
-    from pyspark.sql import Window
-
-    return Window.partitionBy(c)
-
-
 @query(REG + """ SELECT id, display_name AS name, sex, birth_year_est AS birth_year, death_year_est AS death_year, n AS mention_count FROM reg_persons JOIN (
   SELECT person_id, count(*) AS n FROM reg_mentions JOIN reg_links ON mention_id = id GROUP BY 1
   HAVING bool_or(starts_with(given_norm, 'given1') OR starts_with(surname_norm, 'given1')) AND bool_or(starts_with(surname_norm, 'name4')) AND bool_or(contains(lower(place_text), 'p1'))) ON person_id = id
@@ -191,14 +185,10 @@ def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         given.alias("given_norm"), surname.alias("surname_norm"), F.lit("").alias("maiden_norm"), F.lit("m").alias("sex"), F.lit("").alias("marital_status"),
         F.concat(F.lit("P"), (k % 3).cast("string")).alias("place_text"), F.when(k % 2 == 0, (1870 + k % 30).cast("int")).alias("birth_year"),
     )
-    e = m.select("record_id", F.when(F.col("role") == "dite", "birth").otherwise("marriage").alias("type"), (1870 + k_of("id") % 30 + F.when(F.col("role") == "zenich", 25).otherwise(0)).cast("int").alias("year"))
+    e = m.select("record_id", F.when(F.col("role") == "dite", "birth").otherwise("marriage").alias("type"), (1870 + F.col("id") % 30 + F.when(F.col("role") == "zenich", 25).otherwise(0)).cast("int").alias("year"))
     return m, e
 
 
-def k_of(name: str):  # noqa: ANN201
-    return F.col(name)
-
-
 @query()
 def linkage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, e = _people(spark, sf_dir)

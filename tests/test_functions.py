@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import hashlib
 
-
-
 import pytest
 from pyspark.sql import functions as F
 
