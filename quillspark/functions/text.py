@@ -114,6 +114,7 @@ def place_norm(c: ColumnOrName) -> Column:
     return F.regexp_replace(old_orthography(fold_ascii(strip(c))), "^(.{3,})[aeiouy]$", "$1")
 
 
+# A house number, and the second person of a list.
 HOUSE = r"(?:č|c)\.?\s*(?:p|d)?\.?\s*(\d+)|(?<![A-Za-z0-9_])čp\.?\s*(\d+)"
 
 
