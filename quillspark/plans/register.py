@@ -49,28 +49,28 @@ SELECT p_partkey * 2 + s AS id, concat(p_name, CASE s WHEN 1 THEN ' f' ELSE ' m'
   CASE s WHEN 1 THEN 'f' ELSE 'm' END AS sex,
   CASE WHEN p_partkey % 7 <> 0 THEN 1920 + p_size END AS birth_year_est,
   CASE WHEN p_partkey % 5 <> 0 THEN CAST(1920 + p_size + p_partkey % 120 AS INT) END AS death_year_est
-FROM part, (VALUES (0), (1)) AS x(s)
+FROM (SELECT *, {both} AS s FROM part) AS x
 """
 
 
 def register(spark: SparkSession, sf_dir: str) -> Register:
     """The register of the tables at sf_dir."""
-    day = {"day": "date_format(o_orderdate, 'yyyy-MM-dd')", "text": "STRING"}
+    day = {"day": "date_format(o_orderdate, 'yyyy-MM-dd')", "text": "STRING", "both": "explode(array(0, 1))"}
     orders, lineitem, part = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     events = spark.sql(EVENTS.format(**day).replace("FROM orders", "FROM {orders}"), orders=orders)
     mentions = spark.sql(MENTIONS.format(**day).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
-    persons = spark.sql(PERSONS.replace("FROM part,", "FROM {part},"), part=part)
+    persons = spark.sql(PERSONS.format(**day).replace("FROM part", "FROM {part}"), part=part)
     links = mentions.select("person_id", F.col("id").alias("mention_id"))
     return Register(events, mentions.drop("person_id"), persons, links, relations_of(mentions.groupBy("record_id", "role").agg(F.max_by("person_id", "id").alias("person_id"))), scans=orders, records=orders, books=table(spark, sf_dir, "customer"))
 
 
-_DUCK = {"day": "strftime(o_orderdate, '%Y-%m-%d')", "text": "VARCHAR"}
+_DUCK = {"day": "strftime(o_orderdate, '%Y-%m-%d')", "text": "VARCHAR", "both": "unnest([0, 1])"}
 #: The same tables as common table expressions, to put before a query.
 SQL = f"""WITH reg_events AS ({EVENTS.format(**_DUCK)}),
 reg_all AS ({MENTIONS.format(**_DUCK)}),
 reg_mentions AS (SELECT * EXCLUDE (person_id) FROM reg_all),
 reg_links AS (SELECT person_id, id AS mention_id FROM reg_all),
-reg_persons AS ({PERSONS}),
+reg_persons AS ({PERSONS.format(**_DUCK)}),
 rules(type, role_a, role_b) AS (VALUES {", ".join(str(r) for r in relation_rules())}),
 roles AS (SELECT record_id, role, arg_max(person_id, id) AS person_id FROM reg_all GROUP BY ALL),
 found AS (SELECT type, a.person_id AS pa, b.person_id AS pb, a.record_id FROM rules JOIN roles a ON a.role = role_a
