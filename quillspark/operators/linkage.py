@@ -94,7 +94,7 @@ def _or(a: Column, b: Column) -> Column:
 
 
 def similarities(pairs: DataFrame) -> DataFrame:
-    """Pairs with the similarities of their names; each distinct pair of unequal names is compared once."""
+    """a, b, what their scores need, and the similarities of their names; each batch compares a pair of names once."""
     x, y = (lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(""))), (lambda c: F.coalesce(F.col(f"b.{c}"), F.lit("")))
     names = {
         "given": (x("given_norm"), y("given_norm")),
@@ -104,22 +104,24 @@ def similarities(pairs: DataFrame) -> DataFrame:
         "father_s": (x("father_surname"), y("father_surname")),
         "mother_g": (x("mother_given"), y("mother_given")),
     }
-    return pairs.select("a", "b", *(name_similarity(p, q).alias(k) for k, (p, q) in names.items()))
+    both = lambda c: (x(c) != "") & (y(c) != "")
+    year = lambda side: F.when(F.col(f"{side}.birth_year") > 0, F.col(f"{side}.birth_year"))
+    return pairs.select(
+        F.col("a.id").alias("a"), F.col("b.id").alias("b"), ((F.col("a.sex") == "f") | (F.col("b.sex") == "f")).alias("woman"), F.abs(year("a") - year("b")).alias("gap"),
+        (both("place_fold") & (F.col("a.place_fold") == F.col("b.place_fold"))).alias("place"), both("father_given").alias("fathers"), both("father_surname").alias("father_surnames"),
+        both("mother_given").alias("mothers"), *(name_similarity(p, q).alias(k) for k, (p, q) in names.items()),
+    )
 
 
 def scored_pairs(m: DataFrame, suggest: float = Thresholds.suggest) -> DataFrame:
     """a, b, score, features of all pairs of enriched mentions with score >= suggest."""
-    pairs = candidate_pairs(m).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    s = staged(similarities(pairs), "similarities")
-    woman = (F.col("a.sex") == "f") | (F.col("b.sex") == "f")
-    by_maiden = woman & (F.col("maiden") > F.col("surname"))
+    s = staged(similarities(candidate_pairs(m)), "similarities")
+    by_maiden = F.col("woman") & (F.col("maiden") > F.col("surname"))
     surname = F.when(by_maiden, F.col("maiden")).otherwise(F.col("surname"))
-    gap = F.abs(F.when(F.col("a.birth_year") > 0, F.col("a.birth_year")) - F.when(F.col("b.birth_year") > 0, F.col("b.birth_year")))
-    both = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != "")
-    father = both("father_given") & (F.col("father_g") >= 0.85) & (~both("father_surname") | (F.col("father_s") >= 0.85))
-    mother = both("mother_given") & (F.col("mother_g") >= 0.85)
+    gap, place = F.col("gap"), F.col("place")
+    father = F.col("fathers") & (F.col("father_g") >= 0.85) & (~F.col("father_surnames") | (F.col("father_s") >= 0.85))
+    mother = F.col("mothers") & (F.col("mother_g") >= 0.85)
     parents = F.when(father & mother, 0.15).when(father | mother, 0.08).otherwise(0.0)
-    place = (F.col("a.place_fold") != "") & (F.col("a.place_fold") == F.col("b.place_fold"))
     born = F.when(gap == 0, 0.15).when(gap <= 2, 0.08).when(gap > 2, -0.20).otherwise(0.0)
     total = F.lit(0.35) * F.col("given") + F.lit(0.35) * surname + born + F.when(place, 0.08).otherwise(0.0) + parents
     feature = {
@@ -128,7 +130,7 @@ def scored_pairs(m: DataFrame, suggest: float = Thresholds.suggest) -> DataFrame
     }
     features = F.map_filter(F.create_map(*(x for k, v in feature.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
     near = s.where((F.col("given") >= 0.70) & (surname >= 0.75))
-    out = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"), features.alias("features"))
+    out = near.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score"), features.alias("features"))
     return out.where(F.col("score") >= suggest)
 
 
