@@ -14,8 +14,9 @@ judged on the input.
    surroundings of the anchor no other context has. What is left is one text on disk; its
    suffixes are sorted by induction with their common prefixes (see induced_sort), and runs
    of windows with `length` common bytes are equal windows: all but the first go. Anchors of
-   more than most_contexts contexts are split: each window goes to the shard of its own hash,
-   and batches again settle equal ones among their own.
+   more than most_contexts contexts are split: each quarter of their windows goes to the shard
+   that what all of them hold around the anchor names, and batches first settle equal ones
+   among their own.
 3. The windows that go are joined to the texts as ranges.
 
 Nulls count as empty texts. Rows that repeat both id and text are one document with as many
@@ -132,7 +133,7 @@ def _anchor_rows(length: int) -> Callable:
 
 
 def _window_rows(length: int) -> Callable:
-    """Bytes of contended windows: (shard, doc_id, th, lo, anchor in the bytes or -1, bytes); with lo < 0, a window -1 - lo that goes at once."""
+    """Bytes of contended windows: (shard, doc_id, th, lo, anchor in the bytes or -1, bytes); with lo < 0, windows from -1 - lo on that go at once, one more than `anchor`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,15 +146,21 @@ def _window_rows(length: int) -> Callable:
                     lo, end = x["lo"], x["lo"] + x["more"] + length
                     if not x["hot"]:
                         out.append((x["gram"], ids[i], ths[i], lo, x["anchor"], data[at + lo : at + end]))
-                    else:
-                        hot += [(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), ids[i], ths[i], s, -1, piece) for s in range(lo, lo + x["more"] + 1) for piece in (data[at + s : at + s + length],)]
-            best: dict[bytes, tuple] = {}
+                        continue
+                    for k, (left, right, most) in enumerate(_quarters(length)):
+                        place = lo + x["anchor"]
+                        first, last = max(lo, place - most), min(lo + x["more"], place - left)
+                        if first <= last:
+                            around = data[at + place - left : at + place + GRAM + right]
+                            name = hashlib.blake2b(around, digest_size=8, salt=f"{x['gram'] + k:x}".encode()[-16:]).digest()
+                            hot.append((int.from_bytes(name, "little", signed=True), ids[i], ths[i], first, last - first, data[at + first : at + last + length]))
+            best: dict[tuple, tuple] = {}
             for row in hot:
-                if (was := best.get(row[5])) and was[:4] != row[:4]:
+                if (was := best.get((row[0], row[5]))) and was[:4] != row[:4]:
                     row, gone = min(row, was, key=lambda r: r[1:4]), max(row, was, key=lambda r: r[1:4])
-                    out.append((gone[0], *gone[1:3], -1 - gone[3], -1, b""))
-                best[row[5]] = row
-            out += best.values()
+                    out.append((*gone[:3], -1 - gone[3], gone[4], b""))
+                best[row[0], row[5]] = row
+            out += [(*r[:4], -1, r[5]) for r in best.values()]
             for k in range(0, len(out), 20000):
                 cols = list(zip(*out[k : k + 20000], strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["shard", "doc_id", "th", "lo", "anchor", "bytes"])
@@ -180,11 +187,11 @@ def _shared_keys(raw: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, shard
     return out
 
 
-def _shared_windows(anchor: np.ndarray, size: np.ndarray, keys: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+def _shared_windows(anchor: np.ndarray, shard: np.ndarray, size: np.ndarray, keys: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last window of each row that may be equal to another row's: its quarter's key is not alone.
 
-    Equal windows of an anchor have equal keys, so none is lost; rows without an anchor
-    (hot ones) keep all.
+    Equal windows of an anchor have equal keys, so none is lost; rows without an anchor are
+    of one quarter already, which names their shard.
     """
     first, last = np.full(len(anchor), np.iinfo(np.int64).max), np.full(len(anchor), -1)
     for h, (left, _, most) in zip(keys, _quarters(length), strict=True):
@@ -192,7 +199,8 @@ def _shared_windows(anchor: np.ndarray, size: np.ndarray, keys: list[np.ndarray]
         shared = (h != 0) & (n[of] > 1)
         first[shared] = np.minimum(first[shared], anchor[shared] - most)
         last[shared] = np.maximum(last[shared], anchor[shared] - left)
-    whole = anchor < 0
+    _, of, n = np.unique(shard, return_inverse=True, return_counts=True)
+    whole = (anchor < 0) & (n[of] > 1)
     first[whole], last[whole] = 0, size[whole] - length
     return np.maximum(first, 0), np.minimum(last, size - length)
 
@@ -231,17 +239,19 @@ def _later_windows(length: int, memory: int) -> Callable:
                     doc, th, lo, anchor, shard = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "lo", "anchor", "shard"))
                     raw, offsets = batch_bytes(b.column("bytes"))
                     live = lo >= 0
-                    gone.append((doc[~live], th[~live], -1 - lo[~live]))
+                    n = anchor[~live] + 1
+                    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    gone.append((np.repeat(doc[~live], n), np.repeat(th[~live], n), np.repeat(-1 - lo[~live], n) + each))
                     f.write(raw.tobytes())
-                    rows.append([x[live] for x in (doc, th, lo, anchor, at + offsets[:-1], np.diff(offsets), *_shared_keys(raw, offsets, anchor, shard, length))])
+                    rows.append([x[live] for x in (doc, th, lo, anchor, shard, at + offsets[:-1], np.diff(offsets), *_shared_keys(raw, offsets, anchor, shard, length))])
                     at += len(raw)
             if not rows:
                 return
             if sum(len(x[0]) for x in gone):
                 yield ranges(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            doc, th, lo, anchor, begin, size, *keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+            doc, th, lo, anchor, shard, begin, size, *keys = (np.concatenate(x) for x in zip(*rows, strict=True))
             del rows
-            first, last = _shared_windows(anchor, size, keys, length)
+            first, last = _shared_windows(anchor, shard, size, keys, length)
             keep = first <= last
             doc, th, lo, begin, first, last = (x[keep] for x in (doc, th, lo, begin, first, last))
             lo, begin, size = lo + first, begin + first, last - first + length
@@ -302,7 +312,7 @@ def _cut(length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 200_000, memory: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 1000, memory: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} at least")
