@@ -10,6 +10,9 @@ from quillspark.functions import lexicon as L
 ColumnOrName = Column | str
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: The same characters, one by one.
+SPACES = " \t\n\x0b\f\r\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
 def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -22,7 +25,7 @@ def map_of(d: dict) -> Column:
 
 def strip(c: ColumnOrName) -> Column:
     """Without Unicode white space at the ends; null gives ''."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(SPACES))
 
 
 def first_non_empty(*cs: ColumnOrName) -> Column:
