@@ -387,7 +387,7 @@ def merged_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.create_map(F.lit("v"), F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("L"), F.col("l_partkey").cast("string"))))
     b = F.create_map(F.lit("v"), F.when(F.col("l_suppkey") % 2 == 0, "").otherwise(F.concat(F.lit("R"), F.col("l_suppkey").cast("string"))))
     rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.expr(_IDX).alias("k"), F.map_entries(a).alias("a"), F.map_entries(b).alias("b")))).alias("r"))
-    left, right = F.transform("r", lambda x: F.map_from_entries(x["a"])), F.transform(F.slice("r", 2, 100), lambda x: F.map_from_entries(x["b"]))
+    left, right = F.transform("r", lambda x: F.map_from_entries(x["a"])), F.transform(F.slice("r", 2, F.size("r")), lambda x: F.map_from_entries(x["b"]))
     return rows.select("l_orderkey", F.posexplode(quality.merged_halves(left, right)).alias("pos", "m")).select("l_orderkey", "pos", F.col("m")["v"].alias("v"))
 
 
