@@ -68,7 +68,7 @@ def _totals(raw: np.ndarray) -> np.ndarray:
 def anchors(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(gram hash, context hash, first window, last window, place) of the anchors of one text, in parts."""
     n, w = len(raw), length - GRAM + 1
-    for a in range(0, n - length + 1, SEGMENT):
+    for a in range(0, n - GRAM + 1 if n >= length else 0, SEGMENT):  # anchors reach n - GRAM
         lo = max(0, a - w + 1)
         part = raw[lo : a + SEGMENT + length + w]
         total = _totals(part)

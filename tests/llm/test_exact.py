@@ -282,6 +282,16 @@ def test_anchors_in_segments(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_anchors_of_all_lengths_around_segments(monkeypatch):
+    r = random.Random(5)
+    raw = np.frombuffer("".join(r.choice("abc ") for _ in range(1200)).encode(), np.uint8)
+    lengths = [n for k in (0, 1, 2, 5) for n in range(211 * k, 211 * k + 140)]
+    found = lambda n: [np.concatenate(x).tolist() for x in zip(*substring_dedup.anchors(raw[:n], 100), strict=True)]
+    whole = [found(n) for n in lengths]
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 211)
+    assert [found(n) for n in lengths] == whole
+
+
 # -- 8 and 9 ------------------------------------------------------------------------
 
 
