@@ -91,6 +91,27 @@ def test_chroma_recall_against_all_pairs(spark):
     assert len(near) > 30 and np.mean([group[x] == group[y] for x, y in near]) >= 0.9
 
 
+def fingerprint_rows(spark, rows):
+    return spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes())) for i, c in rows], "rep long, codes binary").repartition(3)
+
+
+def noisy(rng, codes, keep):
+    """codes with three bits changed in each integer but those of keep."""
+    flip = sum(np.uint32(1) << rng.permuted(np.tile(np.arange(32, dtype=np.uint32), (len(codes), 1)), axis=1)[:, k] for k in range(3))
+    flip[list(keep)] = 0
+    return codes ^ flip.astype(np.uint32)
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 4}, {"limit": 1, "rounds": 0}])
+def test_chroma_links_past_the_centres(spark, options):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 2**32, 40, np.uint32)) for i in range(12)]
+    for _, c in rows:
+        c[10:14] = 7, 8, 9, 11  # a common passage
+    rows.append((12, noisy(rng, rows[-1][1], range(10, 14))))
+    assert {(r["a"], r["b"]) for r in chroma.links(fingerprint_rows(spark, rows), **options).collect()} == {(11, 12)}
+
+
 # -- 3 ------------------------------------------------------------------------------
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
