@@ -112,6 +112,13 @@ def test_chroma_links_past_the_centres(spark, options):
     assert {(r["a"], r["b"]) for r in chroma.links(fingerprint_rows(spark, rows), **options).collect()} == {(11, 12)}
 
 
+def test_chroma_links_clips_of_long_recordings(spark):
+    rng = np.random.default_rng(2)
+    long = rng.integers(0, 2**32, 6000, np.uint32)
+    rows = [(0, long)] + [(k, noisy(rng, long[600 * k : 600 * k + 60], [30])) for k in range(1, 10)]
+    assert {(r["a"], r["b"], r["offset"]) for r in chroma.links(fingerprint_rows(spark, rows)).collect()} == {(0, k, 600 * k) for k in range(1, 10)}
+
+
 # -- 3 ------------------------------------------------------------------------------
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
