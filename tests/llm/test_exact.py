@@ -119,6 +119,15 @@ def test_chroma_links_clips_of_long_recordings(spark):
     assert {(r["a"], r["b"], r["offset"]) for r in chroma.links(fingerprint_rows(spark, rows)).collect()} == {(0, k, 600 * k) for k in range(1, 10)}
 
 
+def test_chroma_of_short_recordings(spark):
+    short = ["a", "b", "ab", "a short one", "another short one", "é" * 300, "x" * 958, "x" * 959, "x" * 960]
+    rows = list(enumerate([*short, "", None, *short]))
+    for r in chroma.grouped(frame(spark, rows), "doc_id", "text", rate=2000, frame=256, hop=64, sample="u1").collect():
+        i, n = r["doc_id"], len(short)
+        want = i % (n + 2) if i not in (n, n + 1) else None
+        assert (r["n_codes"], r["class_id"], r["group_id"]) == ((1, want, want) if want is not None else (0, None, None))
+
+
 # -- 3 ------------------------------------------------------------------------------
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
