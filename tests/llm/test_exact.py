@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import chroma, decontamination, induced_sort, licenses, packing, quality, queries, secrets, simhash, substring_dedup, toxicity
 from quillspark.llm.bytewords import Words, batch_bytes
@@ -119,6 +120,21 @@ def test_chroma_links_clips_of_long_recordings(spark):
     assert {(r["a"], r["b"], r["offset"]) for r in chroma.links(fingerprint_rows(spark, rows)).collect()} == {(0, k, 600 * k) for k in range(1, 10)}
 
 
+@pytest.mark.parametrize("table, least", [("sf0.01", 6), ("sf0.1", 100)])
+def test_chroma_recall_of_different_fingerprints(spark, table, least):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    rows = chroma.fingerprints(docs, "doc_id", "text", 2000, 256, 64, "u1").where("octet_length(codes) >= 32").orderBy(F.desc("id")).collect()
+    own = {r["fingerprint_sha256"]: (r["id"], np.frombuffer(r["codes"], "<u4")) for r in rows}
+    at = {}
+    for i, c in sorted(own.values(), key=lambda x: x[0]):
+        for x in set(c.tolist()):
+            at.setdefault(x, []).append((i, c))
+    pairs = {(a, b): (x, y) for bucket in at.values() for k, (a, x) in enumerate(bucket) for b, y in bucket[k + 1 :]}  # what aligns has an equal integer
+    near = [p for p, (x, y) in pairs.items() if chroma.same(x, y, 0.2, 0.5, 8)[0]]
+    group = {r["doc_id"]: r["group_id"] for r in queries.op2_chroma_fingerprints(spark, f"/root/testdata/{table}").collect()}
+    assert len(near) >= least and np.mean([group[x] == group[y] for x, y in near]) >= 0.9
+
+
 def test_chroma_of_short_recordings(spark):
     short = ["a", "b", "ab", "a short one", "another short one", "é" * 300, "x" * 958, "x" * 959, "x" * 960]
     rows = list(enumerate([*short, "", None, *short]))
