@@ -331,6 +331,16 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("item_id", "doc_id", X.char_error_rate("truth", F.substring("got", 1, 300)).alias("cer"))
 
 
+@query()
+def char_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each whole document against its cleaned text; the SQL engine counts bytes, so the tests have brute force.
+    t, g = X.clean_cell("text"), F.coalesce("text", F.lit(""))
+    # bands that widen until the edits fit, then the whole table: exact, and cheap where the texts are alike
+    banded = [F.when((n := F.levenshtein(t, g, k)) >= 0, n) for k in (16, 256, 4096)]
+    edits = F.coalesce(*banded, F.levenshtein(t, g))
+    return table(spark, sf_dir, "documents").select("doc_id", (edits / F.greatest(F.lit(1), F.length(t))).alias("cer"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents")
 def equal_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
