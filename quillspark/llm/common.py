@@ -1,13 +1,18 @@
-"""Helpers that the corpus operators share: table access, batch bounds."""
+"""Helpers that the corpus operators share: table access, bounded batches, labelled samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.storage import shared_dir, staged
 
-__all__ = ["bounded_batches", "shared_dir", "staged", "table", "texts"]
+__all__ = ["held_out_train", "labelled_sample", "mapped", "shared_dir", "staged", "table", "texts"]
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def cut(batches: Batches, rows: int = 512, most_bytes: int = 16 << 20) -> Batches:
+    """Batches in parts of at most `rows` rows and about most_bytes, or one row."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * most_bytes // max(1, b.nbytes)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
+def mapped(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """df.mapInArrow(f) with bounded batches, whatever the session's settings."""
+    return df.mapInArrow(lambda batches: f(cut(batches)), schema)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,3 +39,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
+
+
+def fold(doc_id: Column, parts: int) -> Column:
+    """CRC-32 of the id as text, modulo parts."""
+    return F.crc32(doc_id.cast("string")) % parts
+
+
+def held_out_train(parts: int, out: int) -> tuple[Column, Column]:
+    """(held out, for training) as columns of doc_id; a row without an id is neither scored with its label nor held out."""
+    rest = fold(F.col("doc_id"), parts)
+    return F.coalesce(rest == out, F.lit(False)), F.coalesce(rest != out, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, sample: int) -> DataFrame:
+    """At most `sample` rows (doc_id, y, text) of labelled training documents, by a hash of their ids.
+
+    Of several labels of one id the largest counts, of several texts the one of the smallest hash.
+    """
+    drawn = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & train)
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(sample)
+    )
+    own = texts(docs).join(F.broadcast(drawn), "doc_id")
+    return own.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "t.text")

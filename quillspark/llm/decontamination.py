@@ -8,13 +8,16 @@ q-grams are counted in diagonal bands of 2w, w = e + 1, each overlapping the nex
 so some band has all of them. Bands that reach the bound are verified by an alignment
 within the band and e diagonals on either side.
 
-Where the bound would be below one, e is lowered until it isn't. Items of fewer than
-least_item bytes are ignored: they tell nothing. Items are read in blocks of at most
-block_bytes, each a scan of the documents; a block is what the driver and each task hold.
-
-Null texts and items count as empty; repeated items give repeated pairs, repeated documents
-too; extra columns are ignored. The result has one row per document and item it holds, with
-the fewest edits and where that part lies (UTF-8 bytes of the text).
+q is the largest of QS for which an item's bound is one at least, so short items are found as
+well: those of under ten bytes, at the default rate, where the text holds them unchanged. Items
+are read in blocks of at most block_bytes, each a scan of the documents; a block is what the
+driver and each task hold. Hits are counted MOST at a time.
+
+Null texts and items count as empty, and an empty item is in no text; very long texts are cut
+with overlaps; repeated items give repeated pairs, repeated documents too; an empty table on
+either side gives an empty result; extra columns are ignored. The result has one row per
+document and item it holds, with the fewest edits and where that part lies (UTF-8 bytes of the
+text); of equal edits the earliest part, then the shortest.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import batch_bytes
-from quillspark.llm.common import bounded_batches, texts
+from quillspark.llm.common import mapped, texts
 
 NORMAL = np.full(256, 32, np.uint8)
 NORMAL[48:58], NORMAL[97:123], NORMAL[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
 NORMAL[65:91] = np.arange(97, 123)
 BITS = 21  # of the table of q-gram hashes and of band cells
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-Q = 8
+QS = (8, 4, 2, 1)
 MOST = 1 << 23  # shared q-grams that are held at once
 UNIT = 1 << 24  # an edit, in alignment cells that also hold where the part starts
 
@@ -51,16 +54,19 @@ def normalised(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[at], at
 
 
-def grams(b: np.ndarray) -> np.ndarray:
+def grams(b: np.ndarray, q: int) -> np.ndarray:
     """The q-gram at each place, as a number."""
-    b = np.ascontiguousarray(b)
-    return np.ndarray((max(0, len(b) - Q + 1),), "<u8", b.data, strides=(1,)) if len(b) >= Q else np.empty(0, np.uint64)
+    if len(b) < q:
+        return np.empty(0, np.uint64)
+    b = np.concatenate([b, np.zeros(8 - q, np.uint8)])
+    return np.ndarray((len(b) - 7,), "<u8", b.data, strides=(1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 @dataclass
 class Items:
     """A block of benchmark items with the table of their q-grams."""
 
+    q: int
     ids: list[int | None]
     texts: list[np.ndarray]
     edits: np.ndarray
@@ -72,61 +78,66 @@ class Items:
     place: np.ndarray
 
     @staticmethod
-    def build(rows: list[tuple[int | None, str | None]], rate: float, least_item: int) -> Items:
-        ids, forms, edits = [], [], []
+    def build(rows: list[tuple[int | None, str | None]], rate: float) -> list[Items]:
+        """The items by the q-gram length that their bounds allow."""
+        by: dict[int, list[tuple[int | None, np.ndarray, int]]] = {}
         for i, t in rows:
             b, _ = normalised(np.frombuffer((t or "").encode(), np.uint8))
             b = b[1:] if len(b) and b[0] == 32 else b
             b = b[:-1] if len(b) and b[-1] == 32 else b
-            if len(b) >= max(least_item, Q):
-                ids.append(i)
-                forms.append(b)
-                edits.append(max(0, min(int(rate * len(b)), len(b) // Q - 1)))
-        e = np.array(edits, np.int64)
-        m = np.array([len(b) for b in forms], np.int64)
-        g = np.concatenate([grams(b) for b in forms]) if forms else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(forms)), np.maximum(m - Q + 1, 0))
-        place = np.concatenate([np.arange(max(0, len(b) - Q + 1)) for b in forms]) if forms else np.empty(0, np.int64)
+            e = int(rate * len(b))
+            if len(b):
+                by.setdefault(next(q for q in QS if len(b) + 1 - q * (e + 1) >= 1), []).append((i, b, e))
+        return [Items._of(q, *map(list, zip(*found, strict=True))) for q, found in sorted(by.items())]
+
+    @staticmethod
+    def _of(q: int, ids: list[int | None], forms: list[np.ndarray], edits: list[int]) -> Items:
+        e, m = np.array(edits, np.int64), np.array([len(b) for b in forms], np.int64)
+        g = np.concatenate([grams(b, q) for b in forms])
+        item = np.repeat(np.arange(len(forms)), m - q + 1)
+        place = np.concatenate([np.arange(len(b) - q + 1) for b in forms])
         order = np.argsort(g, kind="stable")
         g, item, place = g[order], item[order], place[order]
         unique, first = np.unique(g, return_index=True)
         known = np.zeros(1 << BITS, bool)
         known[(unique * MULTIPLIER) >> np.uint64(64 - BITS)] = True
-        return Items(ids, forms, e, m + 1 - Q * (e + 1), known, unique, np.append(first, len(g)), item, place)
+        return Items(q, ids, forms, e, m + 1 - q * (e + 1), known, unique, np.append(first, len(g)), item, place)
+
+    def _cells(self, at: np.ndarray, where: np.ndarray, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, half band) of the shared q-grams, at most MOST at a time or those of one place."""
+        size = self.first[where + 1] - self.first[where]
+        edges = np.unique(np.concatenate([np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), MOST), "right"), [len(size)]]))
+        for lo, hi in zip(np.append(0, edges[:-1]).tolist(), edges.tolist(), strict=True):
+            s = size[lo:hi]
+            post = np.repeat(self.first[where[lo:hi]] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+            item = self.item[post]
+            yield item, (np.repeat(at[lo:hi], s) - self.place[post] + shift) // (self.edits[item] + 1)
 
     def bands(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal) of the bands of b that reach the bound."""
-        g = grams(b)
+        g, none = grams(b, self.q), (np.empty(0, np.int64), np.empty(0, np.int64))
         at = np.flatnonzero(self.known[(g * MULTIPLIER) >> np.uint64(64 - BITS)])
-        if not len(at) or not len(self.gram):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         where = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         ok = self.gram[where] == g[at]
         at, where = at[ok], where[ok]
-        size = self.first[where + 1] - self.first[where]
-        reach = 2 * int(max(len(t) for t in self.texts)) + Q
-        if size.sum() > MOST and len(b) > 4 * reach:
-            half = len(b) // 2
-            left, right = self.bands(b[: half + reach]), self.bands(b[half:])
-            both = np.stack([np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1] + half])])
-            return tuple(np.unique(both, axis=1))
-        post = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        item = self.item[post]
-        w = self.edits[item] + 1
-        shift = int(max((len(t) for t in self.texts), default=0))
-        cell = (np.repeat(at, size) - self.place[post] + shift) // w
+        if not len(at):
+            return none
+        shift = max(len(t) for t in self.texts)
         # a table of sums that may mix cells, so never too small, first thins out the matches
-        mask = (1 << BITS) - 1
-        slot = item * 1000003 + cell
-        table = np.bincount(slot & mask, minlength=1 << BITS)
-        own = table[slot & mask]
-        most = own + np.maximum(table[(slot + 1) & mask], table[(slot - 1) & mask])
-        ok = most >= self.bound[item]
-        key, n = np.unique(item[ok] << 40 | cell[ok], return_counts=True)
+        mask, table, keys, counts = (1 << BITS) - 1, np.zeros(1 << BITS, np.int64), [], []
+        for item, cell in self._cells(at, where, shift):
+            table += np.bincount(item * 1000003 + cell & mask, minlength=1 << BITS)
+        for item, cell in self._cells(at, where, shift):
+            slot = item * 1000003 + cell
+            ok = table[slot & mask] + np.maximum(table[slot + 1 & mask], table[slot - 1 & mask]) >= self.bound[item]
+            key, n = np.unique(item[ok] << 40 | cell[ok], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+        key, of = np.unique(np.concatenate(keys), return_inverse=True)
         if not len(key):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        below, c = np.union1d(key, key - 1), np.zeros(len(key) + 1, np.int64)
-        c[:-1] = n
+            return none
+        n = np.bincount(of, np.concatenate(counts)).astype(np.int64)
+        below, c = np.union1d(key, key - 1), np.append(n, 0)
         find = lambda k: c[np.where(np.append(key, -9)[np.searchsorted(key, k)] == k, np.searchsorted(key, k), len(key))]
         total = find(below) + find(below + 1)
         item = below >> 40
@@ -165,7 +176,7 @@ class Items:
 def held(items: Items, column: pa.Array, part_bytes: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) for a batch; texts are joined up to part_bytes, longer ones cut with overlaps."""
     raw, offsets = batch_bytes(column)
-    overlap = 2 * max((len(t) for t in items.texts), default=0) + Q
+    overlap = 2 * max(len(t) for t in items.texts) + items.q
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     parts: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -214,23 +225,21 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield [(r["item_id"], r["text"]) for r in block.toLocalIterator()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_item: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, edits, start_byte, end_byte of every document and item that it holds."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     out = None
     for rows in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Items.build(rows, rate, least_item))
+        shared = spark.sparkContext.broadcast(Items.build(rows, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             for b in batches:
                 ids = b.column("doc_id")
-                got = [(ids[t].as_py(), items.ids[i], e, s, z) for t, i, e, s, z in held(items, b.column("text"))]
+                got = [(ids[t].as_py(), items.ids[i], e, s, z) for items in shared.value for t, i, e, s, z in held(items, b.column("text"))]
                 cols = list(zip(*got, strict=True)) if got else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits", "start_byte", "end_byte"])
 
-        part = texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start_byte long, end_byte long")
+        part = mapped(texts(docs), run, "doc_id long, item_id long, edits long, start_byte long, end_byte long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -238,17 +247,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_item:
 def _holds_none(shared: Broadcast) -> Callable[[Column], Column]:
     @F.pandas_udf("boolean")
     def clean(s: pd.Series) -> pd.Series:
-        dirty = {t for t, *_ in held(shared.value, pa.array(s.fillna(""), pa.large_string()))}
+        column = pa.array(s.fillna(""), pa.large_string())
+        dirty = {t for items in shared.value for t, *_ in held(items, column)}
         return pd.Series([i not in dirty for i in range(len(s))])
 
     return clean
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_item: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs that hold no item."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     for rows in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Items.build(rows, rate, least_item))
+        shared = spark.sparkContext.broadcast(Items.build(rows, rate))
         docs = docs.where(_holds_none(shared)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return docs

@@ -12,7 +12,9 @@ The templates are constants of this module, so what is broadcast doesn't grow wi
 data. The rows of one text meet in one task after the join, where only matches are left.
 
 Nulls count as empty texts. A repeated row gives a repeated result. Texts without words
-have no labels, score 0 and null places. Extra columns are ignored.
+have no labels, score 0 and null places. Very long texts are scanned whole. Ties: places of
+equal phrases all count, and of several spans the best gives the score. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def _mask(q: int) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slack: int = SLACK, least_cover: float = LEAST_COVER, least_dense: float = LEAST_DENSE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs."""
-    own = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    own = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
     at = own.select("doc_id", "th", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("w") - K))).alias("i"))
     gram = [F.get("w", F.col("i") + s) for s in range(K)]
     keyed = at.withColumn("h", F.when(F.col("i") < 0, F.lit(0)).otherwise(F.xxhash64(*gram)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, staged, texts
+from quillspark.llm.common import mapped, staged, texts
 
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = ", ".join(f"{c} long" for c in FIELDS) + ", ids binary"
@@ -144,7 +144,6 @@ def _powers(windows: list[Window], size: int, out: Callable[[Window], None]) ->
 def pack(docs: DataFrame, json_file: str, ranks_file: str | None = None, size: int = 2048, end_id: int = 1, windows: int = 16, fanin: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    bounded_batches(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, e = ByteBpe(json_file, ranks_file), _Emitter(0)
@@ -176,7 +175,7 @@ def pack(docs: DataFrame, json_file: str, ranks_file: str | None = None, size: i
 
         return run
 
-    got = staged(texts(docs, id_col, text_col).mapInArrow(first, SCHEMA), "packed")
+    got = staged(mapped(texts(docs, id_col, text_col), first, SCHEMA), "packed")
     done = got.where("ids is null")
     left = got.where("ids is not null")
     parts = (left.agg(F.max(F.shiftright("sequence_id", PARTITION).bitwiseAND((1 << LEVEL - PARTITION) - 1))).first()[0] or 0) + 1
@@ -186,7 +185,7 @@ def pack(docs: DataFrame, json_file: str, ranks_file: str | None = None, size: i
         groups = -(-parts // fanin)
         group = F.shiftright("sequence_id", PARTITION).bitwiseAND((1 << LEVEL - PARTITION) - 1) % groups
         dealt = left.repartition(groups, group) if groups > 1 else left.coalesce(1)
-        got = staged(dealt.mapInArrow(merge(level, groups == 1), SCHEMA), "packed")
+        got = staged(mapped(dealt, merge(level, groups == 1), SCHEMA), "packed")
         done = done.unionByName(got.where("ids is null"))
         if groups == 1:
             return done.select(*FIELDS)

@@ -7,12 +7,14 @@ over the bag, weights the hidden vectors h of the passages; a logistic layer sco
 weighted sum. Only document labels teach it.
 
 The model is fitted on the driver to at most `sample` labelled documents, drawn by a hash
-of their ids, and at most `passages` evenly spaced passages of each; that bounds what the
-driver holds. Scoring reads every passage.
+of their ids; that bounds the rows that the driver holds. Training and scoring read every
+passage, of very long texts too.
 
 Null and empty texts are bags of one passage without words. Repeated rows give repeated
-rows; of several labels of one id the largest counts; without labels of both kinds the
-score is the share of good labels (0.5 without any). Extra columns are ignored.
+rows; of several labels of one id the largest counts, of several texts of one id that of the
+smallest hash is learnt from; equal texts have equal scores. Without labels of both kinds the
+score is the share of good labels (0.5 without any). Empty documents give an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import Words, batch_bytes
-from quillspark.llm.common import bounded_batches, texts
+from quillspark.llm.common import cut, held_out_train, labelled_sample, mapped, texts
 
 #: Byte classes: 0 lower-case letter, 1 capital, 2 digit, 3 white space, 4 sentence mark, 5 comma and the like, 6 other ASCII, 7 not ASCII.
 CLASS = np.full(256, 6, np.uint8)
@@ -112,6 +114,21 @@ class AttentionModel:
         s = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return owner, h, t, g, a, z, s
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of bags first[i] .. first[i + 1] of scaled passages, by weight."""
+        owner, h, t, g, a, z, s = self._forward(x, first)
+        p = self.p
+        ds = ((s - y) / len(y)).astype(h.dtype)
+        dz = ds[:, None] * p["c"]
+        dh = a[:, None] * dz[owner]
+        da = np.einsum("ij,ij->i", h, dz[owner])
+        de = a * (da - np.add.reduceat(a * da, first[:-1])[owner])
+        dtg = de[:, None] * p["w"]
+        dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+        dh += dt @ p["V"].T + dg @ p["U"].T
+        dpre = dh * (1 - h * h)
+        return {"W": x.T @ dpre, "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+
     def scores(self, x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Scores of n bags; each has a passage at least, and owner ascends."""
         if self.p is None:
@@ -138,20 +155,8 @@ class AttentionModel:
             order = rng.permutation(len(y))
             for k in range(0, len(order), batch):
                 ids = order[k : k + batch]
-                xs = np.concatenate([bags[i] for i in ids])
                 first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in ids])])
-                owner, h, t, g, a, z, s = m._forward(xs, first)
-                p = m.p
-                ds = ((s - y[ids]) / len(ids)).astype(np.float32)
-                dz = ds[:, None] * p["c"]
-                dh = a[:, None] * dz[owner]
-                da = np.einsum("ij,ij->i", h, dz[owner])
-                de = a * (da - np.add.reduceat(a * da, first[:-1])[owner])
-                dtg = de[:, None] * p["w"]
-                dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-                dh += dt @ p["V"].T + dg @ p["U"].T
-                dpre = dh * (1 - h * h)
-                grad = {"W": xs.T @ dpre, "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+                p, grad = m.p, m.gradient(np.concatenate([bags[i] for i in ids]), first, y[ids])
                 step += 1
                 lr = rate * min(1, 2 * (1 - epoch / epochs))
                 for name, gr in grad.items():
@@ -162,42 +167,17 @@ class AttentionModel:
         return m
 
 
-def fold(doc_id: Column, parts: int) -> Column:
-    """CRC-32 of the id as text, modulo parts."""
-    return F.crc32(doc_id.cast("string")) % parts
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, sample: int) -> DataFrame:
-    """At most `sample` rows (doc_id, y, text) of labelled training documents, by a hash of their ids."""
-    drawn = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & train)
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    return texts(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
-
-
-def train_model(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 4000, most_passages: int = 48, passage_words: int = 64) -> AttentionModel:
-    """Fit to the bounded sample; train says of a doc_id whether its label may be used."""
-    bounded_batches(docs.sparkSession)
+def train_model(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 4000, passage_words: int = 64) -> AttentionModel:
+    """Fit to the bounded sample, all passages of each; train says of a doc_id whether its label may be used."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, owner = passages(b.column("text"), passage_words)
             first = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            rows = []
-            for i in range(b.num_rows):
-                bag = x[first[i] : first[i + 1]]
-                if len(bag) > most_passages:
-                    bag = bag[np.linspace(0, len(bag) - 1, most_passages).astype(int)]
-                rows.append(bag.astype("<f4").tobytes())
+            rows = [x[first[i] : first[i + 1]].astype("<f4").tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "bag"])
 
-    got = labelled_sample(docs, labels, "quality", train, sample).mapInArrow(encode, "doc_id long, y int, bag binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = mapped(labelled_sample(docs, labels, "quality", train, sample), encode, "doc_id long, y int, bag binary").toPandas().sort_values("doc_id")  # `sample` rows at most
     bags = [np.frombuffer(r, "<f4").reshape(-1, FEATURES) for r in got["bag"]]
     return AttentionModel.fit(bags, got["y"].to_numpy(np.float32))
 
@@ -207,18 +187,14 @@ def scorer(model: AttentionModel, passage_words: int = 64) -> Callable[[Column],
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        x, owner = passages(pa.array(s.fillna(""), pa.large_string()), passage_words)
-        return pd.Series(model.scores(x, owner, len(s)))
+        out = []
+        for b in cut([pa.RecordBatch.from_arrays([pa.array(s.fillna(""), pa.large_string())], ["text"])]):
+            out.append(model.scores(*passages(b.column("text"), passage_words), b.num_rows))
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return score
 
 
-def held_out_train(parts: int, out: int) -> tuple[Column, Column]:
-    """(held out, for training) as columns of doc_id; a row without an id is neither scored with its label nor held out."""
-    rest = fold(F.col("doc_id"), parts)
-    return F.coalesce(rest == out, F.lit(False)), F.coalesce(rest != out, F.lit(False))
-
-
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, passage_words: int = 64, **fit: int) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     held_out, train = held_out_train(4, 2)

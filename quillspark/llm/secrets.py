@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, texts
+from quillspark.llm.common import mapped, texts
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -141,7 +141,6 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_checked for every row of docs."""
-    bounded_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_checked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             checked = pa.array([sum(k >= len(BASE) for _, k, _ in f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, digests, pa.array(map(_named, found), pa.string()), checked], names=names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long")
+    return mapped(texts(docs, id_col, text_col), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long")
 
 
 def redacted_text(text: str, mark: str = "[SECRET]") -> str:
@@ -167,8 +166,6 @@ def redacted_text(text: str, mark: str = "[SECRET]") -> str:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text_col replaced; all rows and columns stay, null texts too."""
-    bounded_batches(docs.sparkSession)
-
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
         return s.map(redacted_text, na_action="ignore")

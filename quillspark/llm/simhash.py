@@ -21,8 +21,10 @@ that a hot key can be split.
 
 Equal fingerprints are one class from the start, so copies are never paired.
 
-Nulls count as empty texts. Repeated rows give repeated rows. A row without an id gets the
-component of its fingerprint's class (null if no row with an id is in it).
+Nulls count as empty texts. Very long texts are hashed whole. Repeated rows give repeated rows,
+and rows of one id are linked each by its own text. A row without an id gets the component of
+its fingerprint's class (null if no row with an id is in it). Components have no ties: the
+smallest id names them. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, staged, texts
+from quillspark.llm.common import mapped, staged, texts
 from quillspark.llm.components import connected_components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -122,16 +124,19 @@ def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) for every row of docs."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) for every row of docs; th (a hash of the text) if hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter(map(fingerprint, b.column("text").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            cols = {n: b.column(n) for n in b.schema.names if n != "text"} | {"fp": pa.array(fps.view(np.int64))}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    own = texts(docs, id_col, text_col)
+    if hashed:
+        return mapped(own.select("doc_id", F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, fp long")
+    return mapped(own, run, "doc_id long, fp long")
 
 
 def links(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
@@ -163,17 +168,41 @@ def links(classes: DataFrame, max_bucket: int = 64) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def _components(classes: DataFrame, max_bucket: int) -> DataFrame:
+    """fp, component_id of distinct fingerprints (rep, fp): the smallest rep reachable."""
+    roots = connected_components(links(classes.where("rep is not null"), max_bucket))
+    return classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs."""
     fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = connected_components(links(classes.where("rep is not null"), max_bucket))
-    named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each component; rows without an id stay, rows that repeat an id are one."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+    return fps.join(_components(classes, max_bucket), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = 64, most_broadcast: int = 1 << 20) -> DataFrame:
+    """docs with one document of each component: that of the smallest id, of several texts of this id that of the smallest hash.
+
+    Rows that repeat both id and text are one document, of which the row of the smallest hash
+    stays. Rows without an id stay. An id that stands for texts of several components stays in
+    each. Up to most_broadcast keys of rows that go are broadcast, so texts aren't shuffled;
+    more are joined by a shuffle.
+    """
+    fps = staged(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints").where("doc_id IS NOT NULL")
+    key = ["doc_id", "th"]
+    classes = staged(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "classes")  # an id may stand for several texts
+    rows = fps.join(_components(classes, max_bucket), "fp").groupBy("component_id", *key).agg(F.count("*").alias("n"))
+    best = rows.groupBy("component_id").agg(F.min(F.struct(*key)).alias("best"))
+    judged = rows.join(best, "component_id").withColumn("stays", F.struct(*key) == F.col("best"))
+    goes = staged(judged.where("NOT stays OR n > 1").select(*key, "stays"), "goes")
+    few = goes.count() <= most_broadcast
+    hint = F.broadcast if few else (lambda df: df)
+    own = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))]
+    match = lambda k: (own[0] == k["__id"]) & (own[1] == k["__th"])
+    named = lambda df: hint(df.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
+    gone, again = named(goes), named(goes.where("stays"))
+    kept = docs.join(gone, match(gone), "left_anti")
+    repeated = docs.join(again, match(again), "left_semi")
+    one = repeated.groupBy(own[0].alias("__id"), own[1].alias("__th")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))).alias("__row"))
+    return kept.unionByName(one.select("__row.*"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import BASE, BASE_INVERSE, batch_bytes, powers
-from quillspark.llm.common import bounded_batches, staged, texts
+from quillspark.llm.common import mapped, staged, texts
 from quillspark.llm.induced_sort import Scratch, SuffixSorter
 
 GRAM = 32
@@ -316,7 +316,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 1000
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} at least")
-    bounded_batches(docs.sparkSession)
     own = texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     rows = own.mapInArrow(_anchor_rows(length), "gram long, context long, doc_id long, th long, lo int, more short, anchor short, known boolean")
     in_order = Window.partitionBy("gram", "context").orderBy("doc_id", "th", "lo")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, texts
+from quillspark.llm.common import mapped, texts
 
 MARK = "▁"
 
@@ -91,8 +91,6 @@ class PieceCounter:
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, chunk_chars: int = 65536, overlap: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model_file, chunk_chars, overlap)
         for b in batches:
@@ -100,4 +98,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, chunk_char
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return mapped(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

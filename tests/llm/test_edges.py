@@ -61,3 +61,33 @@ def test_stages(spark, odd, none_at_all, labels, benchmark, tmp_path):
 
 def test_names_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "decontamination", "secrets", "packing"]
+
+
+ROWS = "doc_id long, text string, __id string, component_id string, th string"
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_simhash_stage_keeps_texts_that_share_an_id(spark, most):
+    a, b = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"one{i}" for i in range(40))
+    rows = [(3, a, "x"), (3, b, "y"), (5, a, "z"), (3, a, "w"), (7, "single", "s"), (7, "single", "s"), (None, a, "n"), (8, None, "e"), (9, "", "f")]
+    docs = spark.createDataFrame([(i, t, x, x, None) for i, t, x in rows], ROWS)
+    got = simhash.deduplicated(docs, most_broadcast=most)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
+    assert kept == sorted([("3", a), ("3", b), ("7", "single"), ("None", a), ("8", "")])
+    again = sorted(map(str, simhash.deduplicated(docs.repartition(5), most_broadcast=most).collect()))
+    assert again == sorted(map(str, got.collect()))
+
+
+def test_values_on_odd_tables(odd, labels, benchmark):
+    """Repeated ids with different texts, very long texts, clashing columns: each row has the value of its own text."""
+    alone = {"licenses": ("n_words", "score"), "secrets": ("spans",), "tokens": ("n_tokens",), "simhash": ("fingerprint",), "toxicity": ("score",), "quality": ("score",), "chroma": ("fingerprint_sha256",)}
+    numbered = odd.collect()
+    spark = odd.sparkSession
+    unique = spark.createDataFrame([(100 + k, r["text"]) for k, r in enumerate(numbered)], "doc_id long, text string")
+    for name, columns in alone.items():
+        if name in ("toxicity", "quality"):
+            continue  # their models need the labels of the ids
+        mine = {r["doc_id"] - 100: tuple(r[c] for c in columns) for r in PER_ROW[name](unique, labels, benchmark).collect()}
+        want = sorted(str((r["doc_id"], mine[k])) for k, r in enumerate(numbered))
+        assert sorted(str((r["doc_id"], tuple(r[c] for c in columns))) for r in PER_ROW[name](odd, labels, benchmark).collect()) == want
