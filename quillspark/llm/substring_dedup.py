@@ -12,16 +12,20 @@ judged on the input.
 2. Shards. Anchors with several contexts send the bytes of their windows, of the first of
    each context, to the shard that the anchor's hash names. There, windows are left out whose
    surroundings of the anchor no other context has. What is left is one text on disk; its
-   suffixes are sorted by induction with their common prefixes (see induced_sort), and runs
-   of windows with `length` common bytes are equal windows: all but the first go. Anchors of
-   more than most_contexts contexts are split: each quarter of their windows goes to the shard
-   that what all of them hold around the anchor names, and batches first settle equal ones
-   among their own.
+   suffixes are sorted by recursive induction with their common prefixes (see induced_sort),
+   and runs of windows with `length` common bytes are equal windows: all but the first go.
+   The rows of a shard and where they are from are files too; `memory` bounds what is held
+   beside an Arrow batch. Anchors of more than most_contexts contexts are split: each quarter
+   of their windows goes to the shard that what all of them hold around the anchor names, and
+   batches first settle equal ones among their own.
 3. The windows that go are joined to the texts as ranges.
 
-Nulls count as empty texts. Rows that repeat both id and text are one document with as many
-result rows; texts of one id are told apart by their hash, the smaller first; a null id comes
-before all others. Extra columns are ignored.
+Nulls count as empty texts; very long texts are read in segments, and a window belongs to one.
+Rows that repeat both id and text are one document with as many result rows; texts of one id
+are told apart by their hash, the smaller first; a null id comes before all others. An empty
+table gives an empty result. Extra columns are ignored. Contexts are told apart by 64-bit
+hashes, not by their bytes: of two that differ but had equal hashes, one would be taken for the
+other.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import BASE, BASE_INVERSE, batch_bytes, powers
 from quillspark.llm.common import mapped, staged, texts
-from quillspark.llm.induced_sort import Scratch, SuffixSorter
+from quillspark.llm.induced_sort import Rows, Scratch, SuffixSorter
 
 GRAM = 32
 SEGMENT = 1 << 21
@@ -187,39 +191,86 @@ def _shared_keys(raw: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, shard
     return out
 
 
-def _shared_windows(anchor: np.ndarray, shard: np.ndarray, size: np.ndarray, keys: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+def _shared_windows(scratch: Scratch, meta: Rows, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last window of each row that may be equal to another row's: its quarter's key is not alone.
 
     Equal windows of an anchor have equal keys, so none is lost; rows without an anchor are
     of one quarter already, which names their shard.
     """
-    first, last = np.full(len(anchor), np.iinfo(np.int64).max), np.full(len(anchor), -1)
-    for h, (left, _, most) in zip(keys, _quarters(length), strict=True):
-        _, of, n = np.unique(h, return_inverse=True, return_counts=True)
-        shared = (h != 0) & (n[of] > 1)
-        first[shared] = np.minimum(first[shared], anchor[shared] - most)
-        last[shared] = np.maximum(last[shared], anchor[shared] - left)
-    _, of, n = np.unique(shard, return_inverse=True, return_counts=True)
-    whole = (anchor < 0) & (n[of] > 1)
-    first[whole], last[whole] = 0, size[whole] - length
-    return np.maximum(first, 0), np.minimum(last, size - length)
-
-
-def _joined(scratch: Scratch, path: Path, begin: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The parts (begin, size) of a file, each with a border behind it, as one text."""
-    source, text = np.memmap(path, np.uint8, "r"), scratch.array(int(start[-1]), np.uint8)
-    for k in range(0, len(begin), 8192):
-        part = slice(k, k + 8192)
-        n = size[part] + 1
-        where = np.repeat(begin[part] - (start[k] + np.concatenate([[0], np.cumsum(n)[:-1]])), n) + np.arange(start[k], start[k] + n.sum())
-        piece = source[np.minimum(where, len(source) - 1)]
-        piece[np.cumsum(n) - 1] = BORDER
-        text[start[k] : start[k] + len(piece)] = piece
-    return text
+    first, last = scratch.array(meta.n, np.int64), scratch.array(meta.n, np.int64)
+    last[:] = -1
+    first[:] = np.iinfo(np.int64).max
+
+    def mark(b: np.ndarray, shared: np.ndarray) -> None:
+        b = b[shared]
+        first[b["i"]] = np.minimum(first[b["i"]], b["lo"])
+        last[b["i"]] = np.maximum(last[b["i"]], b["hi"])
+
+    quarters = _quarters(length)
+    for k in range(len(quarters) + 1):
+        keyed, at = Rows(scratch, {"key": "u8", "i": "i8", "lo": "i8", "hi": "i8"}), 0
+        for b in meta.blocks():
+            i = at + np.arange(len(b))
+            at += len(b)
+            if k == len(quarters):
+                ok, key, lo, hi = b["anchor"] < 0, b["shard"].view(np.uint64), np.zeros(len(b), np.int64), b["size"] - length
+            else:
+                left, _, most = quarters[k]
+                ok, key, lo, hi = b[f"k{k}"] != 0, b[f"k{k}"], b["anchor"] - most, b["anchor"] - left
+            keyed.add(key[ok], i[ok], lo[ok], hi[ok])
+        held = None  # the last row of a block, which the next tells whether it is alone
+        for b in keyed.ordered(("key",)):
+            b = b if held is None else np.concatenate([held, b])
+            equal = np.zeros(len(b) + 1, bool)
+            equal[1:-1] = b["key"][1:] == b["key"][:-1]
+            mark(b, equal[1:] | equal[:-1])
+            held = b[-1:]
+        scratch.release()
+    for at in range(0, meta.n, scratch.block):
+        part = slice(at, at + scratch.block)
+        first[part] = np.maximum(first[part], 0)
+    return first, last
+
+
+def _gathered(scratch: Scratch, path: Path, meta: Rows, length: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The windows that may be equal to others as one text, a border behind each row's, and where they are from."""
+    first, last = _shared_windows(scratch, meta, length)
+    kept, text, at, end = Rows(scratch, {"doc": "i8", "th": "i8", "lo": "i8", "start": "i8"}), scratch.path(), 0, 0
+    source = np.memmap(path, np.uint8, "r")
+    scratch.maps.append(source)
+    with text.open("wb") as f:
+        for b in meta.blocks():
+            lo, hi = np.asarray(first[at : at + len(b)]), np.asarray(np.minimum(last[at : at + len(b)], b["size"] - length))
+            at += len(b)
+            ok = lo <= hi
+            b, lo, hi = b[ok], lo[ok], hi[ok]
+            n = hi - lo + length + 1
+            begin, start = b["begin"] + lo, end + np.cumsum(n) - n
+            for k in range(0, len(b), 4096):
+                size = n[k : k + 4096]
+                piece = source[np.minimum(np.repeat(begin[k : k + 4096] - (np.cumsum(size) - size), size) + np.arange(size.sum()), len(source) - 1)]
+                piece[np.cumsum(size) - 1] = BORDER
+                f.write(piece.tobytes())
+            kept.add(b["doc"], b["th"], b["lo"] + lo, start)
+            end += int(n.sum())
+            scratch.release()
+    rows, at = {name: scratch.array(kept.n + (name == "start"), np.int64) for name in kept.dtype.names}, 0
+    for b in kept.blocks():
+        for name in kept.dtype.names:
+            rows[name][at : at + len(b)] = b[name]
+        at += len(b)
+    rows["start"][at:] = end
+    for x in (first, last, source):
+        scratch.maps = [m for m in scratch.maps if m is not x]
+    out = np.memmap(text, np.uint8, "r") if end else np.empty(0, np.uint8)
+    if end:
+        scratch.maps.append(out)
+    return out, rows
 
 
 def _later_windows(length: int, memory: int) -> Callable:
-    """Sort one shard; the windows that are not the first of their kind, as ranges (doc_id, th, lo, hi)."""
+    """Sort the shards of a task; the windows that are not the first of their kind, as ranges (doc_id, th, lo, hi)."""
+    names = ["doc", "th", "anchor", "lo", "shard", "begin", "size", *(f"k{k}" for k in range(len(_quarters(length))))]
 
     def ranges(doc: np.ndarray, th: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
         sort = np.lexsort([lo, th, doc])
@@ -233,61 +284,50 @@ def _later_windows(length: int, memory: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Scratch(memory) as scratch:
-            path, at, gone, rows = scratch.path(), 0, [], []
+            path, at, meta = scratch.path(), 0, Rows(scratch, {n: "u8" if n[0] == "k" else "i8" for n in names})
             with path.open("wb") as f:
                 for b in batches:
                     doc, th, lo, anchor, shard = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "lo", "anchor", "shard"))
                     raw, offsets = batch_bytes(b.column("bytes"))
                     live = lo >= 0
                     n = anchor[~live] + 1
-                    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    gone.append((np.repeat(doc[~live], n), np.repeat(th[~live], n), np.repeat(-1 - lo[~live], n) + each))
+                    if len(n):
+                        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        yield ranges(np.repeat(doc[~live], n), np.repeat(th[~live], n), np.repeat(-1 - lo[~live], n) + each)
                     f.write(raw.tobytes())
-                    rows.append([x[live] for x in (doc, th, lo, anchor, shard, at + offsets[:-1], np.diff(offsets), *_shared_keys(raw, offsets, anchor, shard, length))])
+                    columns = dict(zip(names, [doc, th, anchor, lo, shard, at + offsets[:-1], np.diff(offsets), *_shared_keys(raw, offsets, anchor, shard, length)], strict=True))
+                    meta.add(*(columns[n][live] for n in names))
                     at += len(raw)
-            if not rows:
+            if not meta.n or not at:
                 return
-            if sum(len(x[0]) for x in gone):
-                yield ranges(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            doc, th, lo, anchor, shard, begin, size, *keys = (np.concatenate(x) for x in zip(*rows, strict=True))
-            del rows
-            first, last = _shared_windows(anchor, shard, size, keys, length)
-            keep = first <= last
-            doc, th, lo, begin, first, last = (x[keep] for x in (doc, th, lo, begin, first, last))
-            lo, begin, size = lo + first, begin + first, last - first + length
-            if not len(lo):
+            text, rows = _gathered(scratch, path, meta, length)
+            if not len(text):
                 return
-            start = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int64)
-            text, at = _joined(scratch, path, begin, size, start), int(start[-1])
-            run_no, open_rows, found, held = 0, [], [], 0
+            run_no, least, found, held = 0, None, [], 0  # least: the first of the windows of the run that goes on
             for place, common in SuffixSorter(text, scratch, length).descending():
-                row = np.searchsorted(start, place, side="right") - 1
+                row = np.searchsorted(rows["start"], place, side="right") - 1
                 run = run_no + np.cumsum(common < length)
                 run_no = int(run[-1])
-                ok = place + length < start[row + 1]  # the border is the last byte of a row
-                row, run, offset = row[ok], run[ok], (place - start[row])[ok]
-                if open_rows:
-                    row, run, offset = (np.concatenate([o, x]) for o, x in zip(open_rows, (row, run, offset), strict=True))
-                done = run < run_no
-                open_rows = [x[~done] for x in (row, run, offset)]
-                row, run, offset = row[done], run[done], offset[done]
-                found.append(_not_first(run, doc[row], th[row], lo[row] + offset))
-                held += len(found[-1][0])
-                if held > 1 << 18:
+                ok = place + length < rows["start"][row + 1]  # the border is the last byte of a row
+                row, run = row[ok], run[ok]
+                columns = [run, rows["doc"][row], rows["th"][row], rows["lo"][row] + (place[ok] - rows["start"][row])]
+                if least is not None:
+                    columns = [np.concatenate(x) for x in zip(least, columns, strict=True)]
+                if not len(columns[0]):
+                    continue
+                later = ~_first_of(columns[:1], columns[1:])
+                found.append([c[later] for c in columns[1:]])
+                held += int(later.sum())
+                least = [c[~later][columns[0][~later] == columns[0][-1]] for c in columns]
+                if held > scratch.block:
                     yield ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
                     found, held = [], 0
-            row, run, offset = open_rows
-            found.append(_not_first(run, doc[row], th[row], lo[row] + offset))
-            yield ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            if held:
+                yield ranges(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
-def _not_first(run: np.ndarray, doc: np.ndarray, th: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    later = ~_first_of([run], [doc, th, lo])
-    return doc[later], th[later], lo[later]
-
-
 def _cut(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,12 +352,12 @@ def _cut(length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 1000, memory: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, most_contexts: int = 200, memory: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} at least")
     own = texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    rows = own.mapInArrow(_anchor_rows(length), "gram long, context long, doc_id long, th long, lo int, more short, anchor short, known boolean")
+    rows = mapped(own, _anchor_rows(length), "gram long, context long, doc_id long, th long, lo int, more short, anchor short, known boolean")
     in_order = Window.partitionBy("gram", "context").orderBy("doc_id", "th", "lo")
     by_gram = Window.partitionBy("gram")
     repeats = (

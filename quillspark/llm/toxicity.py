@@ -253,7 +253,7 @@ def _voter(index: Callable[[], BlockMaxIndex], passage_words: int, evidence: int
     return run
 
 
-def train_index(docs: DataFrame, labels: DataFrame, sample: int = 4000, passage_words: int = 128, block: int = 64, k: int = 80) -> BlockMaxIndex:
+def train_index(docs: DataFrame, labels: DataFrame, sample: int = 3200, passage_words: int = 128, block: int = 64, k: int = 80) -> BlockMaxIndex:
     """Fit to the bounded sample of labelled documents: at most `sample` rows, each whole."""
     spark = docs.sparkSession
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

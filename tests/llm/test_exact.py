@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -320,7 +322,8 @@ def test_connected_components(spark):
 def test_suffixes_by_induction(b, depth, block, memory):
     b += b"\xff"
     with induced_sort.Scratch(memory) as s:
-        got = list(induced_sort.SuffixSorter(np.frombuffer(b, np.uint8), s, depth, block).descending())
+        s.block = block
+        got = list(induced_sort.SuffixSorter(np.frombuffer(b, np.uint8), s, depth).descending())
         folder = s.folder
     place, common = (np.concatenate(x) for x in zip(*got, strict=True))
     keys = [b[p : p + depth] for p in place]
@@ -329,6 +332,43 @@ def test_suffixes_by_induction(b, depth, block, memory):
         assert c == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
 
 
+def test_suffixes_of_long_texts_by_recursion():
+    """Several levels of names, on disk and in memory, with runs, repeats and long substrings."""
+    r = random.Random(12)
+    piece = ["".join(r.choice("abcde ") for _ in range(r.randint(1, 90))) for _ in range(30)]
+    texts = ["".join(r.choice(piece) for _ in range(300)), "ab" * 4000, "a" * 3000 + "b" + "a" * 3000, "".join(r.choice("abcdefghij") for _ in range(9000))]
+    for t in texts:
+        b = t.encode() + b"\xff"
+        for memory in (0, 1 << 26):
+            with induced_sort.Scratch(memory) as s:
+                place = np.concatenate([p for p, _ in induced_sort.SuffixSorter(np.frombuffer(b, np.uint8), s, 100).descending()])
+            keys = [b[p : p + 100] for p in place]
+            assert sorted(place.tolist()) == list(range(len(b))) and keys == sorted(keys, reverse=True)
+
+
+def test_memory_of_the_sort_does_not_grow():
+    code = """
+import random, sys
+import numpy as np
+from quillspark.llm.induced_sort import Scratch, SuffixSorter
+r = random.Random(1)
+words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+with Scratch(1 << 20) as s:
+    t, at, peak = s.array(int(sys.argv[1]), np.uint8), 0, lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1])
+    while at < len(t) - 1:
+        b = np.frombuffer((r.choice(words) + " ").encode(), np.uint8)[: len(t) - 1 - at]
+        t[at : at + len(b)] = b
+        at += len(b)
+    t[-1] = 255
+    before = peak()
+    n = sum(len(p) for p, _ in SuffixSorter(t, s, 100).descending())
+    assert n == len(t)
+    print(peak() - before)
+"""
+    grown = [int(subprocess.run([sys.executable, "-c", code, str(n)], capture_output=True, check=True, text=True).stdout) for n in (1 << 19, 1 << 21)]
+    assert grown[1] < 65536 and grown[1] - grown[0] < 24576
+
+
 def plain_repeats(rows, length=100):
     seen, out = set(), {}
     for d, t in sorted(rows):
