@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates as D
 from quillspark.functions import lexicon as L
-from quillspark.functions import names as N
 from quillspark.functions import text as X
-from quillspark.functions.similarity import name_similarity
 from quillspark.operators import dataset, extract, graph, linkage, quality, search
 from quillspark.plans import analytics as A
+from quillspark.plans import forms as _forms  # noqa: F401 (registers its queries)
+from quillspark.plans import people as _people  # noqa: F401
 from quillspark.plans.register import SQL as REG
 from quillspark.plans.register import register, table
+from quillspark.plans.registry import ORACLE, QUERIES, query
 from quillspark.sources import pages, sinks
 from quillspark.sources.templates import ColumnSpec, Template, template
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _analysis(name: str, sql: str) -> None:
     key = name.replace("-", "_")
     QUERIES[key] = lambda spark, sf_dir, name=name: A.analysis(name, register(spark, sf_dir))
@@ -174,46 +158,6 @@ def enriched_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.enriched(m, r.events).select("id", "father_given", "mother_given", "year_min", "year_max")
 
 
-def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as mentions of baptisms and weddings, for linkage."""
-    k = F.col("c_custkey")
-    given = F.element_at(F.array(*(F.lit(g) for g in sorted(L.GIVEN_VARIANTS))), (k % 44 + 1).cast("int"))
-    c = table(spark, sf_dir, "customer")
-    surname = F.translate(F.format_string("%05d", F.floor(k / 4) * 7919 % 99991), "0123456789", "abcdefghij")
-    m = c.select(
-        k.alias("id"), k.alias("record_id"), F.when(k % 2 == 0, "dite").otherwise("zenich").alias("role"), F.lit(0).alias("ordinal"), given.alias("given_name"), surname.alias("surname"),
-        given.alias("given_norm"), surname.alias("surname_norm"), F.lit("").alias("maiden_norm"), F.lit("m").alias("sex"), F.lit("").alias("marital_status"),
-        F.concat(F.lit("P"), (k % 3).cast("string")).alias("place_text"), F.when(k % 2 == 0, (1870 + k % 30).cast("int")).alias("birth_year"),
-    )
-    e = m.select("record_id", F.when(F.col("role") == "dite", "birth").otherwise("marriage").alias("type"), (1870 + F.col("id") % 30 + F.when(F.col("role") == "zenich", 25).otherwise(0)).cast("int").alias("year"))
-    return m, e
-
-
-@query()
-def linkage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, e = _people(spark, sf_dir)
-    return linkage.scored_pairs(linkage.enriched(m, e)).select("a", "b", F.round("score", 9).alias("score"))
-
-
-@query()
-def linkage_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, e = _people(spark, sf_dir)
-    return linkage.link(m, e).persons
-
-
-@query()
-def linkage_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, e = _people(spark, sf_dir)
-    first = linkage.link(m, e)
-    return linkage.link(m, e, previous=first.person_mentions).person_mentions
-
-
-@query()
-def name_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.col("p_type").alias("b")).distinct()
-    return p.withColumn("similarity", F.round(name_similarity(F.lower("a"), F.lower("b")), 9))
-
-
 _WORDS = "(SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)"
 _FOLD = f"replace(translate(lower(word), '{L.FOLD_FROM}', '{L.FOLD_TO}'), 'ß', 'ss')"
 _TRIM = r"regexp_replace(word, '^\s+|\s+$', '', 'g')"
@@ -475,13 +419,6 @@ def extracted_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_mentions(_fake_records(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query()
-def person_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _fake_records(spark, sf_dir)
-    cell = F.coalesce(*(F.try_element_at("cells", F.lit(k)) for k in ("otec_jmeno_stav", "zenich_jmeno_stav_rodice", "zemrely_jmeno_stav")))
-    return r.select("record_id", N.parse_person_cell(cell).alias("c")).select("record_id", "c.p.given_norm", "c.p.surname_norm", F.col("c.f.given_norm").alias("father"), F.col("c.m.maiden_norm").alias("mother_maiden"))
-
-
 @query("SELECT lang AS book_id, count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS json_valid, count(*) FILTER (doc_id % 10 <> 0) AS rowcount_match, avg(CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 4 = 0)::INT / 4.0 END) AS cer, avg(CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 4 <> 0)::INT END) AS field_accuracy FROM documents GROUP BY ROLLUP (lang)")
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

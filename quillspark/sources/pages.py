@@ -66,7 +66,7 @@ def records(pages: DataFrame) -> DataFrame:
 
     The cell record_type, if it is filled, names the type; else the page does.
     """
-    rows = pages.where(F.col("page.rows").isNotNull()).select("book_id", "line_no", "page.file", "page.typ", F.posexplode("page.rows").alias("row_idx", "cells"))
+    rows = pages.where("page.ok AND page.rows IS NOT NULL").select("book_id", "line_no", "page.file", "page.typ", F.posexplode("page.rows").alias("row_idx", "cells"))
     return rows.select("book_id", "line_no", "file", "row_idx", first_non_empty(F.try_element_at("cells", F.lit("record_type")), "typ").alias("record_type"), "cells")
 
 
