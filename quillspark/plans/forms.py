@@ -20,8 +20,8 @@ from quillspark.sources.templates import template
 
 # (nominative, genitive, norm) of given names and (man's, woman's, genitives of both, norm) of surnames
 MEN = (("Tomáš", "Tomáše", "tomas"), ("Jakub", "Jakuba", "jakub"), ("Martin", "Martina", "martin"), ("Jiří", "Jiřího", "jiri"), ("Vojtěch", "Vojtěcha", "vojtech"))
-WOMEN = (("Terezie", "Terezie", "terezie"), ("Rozálie", "Rozálie", "rozalie"), ("Barbora", "Barbory", "barbora"), ("Alžběta", "Alžběty", "alzbeta"))
-SURNAMES = (("Zeman", "Zemanová", "Zemana", "Zemanové", "zeman"), ("Čihák", "Čiháková", "Čiháka", "Čihákové", "cihak"), ("Vondrák", "Vondráková", "Vondráka", "Vondrákové", "vondrak"), ("Holub", "Holubová", "Holuba", "Holubové", "holub"), ("Lánský", "Lánská", "Lánského", "Lánské", "lansky"))
+WOMEN = (("Terezie", "Terezie", "terezie"), ("Kateřina", "Kateřiny", "katerina"), ("Barbora", "Barbory", "barbora"), ("Alžběta", "Alžběty", "alzbeta"))
+SURNAMES = (("Zeman", "Zemanová", "Zemana", "Zemanové", "zeman"), ("Čihák", "Čiháková", "Čiháka", "Čihákové", "cihak"), ("Vondrák", "Vondráková", "Vondráka", "Vondrákové", "vondrak"), ("Holub", "Holubová", "Holuba", "Holubové", "holub"), ("Brdlanský", "Brdlanská", "Brdlanského", "Brdlanské", "brdlansky"))
 PLACES = ("Lubné", "Kamenici", "Brodci")
 TRADES = ("rolník", "kovář", "domkář")
 
