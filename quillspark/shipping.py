@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,10 +13,9 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a session, unless PYTHONPATH or the working folder has it."""
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _sent or any(p and Path(p).resolve() == ROOT.parent for p in places):
+    """Send the package to the executors, once a session; not where all runs on this machine."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app in _sent or master == "local" or master.startswith("local["):
         return
     path = Path(tempfile.mkdtemp(prefix="quillspark-")) / "quillspark.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder, removed at exit, where it is unset (tests)."""
+    """spark.checkpoint.dir, or a temporary folder, removed at exit, where it is unset and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quillspark-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -39,34 +39,34 @@ def roles_with(run, role, surname):
 
 def test_sources(run):
     assert run["pages"].count() == 4 and run["records"].count() == 7 and run["reg"].scans.count() == 4
-    assert rows(run["books"], "id", "district") == [("7001", "Kladno"), ("7002", ""), ("7003", "")]
+    assert rows(run["books"], "id", "district") == [("8101", "Tábor"), ("8102", ""), ("8103", "")]
     assert [r[0] for r in rows(run["records"], "record_id")] == list(range(1, 8))
 
 
 def test_extract(run):
     e = {r["record_id"]: r for r in run["events"].collect()}
-    assert (e[1]["date"], e[1]["house_no"], e[2]["date"], e[5]["date"], e[7]["year"]) == ("1876-03-12", "12", "1878-05-04", "1905-10-22", 1903)
+    assert (e[1]["date"], e[1]["house_no"], e[2]["date"], e[5]["date"], e[7]["year"]) == ("1861-09-07", "4", "1863-11-24", "1892-10-03", 1899)
     m = {(r["record_id"], r["role"], r["ordinal"]): r for r in run["mentions"].collect()}
-    assert m[1, "matka", 0]["surname"] == "Slavíková" and m[2, "dite", 0]["surname"] == "Dvořáková" and m[2, "dite", 0]["marital_status"] == "nemanzelsky"
-    assert m[4, "nevesta", 0]["birth_year"] == 1878 and m[4, "nevesta", 0]["extra"] == {"birth_date": "1878-05-04", "birth_date_precision": "day"}
-    assert m[5, "nevesta", 0]["raw_text"] == "Lhota č. 7 | 1876 | vdova" and m[5, "nevesta", 0]["marital_status"] == "vdova"
-    assert m[6, "zemrely", 0]["birth_year"] == 1831 and m[7, "zemrely", 0]["birth_year"] == 1852
+    assert m[1, "matka", 0]["surname"] == "Zemanová" and m[2, "dite", 0]["surname"] == "Holubová" and m[2, "dite", 0]["marital_status"] == "nemanzelsky"
+    assert m[4, "nevesta", 0]["birth_year"] == 1863 and m[4, "nevesta", 0]["extra"] == {"birth_date": "1863-11-24", "birth_date_precision": "day"}
+    assert m[5, "nevesta", 0]["raw_text"] == "Mlýnec č. 30 | 1867 | vdova" and m[5, "nevesta", 0]["marital_status"] == "vdova"
+    assert m[6, "zemrely", 0]["birth_year"] == 1835 and m[7, "zemrely", 0]["birth_year"] == 1851
     assert (2, "kmotr", 1) in m and (2, "babka", 0) not in m
-    assert sum(r["surname_norm"] == "vorechovsky" for r in m.values()) == 7
+    assert sum(r["surname_norm"] == "brdlansky" for r in m.values()) == 7
     ids = sorted((r["id"], r["record_id"]) for r in m.values())
     assert [i for i, _ in ids] == list(range(1, len(ids) + 1)) and [r for _, r in ids] == sorted(r for _, r in ids)
 
 
 def test_corrections_keep_ids(spark, run):
-    fix = spark.createDataFrame([(7, "zemrely_jmeno_stav", "Beneš Vít, nádeník v Lhotě, syn Tomáše Beneše")], "record_id long, cell_key string, corrected_value string")
+    fix = spark.createDataFrame([(7, "zemrely_jmeno_stav", "Vondrák Jakub, nádeník v Mlýnci, syn Tomáše Vondráka")], "record_id long, cell_key string, corrected_value string")
     again = extract.extract_mentions(run["records"], fix, run["mentions"])
     old, new = {tuple(r) for r in rows(run["mentions"], "id", "record_id", "role", "ordinal")}, {tuple(r) for r in rows(again, "id", "record_id", "role", "ordinal")}
     assert old < new and [r[1:3] for r in new - old] == [(7, "zemrely_otec")]
 
 
 def test_linkage(run):
-    assert "dite" in roles_with(run, "zenich", "slavik") and "dite" in roles_with(run, "nevesta", "dvorak") and "dite" in roles_with(run, "zenich", "vorechovsky")
-    assert {"otec", "zenich_otec"} <= roles_with(run, "zemrely", "slavik") and "zenich_otec" in roles_with(run, "otec", "vorechovsky")
+    assert "dite" in roles_with(run, "zenich", "zeman") and "dite" in roles_with(run, "nevesta", "holub") and "dite" in roles_with(run, "zenich", "brdlansky")
+    assert {"otec", "zenich_otec"} <= roles_with(run, "zemrely", "zeman") and "zenich_otec" in roles_with(run, "otec", "brdlansky")
     spouses = run["linked"].relations.where("type = 'spouse'")
     assert spouses.where("person_a >= person_b").count() == 0 and spouses.count() > 3
 
@@ -79,7 +79,7 @@ def test_rerun_is_stable(run):
 
 def test_constraints(spark, run):
     ids = {(r["role"], r["surname_norm"]): r["id"] for r in run["mentions"].collect()}
-    groom, child, dead = ids["zenich", "slavik"], ids["dite", "slavik"], [ids["zemrely", "slavik"], ids["zemrely", "benes"]]
+    groom, child, dead = ids["zenich", "zeman"], ids["dite", "zeman"], [ids["zemrely", "zeman"], ids["zemrely", "vondrak"]]
     cons = spark.createDataFrame([("cannot_link", groom, child), ("must_link", *dead), ("must_link", 9999, 1)], "kind string, mention_a long, mention_b long")
     got = {r["mention_id"]: r for r in linkage.link(run["mentions"], run["events"], cons, run["linked"].person_mentions).person_mentions.collect()}
     assert got[groom]["person_id"] != got[child]["person_id"] and got[dead[0]]["person_id"] == got[dead[1]]["person_id"]
@@ -130,10 +130,10 @@ def test_components(spark):
 def test_analyses(run):
     r = run["reg"]
     assert all(f(r).count() >= 0 for f in analytics.ANALYSES.values())
-    assert rows(analytics.timeline(r), "name", "birth", "marriage", "death") == [(1876, 1, 0, 0), (1878, 1, 0, 0), (1880, 1, 0, 0), (1901, 0, 1, 0), (1903, 0, 0, 2), (1905, 0, 1, 0)]
-    assert rows(analytics.legitimacy(r), "name", "manzelske", "nemanzelske") == [(1870, 1, 1), (1880, 1, 0)]
-    assert rows(analytics.remarriages(r), "name", "snatky", "vdovci", "vdovy") == [(1900, 2, 0, 1)]
-    assert dict(rows(analytics.lifespan(r), "name", "value")) == {50: 1, 70: 1}
+    assert rows(analytics.timeline(r), "name", "birth", "marriage", "death") == [(1861, 1, 0, 0), (1863, 1, 0, 0), (1866, 1, 0, 0), (1886, 0, 1, 0), (1892, 0, 1, 0), (1898, 0, 0, 1), (1899, 0, 0, 1)]
+    assert rows(analytics.legitimacy(r), "name", "manzelske", "nemanzelske") == [(1860, 2, 1)]
+    assert rows(analytics.remarriages(r), "name", "snatky", "vdovci", "vdovy") == [(1880, 1, 0, 0), (1890, 1, 0, 1)]
+    assert dict(rows(analytics.lifespan(r), "name", "value")) == {40: 1, 60: 1}
     assert dict(rows(analytics.family_size(r), "name", "value"))[0] >= 1
     with pytest.raises(KeyError):
         analytics.analysis("other", r)
@@ -141,10 +141,10 @@ def test_analyses(run):
 
 def test_search_and_graph(run):
     linked, m = run["linked"], run["mentions"]
-    found = search.search(linked.persons, m, linked.person_mentions, q="Worechowsky jan")
-    assert {r["name"] for r in found.collect()} and found.where("NOT name LIKE '%rechow%' AND NOT name LIKE '%řechov%'").count() == 0
-    assert search.search(linked.persons, m, linked.person_mentions, place="lhot", year_from=1875, year_to=1877).where("name = 'František Slavík'").count() == 1
-    tree = graph.surname_tree("Slavík", m, linked.person_mentions, linked.relations, 1)
+    found = search.search(linked.persons, m, linked.person_mentions, q="Brdlansky adam")
+    assert {r["name"] for r in found.collect()} and found.where("NOT name LIKE '%rdlansk%'").count() == 0
+    assert search.search(linked.persons, m, linked.person_mentions, place="mlýn", year_from=1860, year_to=1862).where("name = 'Tomáš Zeman'").count() == 1
+    tree = graph.surname_tree("Zeman", m, linked.person_mentions, linked.relations, 1)
     assert tree.where("focus").count() > 0 and tree.where("depth = 1").count() > 0
     shown, edges = graph.subgraph(tree, linked.persons, linked.relations, run["events"])
     assert shown.where("has_death").count() >= 1 and edges.where("size(layers) = 0").count() == 0
@@ -162,13 +162,13 @@ def test_edits(spark, run):
 
 def test_lint_and_report(run):
     rows_ = run["records"].where("record_type = 'umrti'")
-    assert rows(quality.gaps(rows_.select("book_id", F.col("cells")["cislo"].cast("int").alias("n")), "book_id", "n"), "n") == [(2,)]
+    assert rows(quality.gaps(rows_.select("book_id", F.col("cells")["cislo"].cast("int").alias("n")), "book_id", "n"), "n") == [(2,), (3,)]
     bad = rows_.withColumn("cells", F.map_from_arrays(F.array(F.lit("cislo"), F.lit("datum_umrti")), F.array(F.when(F.col("row_idx") == 0, "5").otherwise("4"), F.lit(""))))
     page = quality.lint_pages(bad, template("umrti")).first()
     assert page["issues"] == ["numbers do not rise (4 after 5)", "2 rows without required datum_umrti", "2 rows without required zemrely_jmeno_stav"] and not page["ok"]
     report = {r["book_id"]: r for r in quality.book_report(run["pages"], run["records"]).collect()}
-    assert (report["7003"]["gaps"], report["7003"]["total_rows"], report["7001"]["pages_ok"]) == ([2], 2, 2)
-    assert quality.fill_rates(run["records"]).where("book_id = '7003' AND key = 'vek' AND percent = 100").count() == 1
+    assert (report["8103"]["gaps"], report["8103"]["total_rows"], report["8101"]["pages_ok"]) == ([2, 3], 2, 2)
+    assert quality.fill_rates(run["records"]).where("book_id = '8103' AND key = 'vek' AND percent = 100").count() == 1
 
 
 def test_answers(spark):
@@ -184,9 +184,9 @@ def test_halves_and_samples(spark, run):
     got = spark.range(1).select(quality.merged_halves(left, right).alias("m"), quality.halves_issue(left, right).alias("i")).first()
     assert got["m"] == [{"a": "1", "b": "2"}, {"a": "3"}] and "left 1, right 2" in got["i"]
     assert dataset.visible_keys("oddani", "right")[-1] == "poznamenani" and len(dataset.visible_keys("narozeni", "left")) == 10
-    s = run["pages"].where("book_id = '7001'").select("book_id", "page.*").select("book_id", "file", "folio", "rok", "rows")
+    s = run["pages"].where("book_id = '8101'").select("book_id", "page.*").select("book_id", "file", "folio", "rok", "rows")
     halves = dataset.half_samples(s, template("narozeni"))
-    assert halves.count() == 4 and rows(halves.where("file = '0001.png'"), "id") == [("7001_0001_L",), ("7001_0001_R",)]
+    assert halves.count() == 4 and rows(halves.where("file = '0001.png'"), "id") == [("8101_0001_L",), ("8101_0001_R",)]
     w = spark.createDataFrame([([9.0, 3.0, 3.1, 3.0, 8.0],), ([1.0, 2.0],), ([1.0, 9.0, 1.0, 9.0],)], "h array<double>")
     assert [r[0] for r in w.select(dataset.uniform_window("h", 3)).collect()] == [2, None, None]
     ev = spark.createDataFrame([("b", [{"a": "abcd"}], [{"a": "abcx"}]), ("b", [{"a": "x"}], None), ("c", [{"a": "q"}], [{"a": "q"}])], "book_id string, truth array<map<string,string>>, got array<map<string,string>>")
@@ -214,10 +214,10 @@ def test_templates_and_meta(spark):
 
 def test_sinks(spark, run, tmp_path):
     sinks.replace_books(run["records"], f"{tmp_path}/r")
-    sinks.replace_books(run["records"].where("book_id = '7003'").limit(1), f"{tmp_path}/r")
+    sinks.replace_books(run["records"].where("book_id = '8103'").limit(1), f"{tmp_path}/r")
     assert spark.read.parquet(f"{tmp_path}/r").count() == 6
-    link = spark.createDataFrame([("7001", "0006.png"), ("x", "0006.png"), ("7001", "a.png")], "b string, f string").select(sinks.deep_link("b", "f", "https://example.org/d"))
-    assert [r[0] for r in link.collect()] == ["https://example.org/d/7001/6", "", ""]
+    link = spark.createDataFrame([("55", "0006.png"), ("x", "0006.png"), ("55", "a.png")], "b string, f string").select(sinks.deep_link("b", "f", "https://example.org/d"))
+    assert [r[0] for r in link.collect()] == ["https://example.org/d/55/6", "", ""]
     snapshot.write_snapshot(run["reg"], run["linked"].candidates, f"{tmp_path}/s", "https://example.org/d")
     assert spark.read.json(f"{tmp_path}/s/details").where("size(mentions) > 0").count() == run["linked"].persons.count()
     assert spark.read.json(f"{tmp_path}/s/stats").count() == 6
@@ -227,7 +227,7 @@ def test_stream_and_resume(spark, run, tmp_path):
     q = stream.ingest(stream.page_stream(spark, str(run["folder"])), f"{tmp_path}/t", f"{tmp_path}/c")
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/t").count() == 7
-    files = spark.createDataFrame([("7001", f"000{i}.png") for i in range(1, 6)], "book_id string, file string")
+    files = spark.createDataFrame([("8101", f"000{i}.png") for i in range(1, 6)], "book_id string, file string")
     assert rows(pages.to_do(files, pages.finished(run["pages"]), 2, 4), "file") == [("0003.png",), ("0004.png",)]
 
 
