@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.storage import shared_dir, staged
 
-__all__ = ["held_out_train", "labelled_sample", "mapped", "shared_dir", "staged", "table", "texts"]
+__all__ = ["bounded", "cut", "held_out_train", "labelled_sample", "mapped", "shared_dir", "staged", "table", "texts"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -28,8 +28,16 @@ def cut(batches: Batches, rows: int = 512, most_bytes: int = 16 << 20) -> Batche
             yield b.slice(k, step)
 
 
+def bounded(spark: SparkSession, rows: int = 512) -> None:
+    """Lower the session's Arrow batches to `rows` rows, unless they are smaller: what the JVM and a Python worker hold at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def mapped(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """df.mapInArrow(f) with bounded batches, whatever the session's settings."""
+    """df.mapInArrow(f) with bounded batches."""
+    bounded(df.sparkSession)
     return df.mapInArrow(lambda batches: f(cut(batches)), schema)
 
 

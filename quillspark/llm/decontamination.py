@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import batch_bytes
-from quillspark.llm.common import mapped, texts
+from quillspark.llm.common import bounded, mapped, texts
 
 NORMAL = np.full(256, 32, np.uint8)
 NORMAL[48:58], NORMAL[97:123], NORMAL[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
@@ -257,6 +257,7 @@ def _holds_none(shared: Broadcast) -> Callable[[Column], Column]:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs that hold no item."""
     spark = docs.sparkSession
+    bounded(spark)
     for rows in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(Items.build(rows, rate))
         docs = docs.where(_holds_none(shared)(F.coalesce(F.col("text").cast("string"), F.lit(""))))

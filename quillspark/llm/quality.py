@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bytewords import Words, batch_bytes
-from quillspark.llm.common import cut, held_out_train, labelled_sample, mapped, texts
+from quillspark.llm.common import bounded, cut, held_out_train, labelled_sample, mapped, texts
 
 #: Byte classes: 0 lower-case letter, 1 capital, 2 digit, 3 white space, 4 sentence mark, 5 comma and the like, 6 other ASCII, 7 not ASCII.
 CLASS = np.full(256, 6, np.uint8)
@@ -199,6 +199,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, pa
     """doc_id, held_out, score, predicted for every row of docs."""
     held_out, train = held_out_train(4, 2)
     model = train_model(docs, labels, train, passage_words=passage_words, **fit)
+    bounded(docs.sparkSession)
     scored = texts(docs).withColumn("score", scorer(model, passage_words)(F.col("text")))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -207,4 +208,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     """The rows of docs that score at least threshold; null texts are scored as empty ones."""
     _, train = held_out_train(4, 2)
     model = train_model(docs, labels, train)
+    bounded(docs.sparkSession)
     return docs.where(scorer(model)(F.coalesce(F.col("text").cast("string"), F.lit(""))) >= threshold)

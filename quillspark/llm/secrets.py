@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mapped, texts
+from quillspark.llm.common import bounded, mapped, texts
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -166,6 +166,7 @@ def redacted_text(text: str, mark: str = "[SECRET]") -> str:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in text_col replaced; all rows and columns stay, null texts too."""
+    bounded(docs.sparkSession)
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
         return s.map(redacted_text, na_action="ignore")
