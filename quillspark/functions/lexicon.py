@@ -76,6 +76,8 @@ WRITTEN: dict[str, str] = {
     "zofie": "Žofie", "karolina": "Karolína", "kristyna": "Kristýna", "apolena": "Apolena",
 }
 # Month words, folded, by month.
+# fixed values: short names of the months, from 1
+MONTH_LABELS = ("", "led", "úno", "bře", "dub", "kvě", "čvn", "čvc", "srp", "zář", "říj", "lis", "pro")
 MONTHS: dict[int, str] = {
     1: "leden ledna januar janner januarius januarii",
     2: "unor unora februar februarius februarii",

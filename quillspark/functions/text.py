@@ -206,3 +206,24 @@ def clean_cell(html: ColumnOrName) -> Column:
 def years_label(birth: ColumnOrName, death: ColumnOrName) -> Column:
     """'*1876 †1903', either alone, or ''."""
     return F.concat_ws(" ", F.concat(F.lit("*"), col(birth).cast("string")), F.concat(F.lit("†"), col(death).cast("string")))
+
+
+def month_label(c: ColumnOrName) -> Column:
+    """The short name of a month; another number as text."""
+    return F.coalesce(F.get(F.array(*map(F.lit, L.MONTH_LABELS)), col(c).cast("int")), col(c).cast("string"))
+
+
+def wrapped(text: ColumnOrName, width: int) -> Column:
+    """Lines of at most width characters, cut at the last space in their second half, or at width."""
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        back = F.instr(F.reverse(F.substring(rest, 1, width)), " ")
+        cut = F.when((back > 0) & (width - back > width // 2), width - back).otherwise(width)
+        more = F.struct(F.regexp_replace(F.substring(rest, cut + 1, F.length(rest)), f"^{SPACE}+", "").alias("rest"), F.concat(state["out"], F.array(F.substring(rest, F.lit(1), cut))).alias("out"))
+        return F.when(F.length(rest) > width, more).otherwise(state)
+
+    s = F.coalesce(col(text), F.lit(""))
+    start = F.struct(s.alias("rest"), F.array().cast("array<string>").alias("out"))
+    steps = F.sequence(F.lit(0), F.floor(F.length(s) / (width // 2 + 1)).cast("int"))
+    return F.aggregate(steps, start, step, lambda x: F.concat(x["out"], F.array(x["rest"])))

@@ -185,3 +185,14 @@ def without_stale(dependents: DataFrame, mentions: DataFrame, *columns: str) ->
     return dependents
 
 
+def reextracted(records: DataFrame, corrections: DataFrame, events: DataFrame, mentions: DataFrame, record_id: int) -> tuple[DataFrame, DataFrame]:
+    """(events, mentions) after a correction of one record: its book is extracted anew, other books stay as they are.
+
+    Mentions keep their ids; persons aren't matched again. ValueError if there is no such record.
+    """
+    row = records.where(F.col("record_id") == record_id).select("book_id").first()
+    if row is None:
+        raise ValueError(f"no record {record_id}")
+    own = records.where(F.col("book_id") == row["book_id"])
+    rest = lambda d: d.join(own.select("record_id"), "record_id", "left_anti")
+    return rest(events).unionByName(extract_events(own, corrections)), rest(mentions).unionByName(extract_mentions(own, corrections, mentions))

@@ -9,6 +9,7 @@ from quillspark.functions.text import fold_ascii, old_orthography, surname_norm
 from quillspark.storage import staged
 
 LAYERS = ("birth", "marriage", "death")
+LEAST_SURE = 0.85
 
 
 def adjacency(relations: DataFrame) -> DataFrame:
@@ -88,11 +89,17 @@ def visible(active: list[str]) -> Column:
     return (F.size("layers") == 0) | F.arrays_overlap("layers", F.array(*map(F.lit, active)).cast("array<string>"))
 
 
+def low_confidence(c: str = "confidence") -> Column:
+    """Whether a person or an edge is unsure."""
+    return F.coalesce(F.col(c) < LEAST_SURE, F.lit(False))
+
+
 def subgraph(nodes: DataFrame, persons: DataFrame, relations: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The persons of nodes (id, depth[, focus]) with has_death, and the edges among them with layers."""
+    """The persons of nodes (id, depth[, focus]) with has_death, and the edges among them with layers; both with low_confidence."""
     shown = persons.join(nodes, "id").withColumn("has_death", F.col("death_year_est").isNotNull())
     inside = relations.join(nodes.select(F.col("id").alias("person_a")), "person_a", "left_semi").join(nodes.select(F.col("id").alias("person_b")), "person_b", "left_semi")
-    return shown, edge_layers(inside, events)
+    flagged = lambda d: d.withColumn("low_confidence", low_confidence() if "confidence" in d.columns else F.lit(False))
+    return flagged(shown), flagged(edge_layers(inside, events))
 
 
 def merged(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 from quillspark.functions.text import leading_int, strip
 from quillspark.sources.templates import REQUIRED, Template
@@ -77,11 +78,11 @@ def fill_rates(rows: DataFrame, by: str = "book_id") -> DataFrame:
 
 
 def book_report(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per book: pages, pages_ok, pages_failed, total_rows, least and largest number, gaps, duplicates, issues."""
+    """Per book: book_name, pages, pages_ok, pages_failed, total_rows, least and largest number, gaps, duplicates, issues."""
     ok = F.coalesce("page.ok", F.lit(False))
     text = F.concat_ws(": ", "page.file", F.when(~ok, F.coalesce("page.error", F.lit(""))).when(~F.coalesce("page.lint.ok", F.lit(True)), F.concat_ws("; ", "page.lint.issues")))
     bad = ~ok | ~F.coalesce("page.lint.ok", F.lit(True))
-    p = pages.groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("pages_ok"), F.count_if(~ok).alias("pages_failed"), F.sum(F.when(ok, F.coalesce(F.size("page.rows"), F.lit(0))).otherwise(0)).alias("total_rows"), F.array_sort(F.collect_list(F.when(bad, F.struct("line_no", text.alias("t"))))).alias("__i"))
+    p = pages.groupBy("book_id").agg(F.min("book_name").alias("book_name"), F.count("*").alias("pages"), F.count_if(ok).alias("pages_ok"), F.count_if(~ok).alias("pages_failed"), F.sum(F.when(ok, F.coalesce(F.size("page.rows"), F.lit(0))).otherwise(0)).alias("total_rows"), F.array_sort(F.collect_list(F.when(bad, F.struct("line_no", text.alias("t"))))).alias("__i"))
     n = rows.select("book_id", leading_int(F.try_element_at("cells", F.lit("cislo"))).alias("number"))
     span = n.groupBy("book_id").agg(F.min("number").alias("number_min"), F.max("number").alias("number_max"))
     listed = lambda d, name: d.groupBy("book_id").agg(F.array_sort(F.collect_list("number")).alias(name))
@@ -95,6 +96,22 @@ def preview(numbers: Column | str, most: int = 40) -> Column:
     return F.concat(F.concat_ws(", ", F.slice(n, 1, most).cast("array<string>")), F.when(F.size(n) > most, " …").otherwise(""))
 
 
+def report_texts(report: DataFrame, fills: DataFrame) -> DataFrame:
+    """(book_id, text): a book report with the fill rates of its columns, to be read by people."""
+    by = fills.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("key", F.format_string("  %-28s %d/%d (%d%%)", "key", "filled", "total", "percent").alias("t")))).alias("__f"))
+    numbers = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
+    some = lambda c, label: F.when(F.size(numbers(c)) > 0, F.concat(F.lit(f"  {label}: "), preview(numbers(c))))
+    filled, issues = F.coalesce(F.col("__f")["t"], F.array().cast("array<string>")), F.col("page_issues")
+    lines = F.array(
+        F.format_string("Report: %s.jsonl", "book_name"), F.format_string("Stránky: %d (ok %d, chyb %d)", "pages", "pages_ok", "pages_failed"), F.format_string("Záznamů celkem: %d", "total_rows"),
+        F.when(F.col("number_min").isNotNull(), F.format_string("Čísla záznamů: %d–%d, mezer %d, duplicit %d", "number_min", "number_max", F.size(numbers("gaps")), F.size(numbers("duplicates")))),
+        some("gaps", "chybějící čísla"), some("duplicates", "duplicitní čísla"), F.lit("Vyplněnost sloupců:"),
+    )
+    warned = F.when(F.size(issues) > 0, F.concat(F.array(F.format_string("Stránky s upozorněními (%d):", F.size(issues))), F.transform(issues, lambda x: F.concat(F.lit("  - "), x))))
+    text = F.concat(F.array_join(F.concat(lines, filled, F.coalesce(warned, F.array().cast("array<string>"))), "\n"), F.lit("\n"))
+    return report.join(by, "book_id", "left").select("book_id", text.alias("text"))
+
+
 def norm_key(c: Column) -> Column:
     """A key without white space, in lower case."""
     return F.lower(F.regexp_replace(c, r"\s+", ""))
@@ -162,13 +179,13 @@ def json_block(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def extract_json(s: pd.Series) -> pd.Series:
     """json_block of each text."""
     return s.map(json_block)
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def rows_as_text(s: pd.Series) -> pd.Series:
     """A JSON object with rows: its rows as JSON with all values as text; null if it can't be read."""
 
@@ -210,3 +227,31 @@ def first_of_equal(images: DataFrame, by: str | None = None, order: str = "path"
     h = images.withColumn("sha256", F.sha2(content, 256))
     key = [*([by] if by else []), "sha256"]
     return h.join(h.groupBy(*key).agg(F.min(order).alias("first")), key)
+
+
+def asked(images: DataFrame, ask: Callable[[bytes, int], str], content: str = "content", tries: int = 2) -> DataFrame:
+    """images, without their content, with raw, error and tries: what `ask(content, n)` answers, n from 0.
+
+    ask may be stricter as n grows; the first answer that holds a JSON object is kept, else the
+    last; an error of the last try is kept as text. ask runs in the tasks.
+    """
+    keep = [c for c in images.columns if c != content]
+    schema = T.StructType([images.schema[c] for c in keep] + [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())])
+
+    def one(image: bytes) -> tuple[str, str | None, int]:
+        raw, error, n = "", None, 0
+        for n in range(tries):
+            try:
+                raw, error = ask(bytes(image), n), None
+            except Exception as e:  # a service that fails must not fail the other pages
+                raw, error = "", str(e)
+            if error is None and json_block(raw) is not None:
+                break
+        return raw, error, n + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = pd.DataFrame([one(x) for x in b[content]], columns=["raw", "error", "tries"], index=b.index)
+            yield pd.concat([b[keep], got], axis=1)
+
+    return images.mapInPandas(run, schema)

@@ -81,6 +81,20 @@ def corrected_cell(corrections: DataFrame, record_id: int, cell_key: str, value:
     return rest.select("record_id", "cell_key", "corrected_value").unionByName(one)
 
 
+def added_constraint(constraints: DataFrame, kind: str, a: int, b: int, note: str = "") -> DataFrame:
+    """constraints (id, kind, mention_a, mention_b, note) and one more, its id after the largest."""
+    if kind not in ("must_link", "cannot_link") or not a or not b:
+        raise ValueError("a constraint is a must_link or cannot_link of two mentions")
+    one = constraints.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast("long").alias("id"))
+    one = one.select("id", F.lit(kind).alias("kind"), F.lit(a).cast("long").alias("mention_a"), F.lit(b).cast("long").alias("mention_b"), F.lit(note).alias("note"))
+    return constraints.select(one.columns).unionByName(one)
+
+
+def without_constraint(constraints: DataFrame, constraint_id: int) -> DataFrame:
+    """constraints but the one of an id."""
+    return constraints.where(F.col("id") != constraint_id)
+
+
 def _constraint(like: DataFrame, kind: str, pair: DataFrame) -> DataFrame:
     return like.select("kind", "mention_a", "mention_b").unionByName(pair.select(F.lit(kind).alias("kind"), "mention_a", "mention_b"))
 

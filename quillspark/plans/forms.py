@@ -17,6 +17,7 @@ from quillspark.plans.register import register, table
 from quillspark.plans.registry import query
 from quillspark.sources import pages, sinks
 from quillspark.sources.templates import template
+from quillspark.storage import staged
 
 # (nominative, genitive, norm) of given names and (man's, woman's, genitives of both, norm) of surnames
 MEN = (("Tomáš", "Tomáše", "tomas"), ("Jakub", "Jakuba", "jakub"), ("Martin", "Martina", "martin"), ("Jiří", "Jiřího", "jiri"), ("Vojtěch", "Vojtěcha", "vojtech"))
@@ -297,3 +298,64 @@ def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.range(1).select(*linkage.run_row(3, linkage.Thresholds())).unionByName(spark.range(1).select(*linkage.run_row(7, linkage.Thresholds(flag=0.8))))
     t = linkage.last_thresholds(runs)
     return runs.groupBy().agg(F.max("id").alias("id")).select("id", F.lit(t.auto).alias("auto"), F.lit(t.flag).alias("flag"), F.lit(t.suggest).alias("suggest"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 14 WHEN 0 THEN '' WHEN 13 THEN '13' ELSE (['led', 'úno', 'bře', 'dub', 'kvě', 'čvn', 'čvc', 'srp', 'zář', 'říj', 'lis', 'pro'])[o_orderkey % 14] END AS label FROM orders")
+def month_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.month_label(F.col("o_orderkey") % 14).alias("label"))
+
+
+@query("""SELECT o_orderkey, n_lines, first_line, last_line FROM (SELECT o_orderkey, o_orderkey % 20 + 1 AS n, [ 'w' || lpad((o_orderkey % 1000 + i)::VARCHAR, 8, '0') FOR i IN range(o_orderkey % 20 + 1)] AS w FROM orders),
+  LATERAL (SELECT ((n + 2) // 3)::INT AS n_lines, array_to_string(w[1:3], ' ') AS first_line, array_to_string(w[(n - 1) // 3 * 3 + 1:n], ' ') AS last_line)""")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of nine letters, three to a line of at most 35."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    words = F.transform(F.sequence(F.lit(0).cast("long"), k % 20), lambda i: F.concat(F.lit("w"), F.lpad((k % 1000 + i).cast("string"), 8, "0")))
+    w = o.select("o_orderkey", X.wrapped(F.array_join(words, " "), 35).alias("w"))
+    return w.select("o_orderkey", F.size("w").alias("n_lines"), F.col("w")[0].alias("first_line"), F.element_at("w", -1).alias("last_line"))
+
+
+@query("SELECT c_custkey + 1 AS id, 'must_link' AS kind, c_custkey AS mention_a, c_custkey + 1 AS mention_b, '' AS note FROM customer WHERE c_custkey <> 4 UNION ALL SELECT max(c_custkey) + 2, 'cannot_link', 3, 9, 'seen twice' FROM customer")
+def edited_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).cast("long").alias("id"), F.lit("must_link").alias("kind"), F.col("c_custkey").cast("long").alias("mention_a"), (F.col("c_custkey") + 1).cast("long").alias("mention_b"), F.lit("").alias("note"))
+    return search.without_constraint(search.added_constraint(c, "cannot_link", 3, 9, "seen twice"), 5)
+
+
+@query("SELECT p_partkey, p_partkey % 100 / 100.0 < 0.85 AS unsure FROM part")
+def unsure_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 100 / 100.0).alias("confidence")).select("p_partkey", graph.low_confidence().alias("unsure"))
+
+
+@query("""SELECT o_orderkey AS record_id, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN '1881-04-03' ELSE '1880-02-01' END AS date, 1::BIGINT AS mentions, true AS kept FROM orders""")
+def reextracted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cells corrected; only the book of the first record is extracted anew."""
+    o = table(spark, sf_dir, "orders")
+    cells = F.create_map(F.lit("datum_umrti"), F.lit("1.2.1880"), F.lit("zemrely_jmeno_stav"), F.lit("Jakub Zeman"))
+    r = o.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").cast("string").alias("book_id"), F.lit("umrti").alias("record_type"), cells.alias("cells"))
+    events, mentions = extract.extract_events(r), staged(extract.extract_mentions(r), "before")
+    one = r.orderBy("record_id").first()
+    other = r.where(F.col("book_id") != one["book_id"]).agg(F.min("record_id").alias("record_id")).first()["record_id"]
+    none = spark.createDataFrame([], "record_id long, cell_key string, corrected_value string")
+    fixes = search.corrected_cell(search.corrected_cell(none, other, "datum_umrti", "9.9.1899"), one["record_id"], "datum_umrti", "3.4.1881")
+    e, m = extract.reextracted(r, fixes, events, mentions, one["record_id"])
+    by = m.join(mentions.select("id", F.col("record_id").alias("before")), "id", "left").groupBy("record_id").agg(F.count("*").alias("mentions"), F.bool_and(F.col("before").eqNullSafe(F.col("record_id"))).alias("kept"))
+    return e.select("record_id", "date").join(by, "record_id")
+
+
+@query(f"""WITH rec AS ({_RECORD}), num AS (SELECT book_id, number::INT AS n FROM rec), span AS (SELECT book_id, min(n) AS lo, max(n) AS hi FROM num GROUP BY 1),
+gap AS (SELECT book_id, list(n ORDER BY n) AS g FROM (SELECT book_id, unnest(range(lo, hi + 1))::INT AS n FROM span EXCEPT SELECT * FROM num) GROUP BY 1),
+dup AS (SELECT book_id, list(n ORDER BY n) AS d FROM (SELECT book_id, n FROM num GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+page AS (SELECT o_custkey::VARCHAR AS book_id, count(*) AS pages, count(*) FILTER (o_orderkey % 3 <> 0) AS ok, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) AS even,
+  list('  - ' || o_orderkey || '.png: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'odd' END ORDER BY o_orderkey) FILTER (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AS issues FROM orders GROUP BY 1)
+SELECT book_id, 'Report: Book.jsonl' || chr(10) || 'Stránky: ' || pages || ' (ok ' || ok || ', chyb ' || pages - ok || ')' || chr(10) || 'Záznamů celkem: ' || ok * 2 || chr(10)
+  || CASE WHEN lo IS NULL THEN '' ELSE 'Čísla záznamů: ' || lo || '–' || hi || ', mezer ' || coalesce(len(g), 0) || ', duplicit ' || coalesce(len(d), 0) || chr(10) END
+  || CASE WHEN g IS NULL THEN '' ELSE '  chybějící čísla: ' || array_to_string(g[1:40], ', ') || CASE WHEN len(g) > 40 THEN ' …' ELSE '' END || chr(10) END
+  || CASE WHEN d IS NULL THEN '' ELSE '  duplicitní čísla: ' || array_to_string(d[1:40], ', ') || CASE WHEN len(d) > 40 THEN ' …' ELSE '' END || chr(10) END || 'Vyplněnost sloupců:' || chr(10)
+  || CASE WHEN ok = 0 THEN '' ELSE '  ' || rpad('cislo', 28, ' ') || ' ' || ok * 2 || '/' || ok * 2 || ' (100%)' || chr(10) END
+  || CASE WHEN even = 0 THEN '' ELSE '  ' || rpad('record_type', 28, ' ') || ' ' || even * 2 || '/' || ok * 2 || ' (' || even * 100 // ok || '%)' || chr(10) END
+  || CASE WHEN issues IS NULL THEN '' ELSE 'Stránky s upozorněními (' || len(issues) || '):' || chr(10) || array_to_string(issues, chr(10)) || chr(10) END AS text
+FROM page LEFT JOIN span USING (book_id) LEFT JOIN gap USING (book_id) LEFT JOIN dup USING (book_id)""")
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _page_rows(spark, sf_dir)
+    r = pages.records(p)
+    return quality.report_texts(quality.book_report(p, r), quality.fill_rates(r))

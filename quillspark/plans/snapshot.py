@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.graph import edge_layers
@@ -45,3 +45,8 @@ def write_snapshot(r: Register, candidates: DataFrame, path: str, base_url: str
 def as_objects(df: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One part of a snapshot: persons, graph, details, stats or analytics/<name>; an error if it isn't there."""
+    return spark.read.json(f"{path}/{name}")

@@ -72,8 +72,8 @@ def records(pages: DataFrame) -> DataFrame:
 
 def read_images(spark: SparkSession, root: str, extensions: Iterable[str] = ("png", "jpg", "jpeg")) -> DataFrame:
     """path, length, content of images below root; order by path for the reading order."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions)).select("path", "length", "content")
+    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}").load(root).select("path", "length", "content")
 
 
 def finished(pages: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def append_pages(df: DataFrame, path: str) -> None:
 
 
 def write_once(df: DataFrame, path: str, force: bool = False) -> None:
-    """One JSON file, not overwritten unless forced."""
+    """One JSON file, not overwritten unless forced; for side files of a few rows, as one task computes df."""
     df.coalesce(1).write.mode("overwrite" if force else "ignore").json(path)
 
 
@@ -39,3 +39,10 @@ def deep_link(book_id: ColumnOrName, scan_file: ColumnOrName, base_url: str) ->
     n = F.regexp_extract(F.coalesce(col(scan_file), F.lit("")), r"^0*([0-9]+)(?:\.[^.]*)?$", 1).try_cast("long")
     ok = F.coalesce(col(book_id), F.lit("")).rlike("^[0-9]+$") & n.isNotNull() & (n > 0)
     return F.when(ok, F.concat_ws("/", F.lit(base_url.rstrip("/")), col(book_id), n.cast("string"))).otherwise("")
+
+
+def write_reports(report: DataFrame, texts: DataFrame, path: str) -> None:
+    """Reports by book as JSON (path/json) and as text (path/txt); only the books in them are replaced."""
+    own = lambda d: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id")
+    own(report).json(f"{path}/json")
+    own(texts.select("book_id", "text")).text(f"{path}/txt")

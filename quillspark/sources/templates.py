@@ -131,3 +131,11 @@ def prompt(t: Template) -> str:
     """Instructions that list the columns of a template for a transcriber."""
     lines = [f'- "{c.key}": {c.label}' + (f" [{c.group}]" if c.group else "") for c in t.columns]
     return "\n".join([f"Record type: {t.typ}. Return a JSON object with folio, rok and rows; each row has these keys:", *lines])
+
+
+def row_prompt(t: Template, side: str) -> str:
+    """Instructions for one cut-out row of the left or right half of a double page."""
+    if side not in ("left", "right"):
+        raise ValueError(f"no side {side!r}")
+    lines = [f'- "{c.key}": {c.label}' for c in t.columns]
+    return "\n".join([f"One row of the {side} half of a double page. Record type: {t.typ}. Return one JSON object of short texts, empty where nothing is seen, with these keys:", *lines])

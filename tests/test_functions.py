@@ -91,3 +91,13 @@ def test_similarity(a, b, least, most):
 def test_half_transpositions_count():
     assert jaro("martha", "marhta") == pytest.approx((1 + 1 + 5 / 6) / 3)
     assert jaro("abcd", "bcda") == pytest.approx((0.75 + 0.75 + 1) / 3)
+
+
+def test_lines_and_months(spark):
+    def lines(text, width):
+        return spark.range(1).select(X.wrapped(F.lit(text), width)).first()[0]
+
+    assert lines("", 5) == [""] and lines("abcdefghijkl", 5) == ["abcde", "fghij", "kl"]
+    assert lines("one two  three", 8) == ["one two", "three"] and lines("a bcdefghij k", 8) == ["a bcdefg", "hij k"]
+    got = spark.createDataFrame([(1,), (12,), (13,), (None,)], "n int").select(X.month_label("n")).collect()
+    assert [r[0] for r in got] == ["led", "pro", "13", None]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import linkage
 from quillspark.plans import analytics, catalog
+from quillspark.plans.people import people
 from quillspark.plans.register import register
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,6 @@ def test_analyses_stay_in_the_jvm(spark):  # summary joins single rows
 
 
 def test_pairs_come_from_one_equi_join(spark):
-    m, e = catalog._people(spark, SF)
+    m, e = people(spark, SF)
     p = plan(linkage.candidate_pairs(linkage.enriched(m, e)))
     assert not re.search("Cartesian|NestedLoop|Python", p) and re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join \[block", p)

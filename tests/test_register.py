@@ -236,3 +236,43 @@ def test_malformed_lines(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         pages.read_pages(spark, f"{tmp_path}/x.jsonl").select("page").collect()
     assert pages.read_pages(spark, f"{tmp_path}/x.jsonl", strict=False).where("page IS NULL").count() == 1
+
+
+def test_one_book_is_extracted_again(spark, run):
+    target = run["records"].where("record_type = 'umrti'").orderBy("record_id").first()
+    none = spark.createDataFrame([], "record_id long, cell_key string, corrected_value string")
+    fixes = search.corrected_cell(none, target["record_id"], "datum_umrti", "2.3.1899")
+    e, m = extract.reextracted(run["records"], fixes, run["events"], run["mentions"], target["record_id"])
+    assert rows(e.where(F.col("record_id") == target["record_id"]), "date") == [("1899-03-02",)]
+    assert rows(m, "id", "record_id", "role") == rows(run["mentions"], "id", "record_id", "role") and e.count() == run["events"].count()
+    with pytest.raises(ValueError):
+        extract.reextracted(run["records"], fixes, run["events"], run["mentions"], -5)
+
+
+def test_constraints_come_and_go(spark):
+    empty = spark.createDataFrame([], "id long, kind string, mention_a long, mention_b long, note string")
+    one = search.added_constraint(empty, "must_link", 4, 5)
+    two = search.added_constraint(one, "cannot_link", 4, 6, "other parish")
+    assert rows(search.without_constraint(two, 1), "id", "kind", "mention_a", "mention_b", "note") == [(2, "cannot_link", 4, 6, "other parish")]
+    for bad in (("link", 1, 2), ("must_link", 0, 2)):
+        with pytest.raises(ValueError):
+            search.added_constraint(empty, *bad)
+
+
+def test_report_files(spark, run, tmp_path):
+    report = quality.book_report(run["pages"], run["records"])
+    sinks.write_reports(report, quality.report_texts(report, quality.fill_rates(run["records"])), str(tmp_path))
+    text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/txt/book_id=8103").collect())
+    assert "chybějící čísla: 2, 3" in text and "(100%)" in text
+    assert spark.read.json(f"{tmp_path}/json").where("book_id = 8103").first()["gaps"] == [2, 3]
+
+
+def test_asked_again_until_json(spark):
+    images = spark.createDataFrame([("a", b"x"), ("b", b"bad"), ("c", b"late")], "file string, content binary")
+
+    def ask(content: bytes, n: int) -> str:
+        if content == b"bad":
+            raise RuntimeError("timeout")
+        return '{"rows": []}' if content == b"x" or n else "no table"
+
+    assert rows(quality.asked(images, ask), "file", "raw", "error", "tries") == [("a", '{"rows": []}', None, 1), ("b", "", "timeout", 2), ("c", '{"rows": []}', None, 2)]
