@@ -192,8 +192,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fps = staged(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints").where("doc_id IS NOT NULL")
     key = ["doc_id", "th"]
     classes = staged(fps.select("fp").distinct().withColumn("rep", F.col("fp")), "classes")  # an id may stand for several texts
-    rows = fps.join(_components(classes, max_bucket), "fp").groupBy("component_id", *key).agg(F.count("*").alias("n"))
-    best = rows.groupBy("component_id").agg(F.min(F.struct(*key)).alias("best"))
+    rows = staged(fps.join(_components(classes, max_bucket), "fp").groupBy("component_id", *key).agg(F.count("*").alias("n")), "rows")
+    best = staged(rows.groupBy("component_id").agg(F.min(F.struct(*key)).alias("best")), "best")  # a table, so that adaptive execution can split the join of a hot component
     judged = rows.join(best, "component_id").withColumn("stays", F.struct(*key) == F.col("best"))
     goes = staged(judged.where("NOT stays OR n > 1").select(*key, "stays"), "goes")
     few = goes.count() <= most_broadcast
