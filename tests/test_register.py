@@ -276,3 +276,12 @@ def test_asked_again_until_json(spark):
         return '{"rows": []}' if content == b"x" or n else "no table"
 
     assert rows(quality.asked(images, ask), "file", "raw", "error", "tries") == [("a", '{"rows": []}', None, 1), ("b", "", "timeout", 2), ("c", '{"rows": []}', None, 2)]
+
+
+def test_images_and_snapshot_parts_are_found(spark, tmp_path):
+    for name in ("a/1.png", "a/2.JPG", "b/3.txt", "4.jpeg"):
+        (tmp_path / "img" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "img" / name).write_bytes(b"x")
+    assert sorted(r["path"].rpartition("/")[2] for r in pages.read_images(spark, f"{tmp_path}/img").collect()) == ["1.png", "2.JPG", "4.jpeg"]
+    spark.range(2).write.json(f"{tmp_path}/snap/analytics/surnames")
+    assert rows(snapshot.read_snapshot(spark, f"{tmp_path}/snap", "analytics/surnames"), "id") == [(0,), (1,)]
