@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chroma, decontamination, licenses, packing, periodic_runs, quality, secrets, simhash, substring_dedup, token_counts, toxicity
+from quillspark.llm import chroma, decontamination, licenses, packing, periodic_runs, quality, secrets, simhash, spelling, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import table
 from quillspark.llm.token_counts import tokenizer_path
 
@@ -56,8 +56,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect(table(spark, sf_dir, "documents"), planted=F.crc32(F.col("doc_id").cast("string")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=199)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chroma_fingerprints, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chroma_fingerprints, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing, op11_periodic_runs, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

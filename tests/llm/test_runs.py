@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import periodic_runs, queries
+from quillspark.llm import periodic_runs, queries, spelling
 from quillspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +127,107 @@ def test_runs_without_planting(spark, odd):
     text = " ".join(["É x", "\x1f", "é"] * 9) + "\x0b\x0c\r\n\t" + "z"
     got = periodic_runs.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert tuple(got) == periodic_by_hand(1, text, False) and got["period"] == 3
+
+
+# -- 12 -----------------------------------------------------------------------------
+
+
+def one_edit(u, v):
+    if len(u) > len(v):
+        u, v = v, u
+    if len(u) == len(v):
+        return sum(a != b for a, b in zip(u, v, strict=True)) == 1
+    return len(v) == len(u) + 1 and any(v[:i] + v[i + 1 :] == u for i in range(len(v)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abc", max_size=6), max_size=40), st.sampled_from([None, 0, 2]))
+def test_acceptor_pairs(words, most_rest):
+    words = sorted(words)
+    got = [(words[i], words[j]) for i, j in spelling.Acceptor(words).edits(most_rest)]
+    pairs = {tuple(sorted(p)) for p in got}
+    want = {(u, v) for u in words for v in words if u < v and one_edit(u, v)}
+    assert len(got) == len(pairs) and pairs <= want
+    if most_rest is None:
+        assert pairs == want
+    else:  # differing before the last letters, seen from the end
+        assert pairs >= {(u, v) for u, v in want if u[::-1][: most_rest + 1] != v[::-1][: most_rest + 1]}
+
+
+def test_acceptor_is_minimal():
+    words = sorted(a + b + c for a in "abcd" for b in "xyz" for c in ("", "s"))
+    assert len(spelling.Acceptor(words).final) == 4
+    deep = ["a" * 3000, "a" * 3001, "b" + "a" * 3000]
+    assert sorted(spelling.Acceptor(deep).edits()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def vocabulary_by_hand(rows, every=199, least=5):
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{doc_id}:{w}".encode())
+            if every and doc_id is not None and h % every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += len(w) >= 6
+    return {w: c for w, c in n.items() if c >= least}
+
+
+def variants_by_hand(n):
+    by_cut = defaultdict(set)
+    for w in n:
+        by_cut[w].add(w)
+        for i in range(len(w)):
+            by_cut[w[:i] + w[i + 1 :]].add(w)
+    near = {w: {o for s in (w, *(w[:i] + w[i + 1 :] for i in range(len(w)))) for o in by_cut[s] if one_edit(w, o)} for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return sorted((w, n[w], len(near[w]), form[w], n[form[w]] if form[w] else None, root(w)) for w in n)
+
+
+COLUMNS = ("word", "n", "n_near", "form", "form_n", "root")
+
+
+def test_registered_variants(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in queries.op12_spelling_variants(spark, SF).collect())
+    assert got == variants_by_hand(vocabulary_by_hand(map(tuple, docs))) and sum(r[3] is not None for r in got) > 10
+
+
+@pytest.mark.parametrize("most", [20_000, 40, 3])
+def test_variants_whatever_the_bound(spark, most):
+    """Initial states that are opened again and again give the same pairs; chains of forms end at their roots."""
+    r = random.Random(5)
+    words = {"".join(r.choice("abé") for _ in range(r.randint(6, 8))) for _ in range(300)} | {"a" * k for k in range(6, 12)} | {"common" + x for x in "aabbccdd"} | {"xommon" + "q" * k for k in range(9)}
+    words |= {w + "ing" for w in words} | {"pre" + w for w in words}
+    n = {w: r.choice([5, 6, 30, 200, 1100, 6000]) for w in sorted(words)}
+    got = sorted(map(tuple, spelling.near_words(spark.createDataFrame(list(n.items()), "word string, n long").repartition(3), most=most).collect()))
+    want = []
+    for w in n:
+        near = [o for o in n if one_edit(w, o)]
+        if near:
+            best = min(near, key=lambda o: (-n[o], o))
+            want.append((w, len(near), n[best], best))
+    assert got == sorted(want)
+
+
+def test_chains_of_forms(spark):
+    names = ["abcdefg", "abcdefgh", "abcdefghi", "abcdefghij", "abcdefghijk", "abcdefghijkl"]
+    rows = [(k, " ".join([w] * 5 ** (k + 1))) for k, w in enumerate(names)] + [(50, " ".join(["Ångström"] * 5)), (51, "ÅNGSTRÖM × ÷ straße straße" * 3), (52, None), (53, ""), (None, "abcdefg")]
+    got = {r["word"]: r for r in spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got.values()) == variants_by_hand(vocabulary_by_hand(rows, None))
+    assert got["abcdefgh"]["root"] == "abcdefghijkl" and got["abcdefg"]["n"] == 6
+
+
+def test_variants_on_odd_tables(odd):
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in spelling.variants(odd, every=7).collect())
+    assert got == variants_by_hand(vocabulary_by_hand([(r["doc_id"], r["text"]) for r in odd.collect()], 7))
+    assert spelling.variants(odd.where("false")).count() == 0
