@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chroma, decontamination, licenses, packing, periodic_runs, quality, secrets, simhash, spelling, substring_dedup, token_counts, toxicity
+from quillspark.llm import chroma, decontamination, licenses, packing, periodic_runs, quality, secrets, simhash, spelling, substring_dedup, token_counts, toxicity, url_filters
 from quillspark.llm.common import table
 from quillspark.llm.token_counts import tokenizer_path
 
@@ -60,9 +60,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), every=199)
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), url_filters.rules_table(spark)).drop("purity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chroma_fingerprints, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing, op11_periodic_runs, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chroma_fingerprints, op3_secret_scan, op4_token_counts, op5_decontamination, op6_simhash_golay, op7_substring_dedup, op8_toxicity_neighbours, op9_quality_attention, op10_packing, op11_periodic_runs, op12_spelling_variants, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op1_license_scan.__name__: licenses.ORACLE_SQL}
+    return {op1_license_scan.__name__: licenses.ORACLE_SQL, op12_spelling_variants.__name__: spelling.ORACLE_SQL, op13_url_filters.__name__: url_filters.oracle_sql()}

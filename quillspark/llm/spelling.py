@@ -79,6 +79,11 @@ def vocabulary(docs: DataFrame, least_count: int = LEAST_COUNT, every: int | Non
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
+_WIDE = "".join(map(chr, range(0xC0, 0x100)))
+#: As many letters of one byte that no lower-cased word has, since the SQL engine's edit distance counts bytes.
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "'\"\\`" and not chr(c).islower())[: len(_WIDE)]
+
+
 class Acceptor:
     """The minimal deterministic acceptor of sorted distinct words; a word is told by its rank.
 
@@ -270,3 +275,35 @@ def variants(docs: DataFrame, least_count: int = LEAST_COUNT, ratio: int = RATIO
     while top >= ratio * least_count:
         top, longest = top // ratio, longest + 1
     return found.join(roots(found.where("form IS NOT NULL"), longest), "word", "left").withColumn("root", F.coalesce("root", "word"))
+
+
+#: variants(documents, every=199). The checksum is linear in the bytes, so it is a sum of shares.
+ORACLE_SQL = rf"""
+WITH RECURSIVE
+steps(b, k, t) AS (SELECT b, 0, b FROM range(256) AS r(b) UNION ALL SELECT b, k + 1, CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END FROM steps WHERE k < 8),
+poly AS (SELECT b, t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS x FROM documents) GROUP BY ALL),
+messages AS (SELECT doc_id, w, n, coalesce(doc_id::VARCHAR, '') || ':' || w AS m FROM runs),
+sizes AS (SELECT DISTINCT strlen(m) AS k FROM messages),
+-- A byte's share of the checksum with d bytes after it: the checksum is linear in the bytes.
+share(b, d, v) AS (
+  SELECT b, 0, t FROM poly
+  UNION ALL
+  SELECT s.b, d + 1, xor(v >> 8, p.t) FROM share AS s JOIN poly AS p ON p.b = s.v & 255 WHERE d < (SELECT max(k) FROM sizes)
+),
+-- The share of the initial value, for messages of k bytes.
+start(k, v) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT k + 1, xor(v >> 8, p.t) FROM start AS s JOIN poly AS p ON p.b = s.v & 255 WHERE k < (SELECT max(k) FROM sizes)),
+bytes AS (SELECT doc_id, w, n, hex(m) AS h, strlen(m) AS k FROM messages),
+each AS (SELECT doc_id, w, n, k, i, ('0x' || h[2 * i + 1 : 2 * i + 2])::INT AS b FROM (SELECT *, unnest(range(k)) AS i FROM bytes)),
+summed AS (SELECT doc_id, w, n, k, bit_xor(v) AS v FROM each JOIN share AS s ON s.b = each.b AND s.d = k - 1 - i GROUP BY ALL),
+checked AS (SELECT doc_id, w, n, xor(xor(summed.v, start.v), 4294967295) AS h FROM summed JOIN start USING (k)),
+typed AS (SELECT CASE WHEN doc_id IS NOT NULL AND h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM checked),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+narrow AS (SELECT word, n, length(word) AS len, translate(word, '{_WIDE}', '{_NARROW}') AS s FROM words),
+cuts AS (SELECT word, n, len, s, s AS cut, 0 AS place FROM narrow UNION ALL SELECT word, n, len, s, left(s, i - 1) || substr(s, i + 1), i FROM narrow, unnest(range(1, len + 1)) AS r(i)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM cuts AS a JOIN cuts AS b USING (cut) WHERE a.word <> b.word AND levenshtein(a.s, b.s) = 1),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, hex(other))) AS other FROM near GROUP BY word),
+forms AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words AS w LEFT JOIN best USING (word)),
+chain(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain AS c JOIN forms AS f ON f.word = c.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.top AS root FROM forms AS f JOIN chain AS c USING (word) JOIN forms AS g ON g.word = c.top AND g.form IS NULL
+"""

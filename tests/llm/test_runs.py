@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from quillspark.llm import periodic_runs, queries, spelling
+
+from quillspark.llm import periodic_runs, queries, spelling, url_filters
 from quillspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -231,3 +232,78 @@ def test_variants_on_odd_tables(odd):
     got = sorted(tuple(r[c] for c in COLUMNS) for r in spelling.variants(odd, every=7).collect())
     assert got == variants_by_hand(vocabulary_by_hand([(r["doc_id"], r["text"]) for r in odd.collect()], 7))
     assert spelling.variants(odd.where("false")).count() == 0
+
+
+# -- 13 -----------------------------------------------------------------------------
+
+
+def url_by_hand(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    tail = rest[end:]
+    stop = min((tail.find(c) for c in "?#" if c in tail), default=len(tail))
+    return re.sub("[A-Z]", lambda m: m[0].lower(), rest[:end]), tail[:stop]
+
+
+def rule_by_hand(host, path, rules=url_filters.RULES):
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[3:] if fits else (None, None)
+
+
+URLS = [
+    None, "", "no scheme here", "http://", "http:///only/path", "HTTPS://WWW.Example.ORG/es/1", "https://example.org/en/12?x=/es/", "https://a.example.org#/es/", "x://org/", "http://org", "http://borg/a",
+    "http://example.orgs/es/", "http://a.com/fr/é/漢", "http://a.com:80/de/", "http://u@a.com/de/x", "a://b://c.com/de/", "http://a.com/de", "http://a.com/de/?q", "ftp://É.com/FR/", "http://a.com/" + "x/" * 900, "http://h.net/\n/es/1", "http://h.net//de//1",
+]
+
+
+def test_rules_and_parts(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judged(pages, url_filters.rules_table(spark)).collect()}
+    assert len(got) == len(URLS)
+    for k, url in enumerate(URLS):
+        host, path = url_by_hand(url)
+        rule, verdict = rule_by_hand(host, path)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule), url
+        assert got[k]["verdict"] == verdict if verdict else got[k]["verdict"] in ("allow", "block")
+
+
+def test_templates_of_a_host(spark):
+    """Articles under /bad/ are blocked wherever rules know them, so unknown ones are too; a hot host keeps few templates."""
+    rules = [("block", "one.net", "/bad/"), ("allow", "one.net", "/good/"), ("block", "two.net", "/bad/"), ("allow", "two.net", "/good/"), ("block", "one.net", "/mixed/x/")]
+    urls = [f"http://{h}.net/{kind}/{word}{k}/{k}.html" for h in ("one", "two", "three") for kind in ("bad", "good") for k in range(40) for word in ("ab", "cd")]
+    urls += ["http://three.net/bad/unseen/1", "http://three.net/good/unseen/1", "http://one.net/other/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judged(pages, url_filters.rules_table(spark, rules), fan=4).collect()}
+    for k, url in enumerate(urls[:-1]):
+        assert got[k]["verdict"] == ("block" if "/bad/" in url else "allow"), url
+    assert {got[k]["template"] for k in range(160)} == {"one.net/=bad/{w}/{n}.*", "one.net/=good/{w}/{n}.*"}
+
+
+def test_similar_branches_merge(spark):
+    rows = [("host", "h", ["=a", "{n}"], 1, 99), ("host", "h", ["=b", "{n}"], 2, 98), ("host", "h", ["=c", "{n}"], 90, 5), ("host", "h", ["=d", "{n}"], 0, 0), ("host", "g", ["=a", "{n}"], 5, 5)]
+    t = spark.createDataFrame(rows, "way string, tree string, tokens array<string>, a long, b long")
+    got = {(r["tree"], r["tokens"][0]): (r["to"], r["sum_a"], r["sum_b"]) for r in url_filters.merged(t, 2).collect()}
+    assert got["h", "=a"] == got["h", "=b"] == (["=a|=b", "{n}"], 3, 197)
+    assert got["h", "=c"] == (["=c", "{n}"], 90, 5) and got["h", "=d"] == (["=d", "{n}"], 0, 0) and got["g", "=a"] == (["=a", "{n}"], 5, 5)
+
+
+def test_urls_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/de/1", "a", 1), (1, "http://x.com/de/1", "a", 2), (None, None, None, None)], "page_id long, url string, host string, path long")
+    got = url_filters.judged(pages, url_filters.rules_table(spark)).collect()
+    assert [(r["page_id"], r["host"], r["rule"]) for r in got if r["page_id"]] == [(1, "x.com", "com/de/")] * 2 and len(got) == 3
+    assert url_filters.judged(pages.where("false"), url_filters.rules_table(spark)).count() == 0
+    nothing = url_filters.judged(pages, url_filters.rules_table(spark).where("false")).collect()
+    assert {r["purity"] for r in nothing} == {0.5}
+
+
+@pytest.mark.parametrize("name", ["op12_spelling_variants", "op13_url_filters"])
+def test_registered_query_equals_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    want = c.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.select(*(f'"{x}"' for x in df.columns)).fetchall()))
