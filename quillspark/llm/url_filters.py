@@ -139,7 +139,9 @@ def judged(pages: DataFrame, rules: DataFrame, depth: int = DEPTH, fan: int = FA
     trees, deepest = grown(paths, depth, fan)
     templates = merged(trees.groupBy("way", "tree", "tokens").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), deepest).select("way", "tree", "tokens", "to", "sum_a", "sum_b")
     of_all = along_the_path(templates.where("way = 'all'"), weight).withColumn("way", F.lit("all"))
-    found = trees.select("way", "tree", "host", "path", "tokens").join(templates.join(of_all, ["way", "to"], "left"), ["way", "tree", "tokens"])
+    # Written first, so that its size is known: templates of a hot host are broadcast if they are small, else their join is split.
+    templates = staged(templates.join(of_all, ["way", "to"], "left"), "templates")
+    found = trees.select("way", "tree", "host", "path", "tokens").join(templates, ["way", "tree", "tokens"])
     of = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
     scored = found.groupBy("host", "path").agg(*(of(w, f"sum_{c}").alias(f"{w}_{c}") for w in ("host", "site") for c in "ab"), of("host", "to").alias("to"), of("all", "purity").alias("purity"))
     for way in ("site", "host"):
