@@ -1,29 +1,30 @@
 """Mentions to persons: blocking, scoring, clustering, lasting ids, relations.
 
-Pairs come from one equi-join on (first four letters of the surname, sex): each mention
-takes part whatever its years, and vetoes are residual predicates of the join, so only
-pairs that may be one person reach the similarity, which runs on distinct pairs of unequal
-names. Greedy clustering with cannot-links is done only where a component has one; all
-other components are plain.
+Pairs come from equi-joins on (first four letters of the surname, sex, decade of birth);
+vetoes are residual predicates of the join, so only pairs that may be one person reach the
+similarity, which runs on distinct pairs of unequal names. Clusters and ids settle in rounds of
+joins. After an edit of constraints only the components that it touches are done again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import name_similarity
 from quillspark.functions.text import place_norm
-from quillspark.operators.graph import components
-from quillspark.operators.identity import dense_ids
+from quillspark.operators.clusters import changed, clusters, largest_id, lasting_ids
 from quillspark.storage import staged
 
+__all__ = ["Linkage", "Thresholds", "candidate_pairs", "clusters", "enriched", "lasting_ids", "link", "possible", "relations_of", "relinked", "scored_pairs"]
+
 PARENTS_OF = ("zenich", "nevesta", "zemrely", "otec", "matka")
 ONCE = ("dite", "zemrely")
 UNREADABLE = "(nečitelné jméno)"
+#: Years of a block, and how many years of birth a mention may have to be put into blocks by years.
+DECADE, WIDE = 10, 200
 
 
 @dataclass(frozen=True)
@@ -37,12 +38,15 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Linkage:
-    """What a run gives."""
+    """What a run gives; mentions (enriched), pairs and found (id, root, component) are what a later edit needs."""
 
     persons: DataFrame
     person_mentions: DataFrame
     relations: DataFrame
     candidates: DataFrame
+    mentions: DataFrame
+    pairs: DataFrame
+    found: DataFrame
 
 
 def enriched(mentions: DataFrame, events: DataFrame) -> DataFrame:
@@ -83,10 +87,24 @@ def possible(a: str = "a", b: str = "b") -> Column:
 
 
 def candidate_pairs(m: DataFrame) -> DataFrame:
-    """Pairs a.*, b.* of enriched mentions in one block, a.id < b.id, without veto."""
-    own = m.where("surname_norm <> '' AND given_norm <> ''").select(*KEEP).withColumn("block", F.substring("surname_norm", 1, 4))
-    a, b = own.alias("a"), own.alias("b")
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.sex") == F.col("b.sex")) & (F.col("a.id") < F.col("b.id")) & possible())
+    """Pairs (a, b), each a struct, of enriched mentions in one block, a.id < b.id, without veto.
+
+    A block is (first letters of the surname, sex, decade of birth). A mention is in all decades
+    of its plausible years, and a pair is made in the first that both are in. Those that may be
+    born over more than WIDE years are in no decade: they meet all others of their letters and sex.
+    """
+    own = m.where("surname_norm <> '' AND given_norm <> ''").select(*KEEP).withColumns({"block": F.substring("surname_norm", 1, 4), "wide": F.col("year_max") - F.col("year_min") > WIDE})
+    decade = lambda c: F.floor(F.col(c) / DECADE)
+    dated = own.where("NOT wide").withColumn("first", decade("year_min")).withColumn("decade", F.explode(F.sequence("first", decade("year_max"))))
+    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.sex") == F.col("b.sex"))
+    once = (F.col("a.decade") == F.col("b.decade")) & (F.col("a.decade") == F.greatest("a.first", "b.first")) & (F.col("a.id") < F.col("b.id"))
+    whole = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in KEEP))
+    near = dated.alias("a").join(dated.alias("b"), same & once & possible()).select(whole("a").alias("a"), whole("b").alias("b"))
+    other = (F.col("a.id") != F.col("b.id")) & (~F.col("b.wide") | (F.col("a.id") < F.col("b.id")))
+    turned = F.col("a.id") > F.col("b.id")
+    anywhere = own.where("wide").alias("a").join(own.alias("b"), same & other & possible())
+    anywhere = anywhere.select(F.when(turned, whole("b")).otherwise(whole("a")).alias("a"), F.when(turned, whole("a")).otherwise(whole("b")).alias("b"))
+    return near.unionByName(anywhere)
 
 
 def _or(a: Column, b: Column) -> Column:
@@ -134,86 +152,6 @@ def scored_pairs(m: DataFrame, suggest: float = Thresholds.suggest) -> DataFrame
     return out.where(F.col("score") >= suggest)
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge one component: must-links, then candidates by score, none that would join a cannot-link's ends."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for r in rows[rows["kind"] == "must"].itertuples():
-        p, q = sorted((find(r.a), find(r.b)))
-        root[q] = p
-    apart: dict[int, set[int]] = {}
-    for r in rows[rows["kind"] == "cannot"].itertuples():
-        p, q = find(r.a), find(r.b)
-        apart.setdefault(p, set()).add(q)
-        apart.setdefault(q, set()).add(p)
-    for r in rows[rows["kind"] == "may"].sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-        p, q = sorted((find(r.a), find(r.b)))
-        if p != q and q not in apart.get(p, ()):
-            root[q] = p
-            for other in apart.pop(q, ()):
-                apart[other].discard(q)
-                apart[other].add(p)
-                apart.setdefault(p, set()).add(other)
-    nodes = sorted({*rows["a"], *rows["b"]})
-    return pd.DataFrame({"id": nodes, "root": [find(n) for n in nodes]}, dtype="int64")
-
-
-def clusters(mentions: DataFrame, pairs: DataFrame, constraints: DataFrame | None, flag: float) -> DataFrame:
-    """(id, root) of every mention; root is the smallest mention of the cluster."""
-    may = pairs.where(F.col("score") >= flag).select("a", "b", "score", F.lit("may").alias("kind"))
-    rows = may
-    if constraints is not None:
-        ids = mentions.select("id")
-        c = constraints.select(F.col("mention_a").alias("a"), F.col("mention_b").alias("b"), F.lit(2.0).alias("score"), F.when(F.col("kind") == "must_link", "must").otherwise("cannot").alias("kind"))
-        c = c.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-        rows = may.unionByName(c)
-    rows = staged(rows, "links")
-    found = staged(components(rows.where("kind <> 'cannot'")), "components")
-    at = found.select(F.col("node").alias("a"), F.col("root").alias("ra")), found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    tied = rows.where("kind = 'cannot'").join(at[0], "a").join(at[1], "b").where("ra = rb").select(F.col("ra").alias("component")).distinct()
-    inside = rows.join(at[0], "a").join(at[1], "b").where("ra = rb").withColumn("component", F.col("ra")).join(tied, "component", "left_semi")
-    split = inside.select("component", "a", "b", "score", "kind").groupBy("component").applyInPandas(_strip_component, "id long, root long")
-    plain = found.join(tied.withColumnRenamed("component", "root"), "root", "left_anti").select(F.col("node").alias("id"), "root")
-    return mentions.select("id").join(plain.unionByName(split), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
-def _strip_component(rows: pd.DataFrame) -> pd.DataFrame:
-    return _greedy(rows.drop(columns="component"))
-
-
-def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lasting ids in one group of clusters and former persons that overlap: larger clusters choose first."""
-    taken: set[int] = set()
-    out = []
-    for (_, root), own in rows.sort_values(["size", "root"], ascending=[False, True]).assign(neg=lambda d: -d["size"]).groupby(["neg", "root"], sort=True):
-        free = own[~own["person_id"].isin(taken)].sort_values(["n", "person_id"], ascending=[False, True])
-        if len(free):
-            taken.add(int(free["person_id"].iloc[0]))
-            out.append((int(root), int(free["person_id"].iloc[0])))
-    return pd.DataFrame(out, columns=["root", "person_id"], dtype="int64")
-
-
-def lasting_ids(found: DataFrame, previous: DataFrame | None, largest: int = 0) -> DataFrame:
-    """(root, person_id): each cluster (id, root) keeps the former person it overlaps most; others get new ids."""
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    kept = None
-    if previous is not None:
-        overlap = found.join(previous.select(F.col("mention_id").alias("id"), "person_id"), "id").groupBy("root", "person_id").agg(F.count("*").alias("n"))
-        overlap = staged(overlap.join(sizes, "root"), "overlap")
-        group = components(overlap.select((F.col("root") * 2).alias("a"), (F.col("person_id") * 2 + 1).alias("b")))
-        rows = overlap.join(group.where("node % 2 = 0").select(F.expr("node div 2").alias("root"), F.col("root").alias("g")), "root")
-        kept = staged(rows.groupBy("g").applyInPandas(_choose, "root long, person_id long"), "kept")
-    fresh = sizes if kept is None else sizes.join(kept, "root", "left_anti")
-    fresh = dense_ids(fresh.withColumn("__first", -F.col("size")), ["__first", "root"], "person_id", largest).select("root", "person_id")
-    return fresh if kept is None else fresh.unionByName(kept)
-
-
 def _summaries(m: DataFrame) -> DataFrame:
     """(person_id, display_name, sex, birth_year_est, death_year_est) of enriched mentions with person_id."""
     full = lambda g, s: F.btrim(F.concat_ws(" ", F.nullif(F.coalesce(g, F.lit("")), F.lit("")), F.nullif(F.coalesce(s, F.lit("")), F.lit(""))))
@@ -259,31 +197,73 @@ def relations_of(roles: DataFrame, confidence: DataFrame | None = None) -> DataF
     return out.join(c("person_a", "ca"), "person_a").join(c("person_b", "cb"), "person_b").select("type", "person_a", "person_b", F.least("ca", "cb").alias("confidence"), "evidence", F.lit("auto").alias("source"))
 
 
-def link(mentions: DataFrame, events: DataFrame, constraints: DataFrame | None = None, previous: DataFrame | None = None, t: Thresholds | None = None, largest: int | None = None) -> Linkage:
-    """A whole run. previous: the last person_mentions; largest: the largest person id ever given (else of previous)."""
-    t = t or Thresholds()
-    m = staged(enriched(mentions, events), "enriched")
-    pairs = staged(scored_pairs(m, t.suggest), "pairs")
-    found = staged(clusters(m, pairs, constraints, t.flag), "clusters")
-    if previous is not None and largest is None:
-        largest = previous.agg(F.coalesce(F.max("person_id"), F.lit(0))).first()[0]
-    named = staged(found.join(lasting_ids(found, previous, largest or 0), "root"), "named")
+def _described(m: DataFrame, pairs: DataFrame, named: DataFrame, constraints: DataFrame | None, t: Thresholds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons, person_mentions, candidates) of the mentions m; named: (id, person_id) of all ends of pairs."""
     ends = lambda x, y: named.select(F.col("id").alias(x), F.col("person_id").alias(y))
     placed = staged(pairs.join(ends("a", "pa"), "a").join(ends("b", "pb"), "b").withColumn("accepted", (F.col("score") >= t.flag) & (F.col("pa") == F.col("pb"))), "placed")
     least = placed.where("accepted").groupBy(F.col("pa").alias("person_id")).agg(F.min(F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("confidence"))
     with_person = m.join(named.select("id", "person_id"), "id")
     persons = _summaries(with_person).join(least, "person_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     persons = staged(persons, "persons")
-    confidence = persons.select("person_id", "confidence")
     source = F.lit("auto")
-    members = named.select("person_id", F.col("id").alias("mention_id"))
+    members = with_person.select("person_id", F.col("id").alias("mention_id"))
     if constraints is not None:
         bound = constraints.where("kind = 'must_link'").select(F.explode(F.array("mention_a", "mention_b")).alias("mention_id")).distinct().withColumn("__bound", F.lit(True))
         members, source = members.join(bound, "mention_id", "left"), F.when(F.col("__bound"), "constraint").otherwise("auto")
-    links = members.join(confidence, "person_id").select("person_id", "mention_id", "confidence", source.alias("source"))
-    roles = with_person.groupBy("record_id", "role").agg(F.max_by("person_id", "id").alias("person_id"))
+    links = members.join(persons.select("person_id", "confidence"), "person_id").select("person_id", "mention_id", "confidence", source.alias("source"))
     candidates = placed.where("accepted OR pa <> pb").select(F.col("a").alias("mention_a"), F.col("b").alias("mention_b"), "score", "features", "accepted")
-    return Linkage(persons.withColumnRenamed("person_id", "id"), links, relations_of(roles, confidence), candidates)
+    return persons.withColumnRenamed("person_id", "id"), links, candidates
+
+
+def _relations(m: DataFrame, named: DataFrame, persons: DataFrame) -> DataFrame:
+    roles = m.join(named, "id").groupBy("record_id", "role").agg(F.max_by("person_id", "id").alias("person_id"))
+    return relations_of(roles, persons.select(F.col("id").alias("person_id"), "confidence"))
+
+
+def link(mentions: DataFrame, events: DataFrame, constraints: DataFrame | None = None, previous: DataFrame | None = None, t: Thresholds | None = None, largest: int | None = None) -> Linkage:
+    """A whole run. previous: the last person_mentions; largest: the largest person id ever given (else of previous)."""
+    t = t or Thresholds()
+    m = staged(enriched(mentions, events), "enriched")
+    pairs = staged(scored_pairs(m, t.suggest), "pairs")
+    found = staged(clusters(m, pairs, constraints, t.flag), "clusters")
+    named = staged(found.join(lasting_ids(found, previous, largest_id(previous) if largest is None else largest), "root").select("id", "person_id"), "named")
+    persons, links, candidates = _described(m, pairs, named, constraints, t)
+    return Linkage(persons, links, _relations(m, named, persons), candidates, m, pairs, found)
+
+
+def relinked(last: Linkage, before: DataFrame | None, after: DataFrame | None, t: Thresholds | None = None, largest: int | None = None) -> Linkage:
+    """last, made under the constraints before, as a whole run would make it under the constraints after with last's ids as the previous ones.
+
+    Nothing is scored again. Clusters, ids, persons and candidates are made anew only in the
+    components of mentions whose constraints differ, relations only in the records of these.
+    """
+    t = t or Thresholds()
+    edited = changed(before, after)
+    if edited is None:
+        return last
+    touched = last.found.join(edited, "id", "left_semi").select("component").distinct()
+    own = staged(last.found.join(touched, "component", "left_semi").select("id"), "touched")
+    of = lambda x: own.select(F.col("id").alias(x))
+    mine = lambda df, x: df.join(of(x), x, "left_semi")
+    others = lambda df, x: df.join(of(x), x, "left_anti")
+    found = staged(clusters(own, mine(mine(last.pairs, "a"), "b"), after, t.flag), "clusters")
+    former = mine(last.person_mentions, "mention_id")
+    ids = lasting_ids(found, former, largest_id(last.person_mentions) if largest is None else largest)
+    named = staged(found.join(ids, "root").select("id", "person_id").unionByName(others(last.person_mentions, "mention_id").select(F.col("mention_id").alias("id"), "person_id")), "named")
+    pairs = last.pairs.join(of("a").withColumn("__a", F.lit(True)), "a", "left").join(of("b").withColumn("__b", F.lit(True)), "b", "left").where("__a OR __b").drop("__a", "__b")
+    m = mine(last.mentions, "id")
+    persons, links, candidates = _described(m, pairs, named, after, t)
+    gone = staged(former.select("person_id").union(persons.select("id")).distinct(), "renewed")
+    persons = staged(persons.unionByName(last.persons.join(gone.withColumnRenamed("person_id", "id"), "id", "left_anti").select(persons.columns)), "persons")
+    records = last.mentions.join(m.select("record_id").distinct(), "record_id", "left_semi")
+    end = lambda x: gone.select(F.col("person_id").alias(x)).withColumn(f"__{x}", F.lit(True))
+    at = lambda df: df.join(end("person_a"), "person_a", "left").join(end("person_b"), "person_b", "left")
+    fresh, old = at(_relations(records, named, persons)).where("__person_a OR __person_b"), at(last.relations).where("__person_a IS NULL AND __person_b IS NULL")
+    relations = fresh.select(last.relations.columns).unionByName(old.select(last.relations.columns))
+    links = links.unionByName(others(last.person_mentions, "mention_id").select(links.columns))
+    kept = others(others(last.candidates, "mention_a"), "mention_b")
+    found = found.unionByName(others(last.found, "id").select(found.columns))
+    return Linkage(persons, links, relations, candidates.unionByName(kept.select(candidates.columns)), last.mentions, last.pairs, found)
 
 
 def run_row(run_id: int, t: Thresholds, started_at: Column | None = None) -> list[Column]:

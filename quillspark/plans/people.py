@@ -191,4 +191,4 @@ def must_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     cons = m.where((F.col("record_id") % 6 == 0) & (i % 3 == 0)).select(F.when(F.col("record_id") % 12 == 0, "must_link").otherwise("cannot_link").alias("kind"), i.alias("mention_a"), (i + 9).alias("mention_b"))
     none = spark.createDataFrame([], "a long, b long, score double")
-    return linkage.clusters(m, none, cons, 0.72)
+    return linkage.clusters(m, none, cons, 0.72).select("id", "root")
