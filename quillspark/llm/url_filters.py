@@ -81,6 +81,7 @@ def grown(paths: DataFrame, depth: int, fan: int) -> tuple[DataFrame, int]:
         children = at.where(here.isNotNull()).groupBy("way", "tree", "tokens", here.alias("segment")).agg(F.sum("n").alias("c"))
         nodes = children.groupBy("way", "tree", "tokens").agg(F.count("*").alias("different"), F.sum("c").alias("all")).where(F.col("different") > fan)
         often = children.join(nodes, ["way", "tree", "tokens"]).groupBy("way", "tree", "tokens").agg(F.collect_list(F.when(F.col("c") * fan >= F.col("all"), F.col("segment"))).alias("often"))
+        often = staged(often, "often")  # as with the templates
         word = F.col("often").isNotNull() & here.startswith("=") & ~F.array_contains("often", here)
         token = F.when(word, F.when(F.contains(here, F.lit(".")), "{w}.*").otherwise("{w}")).otherwise(here)
         grown_ = at.join(often, ["way", "tree", "tokens"], "left").withColumn("tokens", F.when(here.isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array(token)))).drop("often")
