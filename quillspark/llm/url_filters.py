@@ -55,6 +55,7 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), F.col("verdict").alias("says")).distinct()
     rank = F.struct((-F.length(F.concat("suffix", "start"))).alias("a"), (-F.length("suffix")).alias("b"), (F.col("says") != "block").alias("c"), "suffix", "start", "says")
     of_host = suffixes.join(r, "suffix").groupBy("host").agg(F.array_sort(F.collect_list(rank)).alias("own"))
+    of_host = staged(of_host, "host-rules")  # apart from the pages' own shuffle, so that a hot host can be split or all hosts be broadcast
     fits = F.filter("own", lambda x: F.startswith(F.col("path"), x["start"]))
     first = F.when(F.size(fits) > 0, F.element_at(fits, 1))
     found = pages.join(of_host, "host", "left").withColumn("__r", first)
