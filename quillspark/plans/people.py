@@ -68,12 +68,12 @@ _NAMES = {"given": ("a.given_norm", "b.given_norm"), "surname": ("a.surname_norm
 
 
 @cache
-def _scored() -> str:
+def _scored(only: str = "true") -> str:
     columns = ", ".join(f"{x} AS {k}_x, {y} AS {k}_y" for k, (x, y) in _NAMES.items())
     distinct = " UNION ".join(f"SELECT {k}_x AS x, {k}_y AS y FROM cand WHERE {k}_x <> '' AND {k}_y <> '' AND {k}_x <> {k}_y" for k in _NAMES)
     joins = " ".join(f"LEFT JOIN jw AS j_{k} ON j_{k}.x = {k}_x AND j_{k}.y = {k}_y" for k in _NAMES)
     sims = ", ".join(f"{_sim(f'{k}_x', f'{k}_y', f'j_{k}')} AS {k}" for k in _NAMES)
-    return f"""people AS ({_PEOPLE.format(**_DUCK)}), ev AS ({_EVENTS}),
+    return f"""people AS (SELECT * FROM ({_PEOPLE.format(**_DUCK)}) AS whole WHERE {only}), ev AS ({_EVENTS}),
 mm AS (SELECT p.*, e.year AS event_year, e.type AS event_type, lower(p.place_text) AS place, coalesce(fa.given_norm, '') AS fg, coalesce(fa.surname_norm, '') AS fs, coalesce(mo.given_norm, '') AS mg,
   CASE WHEN p.birth_year > 0 THEN p.birth_year - 2 WHEN p.role = 'dite' THEN e.year - 1 WHEN p.role IN ('zenich', 'nevesta') THEN e.year - 60 WHEN p.role = 'zemrely' THEN e.year - 105 ELSE e.year - 75 END AS lo,
   CASE WHEN p.birth_year > 0 THEN p.birth_year + 2 WHEN p.role IN ('dite', 'zemrely') THEN e.year ELSE e.year - 15 END AS hi
@@ -93,9 +93,9 @@ scored AS (SELECT *, greatest(0.0, least(1.0, 0.35 * given + 0.35 * sur + CASE W
 pairs_of AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.5)"""
 
 
-def _linked() -> str:
+def _linked(only: str = "true") -> str:
     """The whole run: components of pairs from 0.72 on, persons numbered by size and first mention."""
-    return f"""WITH RECURSIVE {_scored()},
+    return f"""WITH RECURSIVE {_scored(only)},
 near AS (SELECT a AS u, b AS v FROM pairs_of WHERE score >= 0.72 UNION SELECT b, a FROM pairs_of WHERE score >= 0.72),
 reach(u, v) AS (SELECT id, id FROM people UNION SELECT r.u, n.v FROM reach r JOIN near n ON n.u = r.v),
 roots AS MATERIALIZED (SELECT u AS id, min(v) AS root FROM reach GROUP BY 1),
@@ -113,12 +113,14 @@ def name_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("similarity", F.round(name_similarity("a", "b"), 9))
 
 
-@query("WITH p AS (SELECT DISTINCT lower(n_name) AS x, lower(b) AS y FROM nation, (SELECT n_name AS b FROM nation)), j AS " + similarity_sql("SELECT x, y FROM p WHERE x <> y") + ", k AS (SELECT *, CASE WHEN x = y THEN 1.0 ELSE s END AS w FROM p LEFT JOIN j USING (x, y)) SELECT x AS a, y AS b, w >= 0.7 AS high, round(w, 9)::DOUBLE AS winkler FROM k")
+@query("WITH p AS (SELECT DISTINCT lower(a.p_name) AS x, lower(b.n_name) AS y FROM part a JOIN nation b ON b.n_nationkey IN (a.p_partkey % 25, a.p_partkey // 25 % 25)), j AS " + similarity_sql("SELECT x, y FROM p WHERE x <> y") + ", k AS (SELECT *, CASE WHEN x = y THEN 1.0 ELSE s END AS w FROM p LEFT JOIN j USING (x, y)) SELECT x AS a, y AS b, w >= 0.7 AS high, round(w, 9)::DOUBLE AS winkler FROM k")
 def winkler_from_jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = [r["n_name"].lower() for r in table(spark, sf_dir, "nation").select("n_name").distinct().collect()]  # 25 nations
-    rows = [(a, b, jaro(a, b)) for a in n for b in n]
-    j = spark.createDataFrame(rows, "a string, b string, jaro double")
-    return j.select("a", "b", (F.col("jaro") >= 0.7).alias("high"), F.round(name_similarity("a", "b"), 9).alias("winkler"))
+    """Winkler's prefix bonus changes no side of Jaro's bound, on names of parts and nations."""
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(F.lower("p_name").alias("a"), F.explode(F.array((key % 25).cast("int"), (F.floor(key / 25) % 25).cast("int"))).alias("n_nationkey"))
+    both = parts.join(table(spark, sf_dir, "nation"), "n_nationkey").select("a", F.lower("n_name").alias("b")).distinct()
+    plain = F.udf(jaro, "double")
+    return both.select("a", "b", (plain("a", "b") >= 0.7).alias("high"), F.round(name_similarity("a", "b"), 9).alias("winkler"))
 
 
 @query(f"WITH {_scored()} SELECT a, b FROM cand")
@@ -153,18 +155,102 @@ def linkage_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(*people(spark, sf_dir)).person_mentions
 
 
-@query(_linked() + _MEMBERS)
+#: Each cluster of `sized` (root, place in the order of choosing) takes the free person it shares most mentions with, one after the other; the others get new ids.
+_CHOSEN = """
+sized AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS place FROM roots GROUP BY root),
+wish AS (SELECT place, list(person ORDER BY n DESC, person) AS wishes FROM (SELECT place, person, count(*) AS n FROM roots JOIN sized USING (root) JOIN former USING (id) GROUP BY ALL) GROUP BY place),
+chosen(place, taken, got) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT
+  UNION ALL SELECT place + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick
+  FROM (SELECT c.place, c.taken, list_filter(coalesce(w.wishes, []::BIGINT[]), lambda p: NOT list_contains(c.taken, p))[1] AS pick FROM chosen AS c JOIN sized AS s ON s.place = c.place + 1 LEFT JOIN wish AS w ON w.place = c.place + 1)),
+given AS (SELECT root, coalesce(got, (SELECT max(person) FROM former) + count(*) FILTER (got IS NULL) OVER (ORDER BY place)) AS person FROM sized JOIN chosen USING (place)),
+of AS MATERIALIZED (SELECT id, person FROM roots JOIN given USING (root))"""
+_PLACED = """
+placed AS (SELECT p.*, x.person AS pa, y.person AS pb, score >= 0.72 AND x.person = y.person AS accepted FROM pairs_of p JOIN of x ON x.id = p.a JOIN of y ON y.id = p.b),
+sure AS (SELECT person, coalesce(min(c), 1.0) AS confidence FROM (SELECT DISTINCT person FROM of) LEFT JOIN (SELECT pa AS person, floor(score * 1000 + 0.5) / 1000 AS c FROM placed WHERE accepted) USING (person) GROUP BY 1)"""
+_MISSING = "id % 7 <> 3"
+
+
+@query(_linked().rsplit(",\nnumbered AS", 1)[0] + f""",
+former AS MATERIALIZED (SELECT id, person FROM ({_linked(_MISSING)} SELECT id, person FROM of) AS f),{_CHOSEN},{_PLACED}{_MEMBERS}""")
 def linkage_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first run lacks every seventh mention, so the second's clusters share former persons and some persons are new."""
     m, e = people(spark, sf_dir)
-    return linkage.link(m, e, previous=linkage.link(m, e).person_mentions).person_mentions
+    return linkage.link(m, e, previous=linkage.link(m.where(_MISSING), e).person_mentions).person_mentions
+
+
+#: Constraints on pairs of candidates: some that would merge are kept apart, some that wouldn't are tied.
+_EDITS = "CASE WHEN (a + b) % 5 = 1 AND score >= 0.72 THEN 'cannot_link' WHEN (a * 3 + b) % 31 = 2 AND score < 0.72 THEN 'must_link' END"
+#: The links of each component taken one by one, best first; heads has the cluster of each member.
+_GREEDY = f"""
+cons AS MATERIALIZED (SELECT kind, a, b FROM (SELECT {_EDITS} AS kind, a, b FROM pairs_of) WHERE kind IS NOT NULL),
+link AS (SELECT a AS u, b AS v FROM pairs_of WHERE score >= 0.72 UNION SELECT a, b FROM cons WHERE kind = 'must_link'),
+twoway AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach(u, v) AS (SELECT id, id FROM people UNION SELECT r.u, n.v FROM reach r JOIN twoway n ON n.u = r.v),
+comp AS MATERIALIZED (SELECT u AS id, min(v) AS comp FROM reach GROUP BY 1),
+tie AS (SELECT a AS u, b AS v FROM cons WHERE kind = 'must_link' UNION SELECT b, a FROM cons WHERE kind = 'must_link'),
+tied(u, v) AS (SELECT id, id FROM people UNION SELECT r.u, n.v FROM tied r JOIN tie n ON n.u = r.v),
+start AS (SELECT comp, list(id ORDER BY id) AS ids, list(head ORDER BY id) AS heads FROM (SELECT u AS id, min(v) AS head FROM tied GROUP BY 1) JOIN comp USING (id) GROUP BY comp),
+bars AS (SELECT comp, list([a, b]) AS bars FROM cons JOIN comp ON comp.id = a WHERE kind = 'cannot_link' GROUP BY comp),
+steps AS MATERIALIZED (SELECT comp, a, b, row_number() OVER (PARTITION BY comp ORDER BY score DESC, a, b) AS k FROM pairs_of JOIN comp ON comp.id = a WHERE score >= 0.72),
+walk(comp, k, ids, heads) AS (SELECT comp, 0::BIGINT, ids, heads FROM start
+  UNION ALL SELECT comp, k, ids, CASE WHEN p = q OR barred THEN heads ELSE list_transform(heads, lambda h: CASE WHEN h = greatest(p, q) THEN least(p, q) ELSE h END) END
+  FROM (SELECT comp, k, ids, heads, p, q, len(list_filter(coalesce(bars, []), lambda x: heads[list_position(ids, x[1])] IN (p, q) AND heads[list_position(ids, x[2])] IN (p, q) AND heads[list_position(ids, x[1])] <> heads[list_position(ids, x[2])])) > 0 AS barred
+    FROM (SELECT w.comp, s.k, ids, heads, heads[list_position(ids, s.a)] AS p, heads[list_position(ids, s.b)] AS q, bars FROM walk w JOIN steps s ON s.comp = w.comp AND s.k = w.k + 1 LEFT JOIN bars ON bars.comp = w.comp))),
+roots AS MATERIALIZED (SELECT unnest(ids) AS id, unnest(heads) AS root FROM (SELECT ids, heads FROM walk QUALIFY row_number() OVER (PARTITION BY comp ORDER BY k DESC) = 1))"""
+_BOUND = " SELECT person AS person_id, o.id AS mention_id, confidence, CASE WHEN o.id IN (SELECT unnest([a, b]) FROM cons WHERE kind = 'must_link') THEN 'constraint' ELSE 'auto' END AS source FROM of o JOIN sure USING (person)"
+
+
+def _constraints(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.expr(_EDITS).alias("kind"), F.col("a").alias("mention_a"), F.col("b").alias("mention_b")).where("kind IS NOT NULL")
+
+
+@query(f"""WITH RECURSIVE {_scored()},{_GREEDY},
+numbered AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS person FROM roots GROUP BY root),
+of AS MATERIALIZED (SELECT id, person FROM roots JOIN numbered USING (root)),{_PLACED}{_BOUND}""")
+def linkage_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cannot-links stop merges that scores ask for, must-links make others."""
+    m, e = people(spark, sf_dir)
+    return linkage.link(m, e, _constraints(linkage.scored_pairs(linkage.enriched(m, e)))).person_mentions
+
+
+_RELINKED = f"""WITH RECURSIVE {_scored()},
+former AS MATERIALIZED (SELECT id, person FROM ({_linked()} SELECT id, person FROM of) AS f),{_GREEDY},{_CHOSEN},{_PLACED}"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> linkage.Linkage:
+    first = linkage.link(*people(spark, sf_dir))
+    return linkage.relinked(first, None, _constraints(first.pairs))
 
 
-@query(_linked() + ", rules(type, role_a, role_b) AS (VALUES " + ", ".join(map(str, relation_rules())) + """),
+@query(f"{_RELINKED}{_BOUND}")
+def linkage_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges and splits after a run: only the components that they touch are done again."""
+    return _edited(spark, sf_dir).person_mentions
+
+
+@query(_RELINKED + " SELECT a AS mention_a, b AS mention_b, round(score, 9) AS score, accepted FROM placed WHERE accepted OR pa <> pb")
+def linkage_edited_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir).candidates.select("mention_a", "mention_b", F.round("score", 9).alias("score"), "accepted")
+
+
+_RULES = ", rules(type, role_a, role_b) AS (VALUES " + ", ".join(map(str, relation_rules())) + """),
 ends AS (SELECT r.type, x.person AS pa, y.person AS pb, a.record_id FROM rules r JOIN people a ON a.role = role_a JOIN people b ON b.role = role_b AND b.record_id = a.record_id JOIN of x ON x.id = a.id JOIN of y ON y.id = b.id WHERE x.person <> y.person)
 SELECT type, CASE WHEN type = 'spouse' THEN least(pa, pb) ELSE pa END AS person_a, CASE WHEN type = 'spouse' THEN greatest(pa, pb) ELSE pb END AS person_b,
-  any_value(least(x.confidence, y.confidence)) AS confidence, array_to_string(list_sort(list(record_id)), ',') AS evidence FROM ends JOIN sure x ON x.person = pa JOIN sure y ON y.person = pb GROUP BY ALL""")
+  any_value(least(x.confidence, y.confidence)) AS confidence, array_to_string(list_sort(list(record_id)), ',') AS evidence FROM ends JOIN sure x ON x.person = pa JOIN sure y ON y.person = pb GROUP BY ALL"""
+
+
+def _evidence(relations: DataFrame) -> DataFrame:
+    return relations.select("type", "person_a", "person_b", "confidence", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+@query(_RELINKED + _RULES)
+def linkage_edited_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(_edited(spark, sf_dir).relations)
+
+
+@query(_linked() + _RULES)
 def linkage_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.link(*people(spark, sf_dir)).relations.select("type", "person_a", "person_b", "confidence", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+    return _evidence(linkage.link(*people(spark, sf_dir)).relations)
 
 
 @query(_linked() + " SELECT a AS mention_a, b AS mention_b, round(score, 9) AS score, accepted FROM placed WHERE accepted OR pa <> pb")
