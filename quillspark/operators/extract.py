@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.dates import parse_age, parse_date
-from quillspark.functions.names import parse_person_cell, people_of
+from quillspark.functions.names import parse_cells
 from quillspark.functions.text import feminize_surname, first_non_empty, fold_ascii, given_norm, split_people, split_place_house, status_of, strip
 from quillspark.operators.identity import keep_ids
 
@@ -76,9 +76,18 @@ def _sex_of(cell: Column, otherwise: Column) -> Column:
     return F.coalesce(said, otherwise)
 
 
+def _parsed(r: DataFrame, single: dict[str, Column], listed: tuple[str, str] | None = None) -> DataFrame:
+    """r with the parsed cells by name and those of a list cell (name, key); all cells of a record are parsed in one call."""
+    cells = F.array(*single.values())
+    if listed:
+        cells = F.concat(cells, _once(_cell(listed[1]), split_people))
+    r = r.withColumn("__cells", parse_cells(cells))
+    r = r.withColumns({k: F.col("__cells")[i] for i, k in enumerate(single)})
+    return r.withColumn(listed[0], F.transform(F.slice("__cells", F.lit(len(single) + 1), F.size("__cells")), lambda c: c["p"])) if listed else r
+
+
 def _births(r: DataFrame) -> DataFrame:
-    r = r.withColumns({k: parse_person_cell(_cell(c)) for k, c in (("__otec", "otec_jmeno_stav"), ("__matka", "matka_jmeno_rodice"), ("__dite", "dite_jmeno"), ("__babka", "babka"))})
-    r = r.withColumn("__kmotri", people_of(_once(_cell("kmotri"), split_people)))
+    r = _parsed(r, {k: _cell(c) for k, c in (("__otec", "otec_jmeno_stav"), ("__matka", "matka_jmeno_rodice"), ("__dite", "dite_jmeno"), ("__babka", "babka"))}, ("__kmotri", "kmotri"))
     otec, matka, dite, babka = (F.col(k)["p"] for k in ("__otec", "__matka", "__dite", "__babka"))
     has = {k: strip(_cell(c)) != "" for k, c in (("otec", "otec_jmeno_stav"), ("matka", "matka_jmeno_rodice"), ("dite", "dite_jmeno"), ("babka", "babka"))}
     name, norm = F.coalesce(otec["surname"], F.lit("")), F.coalesce(otec["surname_norm"], F.lit(""))
@@ -115,7 +124,7 @@ def _births(r: DataFrame) -> DataFrame:
 def _marriages(r: DataFrame) -> DataFrame:
     bride = first_non_empty(_cell("nevesta_jmeno_stav_rodice"), _cell("nevesta_jmeno"))
     birthplace = first_non_empty(_cell("nevesta_misto_narozeni"), _cell("nevesta_misto_zrozeni"))
-    r = r.withColumns({"__zenich": parse_person_cell(_cell("zenich_jmeno_stav_rodice")), "__nevesta": parse_person_cell(bride), "__svedkove": people_of(_once(_cell("svedkove"), split_people)), "__born": _once(_cell("nevesta_datum_narozeni"), parse_date)})
+    r = _parsed(r, {"__zenich": _cell("zenich_jmeno_stav_rodice"), "__nevesta": bride}, ("__svedkove", "svedkove")).withColumn("__born", _once(_cell("nevesta_datum_narozeni"), parse_date))
     zenich, nevesta, born = F.col("__zenich")["p"], F.col("__nevesta")["p"], F.col("__born")
     plain = F.concat_ws(" | ", birthplace, _cell("nevesta_datum_narozeni"), _cell("nevesta_stav"))
     mentions = [
@@ -133,7 +142,7 @@ def _marriages(r: DataFrame) -> DataFrame:
 
 
 def _deaths(r: DataFrame) -> DataFrame:
-    r = r.withColumn("__zemrely", parse_person_cell(_cell("zemrely_jmeno_stav")))
+    r = _parsed(r, {"__zemrely": _cell("zemrely_jmeno_stav")})
     p, age = F.col("__zemrely")["p"], strip(_cell("vek"))
     own = _mention("zemrely", p, sex=_sex_of(_cell("pohlavi"), p["sex"]), place_text=_or(p["place"], F.col("event.place_text")), age_text=age, birth_year=F.col("event.year") - _once(age, parse_age))
     return r.withColumn("__all", F.array(*_with_parents("zemrely", F.col("__zemrely"), own, strip(_cell("zemrely_jmeno_stav")) != "")))
