@@ -12,6 +12,7 @@ from quillspark.operators import dataset, extract, graph, linkage, quality, sear
 from quillspark.plans import analytics as A
 from quillspark.plans import drawn as _drawn  # noqa: F401 (registers its queries)
 from quillspark.plans import forms as _forms  # noqa: F401
+from quillspark.plans import mentions as _mentions  # noqa: F401
 from quillspark.plans import people as _people  # noqa: F401
 from quillspark.plans.register import SQL as REG
 from quillspark.plans.register import register, table
