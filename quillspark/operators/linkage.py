@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.similarity import name_similarity
 from quillspark.functions.text import place_norm
 from quillspark.operators.clusters import changed, clusters, largest_id, lasting_ids
+from quillspark.sources.versions import Versions
 from quillspark.storage import staged
 
-__all__ = ["Linkage", "Thresholds", "candidate_pairs", "clusters", "enriched", "lasting_ids", "link", "possible", "relations_of", "relinked", "scored_pairs"]
+__all__ = ["Linkage", "Thresholds", "candidate_pairs", "clusters", "enriched", "lasting_ids", "link", "possible", "rebuild", "relations_of", "relinked", "scored_pairs"]
 
 PARENTS_OF = ("zenich", "nevesta", "zemrely", "otec", "matka")
 ONCE = ("dite", "zemrely")
@@ -276,3 +277,23 @@ def last_thresholds(runs: DataFrame) -> Thresholds:
     """Those of the latest run, or the defaults."""
     row = runs.agg(F.max_by("params", "id").alias("p")).select(F.from_json("p", "auto double, flag double, suggest double").alias("p")).first()
     return Thresholds(**{k: v for k, v in row["p"].asDict().items() if v is not None}) if row and row["p"] else Thresholds()
+
+
+def rebuild(versions: Versions, mentions: DataFrame, events: DataFrame, constraints: DataFrame | None = None, t: Thresholds | None = None) -> int:
+    """A whole run over the current version's persons, committed as the next version; its number.
+
+    Without thresholds those of the last run are taken. persons, person_mentions, relations,
+    match_candidates and match_runs change together or not at all.
+    """
+    known = versions.current() is not None
+    runs = versions.read("match_runs") if known else None
+    run_id = (runs.agg(F.max("id")).first()[0] if runs is not None else 0) + 1
+    t = t or (last_thresholds(runs) if runs is not None else Thresholds())
+    largest = versions.read("persons").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if known else 0
+    r = link(mentions, events, constraints, versions.read("person_mentions") if known else None, t, largest)
+    log = versions.spark.range(1).select(*run_row(run_id, t))
+    tables = {
+        "persons": r.persons.withColumn("first_seen_run", F.lit(run_id)), "person_mentions": r.person_mentions, "relations": r.relations,
+        "match_candidates": r.candidates.withColumn("run_id", F.lit(run_id)), "match_runs": log if runs is None else runs.unionByName(log),
+    }
+    return versions.commit(tables)

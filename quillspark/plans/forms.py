@@ -292,14 +292,6 @@ def links_and_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", sinks.deep_link(F.col("o_custkey").cast("string"), file, "https://example.org/d/").alias("link"), quality.preview(F.sequence(F.lit(1), F.when(k % 3 == 0, 45).otherwise(40))).alias("shown"))
 
 
-@query("SELECT 7 AS id, 0.9::DOUBLE AS auto, 0.8::DOUBLE AS flag, 0.5::DOUBLE AS suggest")
-def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The thresholds that a rerun takes over from the latest row of the run log."""
-    runs = spark.range(1).select(*linkage.run_row(3, linkage.Thresholds())).unionByName(spark.range(1).select(*linkage.run_row(7, linkage.Thresholds(flag=0.8))))
-    t = linkage.last_thresholds(runs)
-    return runs.groupBy().agg(F.max("id").alias("id")).select("id", F.lit(t.auto).alias("auto"), F.lit(t.flag).alias("flag"), F.lit(t.suggest).alias("suggest"))
-
-
 @query("SELECT o_orderkey, CASE o_orderkey % 14 WHEN 0 THEN '' WHEN 13 THEN '13' ELSE (['led', 'úno', 'bře', 'dub', 'kvě', 'čvn', 'čvc', 'srp', 'zář', 'říj', 'lis', 'pro'])[o_orderkey % 14] END AS label FROM orders")
 def month_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.month_label(F.col("o_orderkey") % 14).alias("label"))

@@ -8,6 +8,7 @@ relations in its own way.
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from quillspark.operators import linkage, search
 from quillspark.operators.linkage import relation_rules
 from quillspark.plans.register import table
 from quillspark.plans.registry import query
+from quillspark.sources.versions import Versions
+from quillspark.storage import shared_dir
 
 _LETTERS = "karolinamatejvaclavbarboraludmiladorotapetrjosefantoninmagdalenaondrejkaterina"
 _PEOPLE = f"""
@@ -178,6 +181,43 @@ def linkage_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(m, e, previous=linkage.link(m.where(_MISSING), e).person_mentions).person_mentions
 
 
+def _fresh(spark: SparkSession) -> Versions:
+    return Versions(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/versions-{uuid.uuid4().hex}")
+
+
+@query(_linked().rsplit(",\nnumbered AS", 1)[0] + f""",
+former AS MATERIALIZED (SELECT id, person FROM ({_linked(_MISSING)} SELECT id, person FROM of) AS f),{_CHOSEN},{_PLACED}
+SELECT person AS person_id, id AS mention_id, confidence, 'auto' AS source, 2 AS run, 1::BIGINT AS after_failure FROM of JOIN sure USING (person)""")
+def rebuilt_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons are built, a build fails half way, and they are built again: readers see the first version until the last is whole."""
+    m, e = people(spark, sf_dir)
+    v = _fresh(spark)
+    linkage.rebuild(v, m.where(_MISSING), e)
+    try:
+        v.commit({"persons": v.read("persons").limit(0), "person_mentions": m.select(F.raise_error(F.concat(F.lit("lost "), "id")).alias("person_id"))})
+    except Exception as x:  # the session's own error type depends on how Spark is reached
+        if "lost " not in str(x):
+            raise
+    seen = v.current()[0]
+    linkage.rebuild(v, m, e)
+    runs = v.read("persons").select(F.col("id").alias("person_id"), F.col("first_seen_run").alias("run"))
+    return v.read("person_mentions").join(runs, "person_id").withColumn("after_failure", F.lit(seen).cast("long"))
+
+
+@query(f"""WITH RECURSIVE {_scored()}, near AS (SELECT a AS u, b AS v FROM pairs_of WHERE score >= 0.8 UNION SELECT b, a FROM pairs_of WHERE score >= 0.8),
+reach(u, v) AS (SELECT id, id FROM people UNION SELECT r.u, n.v FROM reach r JOIN near n ON n.u = r.v), n AS (SELECT count(DISTINCT v) AS n FROM (SELECT u, min(v) AS v FROM reach GROUP BY u))
+SELECT unnest([1, 2]) AS id, 0.9::DOUBLE AS auto, 0.8::DOUBLE AS flag, 0.5::DOUBLE AS suggest, n AS persons FROM n""")
+def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after a run with other thresholds and a rerun with the last ones."""
+    m, e = people(spark, sf_dir)
+    v = _fresh(spark)
+    linkage.rebuild(v, m, e, t=linkage.Thresholds(flag=0.8))
+    linkage.rebuild(v, m, e)
+    p = F.from_json("params", "auto double, flag double, suggest double")
+    sizes = v.read("persons", 1).select(F.lit(1).alias("id")).unionByName(v.read("persons").select(F.lit(2).alias("id"))).groupBy("id").agg(F.count("*").alias("persons"))
+    return v.read("match_runs").select("id", p.alias("p")).join(sizes, "id").select("id", "p.*", "persons")
+
+
 #: Constraints on pairs of candidates: some that would merge are kept apart, some that wouldn't are tied.
 _EDITS = "CASE WHEN (a + b) % 5 = 1 AND score >= 0.72 THEN 'cannot_link' WHEN (a * 3 + b) % 31 = 2 AND score < 0.72 THEN 'must_link' END"
 #: The links of each component taken one by one, best first; heads has the cluster of each member.

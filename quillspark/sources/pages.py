@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.text import book_id_of, first_non_empty, strip
+from quillspark.storage import staged
 
 _TEXT, _LONG = T.StringType(), T.LongType()
 LINT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("empty_cells", _LONG), T.StructField("issues", T.ArrayType(_TEXT))])
@@ -17,24 +18,49 @@ _PAGE = {
     "model": _TEXT, "attempts": _LONG, "ts": _TEXT, "raw": _TEXT, "prompt_tokens": _LONG, "completion_tokens": _LONG, "duration_ms": _LONG, "error": _TEXT,
 }
 PAGE = T.StructType([T.StructField(k, v) for k, v in _PAGE.items()])
+LINE_CAP = 16 << 20
 META = T.StructType([T.StructField(k, T.ArrayType(_TEXT) if k == "localities" else _TEXT) for k in ("id", "name", "typ", "district", "localities", "source")])
 
 
-def read_pages(spark: SparkSession, paths: str | Iterable[str], strict: bool = True) -> DataFrame:
-    """One row per page line: path, book_id, book_name, line_no, page.
+def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """path, line_no (from 0) and line of text files, which are split as Spark likes.
 
-    Paths may be globs. Blank lines are skipped. A malformed line fails the read, or with
-    strict=False gives a null page, its text in `line`. Files are split into lines by
-    whole file, so that line numbers are exact; a file is a book.
+    A line's number is its place in its split, after the lines of the splits before it. Both
+    scans deal files out alike, and only one count per split is shuffled.
     """
-    files = spark.read.text([paths] if isinstance(paths, str) else list(paths), wholetext=True)
-    path = F.col("_metadata.file_path")
-    lines = files.select(path.alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", strip("line")).where("line <> ''")
+    text = spark.read.option("lineSep", "\n").text([paths] if isinstance(paths, str) else list(paths))
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), "value").withColumn("__at", F.monotonically_increasing_id())
+    counts = text.groupBy("path", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__start")) - F.col("__n") - F.col("__first")
+    shift = staged(counts.select("path", "__start", before.alias("__shift")), "splits")
+    return text.join(shift, ["path", "__start"]).select("path", (F.col("__at") + F.col("__shift")).cast("long").alias("line_no"), F.col("value").alias("line"))
+
+
+def read_pages(spark: SparkSession, paths: str | Iterable[str], strict: bool = True, most_bytes: int = LINE_CAP) -> DataFrame:
+    """One row per page line: path, book_id, book_name, line_no, line, page.
+
+    Paths may be globs; a file is a book. Blank lines are skipped but counted. A malformed line,
+    or one of over most_bytes, fails the read, or with strict=False gives a null page (see
+    sound_books).
+    """
+    lines = read_lines(spark, paths).withColumn("line", strip("line")).where("line <> ''")
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    page = F.from_json("line", PAGE, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
-    page = page if strict else F.when(F.get_json_object("line", "$").isNotNull(), page)
-    return lines.select("path", book_id_of(name).alias("book_id"), F.regexp_replace(name, r"\.[^.]*$", "").alias("book_name"), F.col("line_no").cast("long"), "line", page.alias("page"))
+    short = F.octet_length("line") <= most_bytes
+    if strict:
+        page = F.when(short, F.from_json("line", PAGE, {"mode": "FAILFAST"})).otherwise(F.from_json(F.raise_error(F.concat(F.lit("line too long: "), "path")).cast("string"), PAGE))
+    else:
+        page = F.when(short & F.get_json_object("line", "$").isNotNull(), F.from_json("line", PAGE, {"mode": "PERMISSIVE"}))
+    return lines.select("path", book_id_of(name).alias("book_id"), F.regexp_replace(name, r"\.[^.]*$", "").alias("book_name"), "line_no", "line", page.alias("page"))
+
+
+def rejected(pages: DataFrame) -> DataFrame:
+    """path and the first bad line (line_no) of each book that has one; pages as read with strict=False."""
+    return pages.where("page IS NULL").groupBy("path").agg(F.min("line_no").alias("line_no"))
+
+
+def sound_books(pages: DataFrame) -> DataFrame:
+    """The pages of books without a bad line: one bad line fails its book, other books stay."""
+    return pages.join(rejected(pages).select("path"), "path", "left_anti").select(pages.columns)
 
 
 def read_meta(spark: SparkSession, books_root: str) -> DataFrame:
