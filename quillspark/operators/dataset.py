@@ -90,7 +90,7 @@ def row_samples(pages: DataFrame, bands: str = "bands", rows: str = "rows", heig
 
 def evaluation(samples: DataFrame, by: str = "book_id") -> DataFrame:
     """Per group and in all (null): n, json_valid, rowcount_match, cer, field_accuracy of truth and got (arrays of cell maps; got null if unreadable)."""
-    pairs = samples.select(by, F.monotonically_increasing_id().alias("__s"), "truth", "got")
+    pairs = samples.select(by, "truth", "got")
     fields = pairs.where("got IS NOT NULL").select(by, F.explode(F.arrays_zip(F.slice("truth", 1, F.least(F.size("truth"), F.size("got"))).alias("t"), F.slice("got", 1, F.least(F.size("truth"), F.size("got"))).alias("g"))).alias("z"))
     cells = fields.select(by, F.col("z.g").alias("g"), F.explode("z.t").alias("k", "tv")).withColumn("gv", strip(F.try_element_at("g", "k"))).withColumn("tv", strip("tv"))
     error = F.when(F.col("tv") != "", char_error_rate("tv", "gv"))

@@ -97,19 +97,16 @@ def preview(numbers: Column | str, most: int = 40) -> Column:
 
 
 def report_texts(report: DataFrame, fills: DataFrame) -> DataFrame:
-    """(book_id, text): a book report with the fill rates of its columns, to be read by people."""
-    by = fills.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("key", F.format_string("  %-28s %d/%d (%d%%)", "key", "filled", "total", "percent").alias("t")))).alias("__f"))
-    numbers = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
-    some = lambda c, label: F.when(F.size(numbers(c)) > 0, F.concat(F.lit(f"  {label}: "), preview(numbers(c))))
-    filled, issues = F.coalesce(F.col("__f")["t"], F.array().cast("array<string>")), F.col("page_issues")
-    lines = F.array(
-        F.format_string("Report: %s.jsonl", "book_name"), F.format_string("Stránky: %d (ok %d, chyb %d)", "pages", "pages_ok", "pages_failed"), F.format_string("Záznamů celkem: %d", "total_rows"),
-        F.when(F.col("number_min").isNotNull(), F.format_string("Čísla záznamů: %d–%d, mezer %d, duplicit %d", "number_min", "number_max", F.size(numbers("gaps")), F.size(numbers("duplicates")))),
-        some("gaps", "chybějící čísla"), some("duplicates", "duplicitní čísla"), F.lit("Vyplněnost sloupců:"),
-    )
-    warned = F.when(F.size(issues) > 0, F.concat(F.array(F.format_string("Stránky s upozorněními (%d):", F.size(issues))), F.transform(issues, lambda x: F.concat(F.lit("  - "), x))))
-    text = F.concat(F.array_join(F.concat(lines, filled, F.coalesce(warned, F.array().cast("array<string>"))), "\n"), F.lit("\n"))
-    return report.join(by, "book_id", "left").select("book_id", text.alias("text"))
+    """(book_id, text): a book report to be read by people, a labelled line for each thing it says."""
+    said = lambda label, c: F.concat(F.rpad(F.lit(label), 9, " "), c)
+    each = lambda label, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: said(label, x))
+    listed = lambda label, c: F.filter(F.array(F.when(F.size(c) > 0, said(label, preview(c)))), lambda x: x.isNotNull())
+    share = F.format_string("%s in %d of %d rows, %d per cent", "key", "filled", "total", "percent")
+    columns = fills.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("key", share.alias("t"))))["t"].alias("__columns"))
+    span = F.when(F.col("number_min").isNotNull(), F.format_string("from %d to %d", "number_min", "number_max")).otherwise("none")
+    head = [("book", F.col("book_name")), ("pages", F.format_string("%d read, %d failed", "pages_ok", "pages_failed")), ("rows", F.col("total_rows").cast("string")), ("numbers", span)]
+    lines = F.concat(F.array(*(said(k, v) for k, v in head)), listed("missing", F.col("gaps")), listed("repeated", F.col("duplicates")), each("filled", F.col("__columns")), each("look at", F.col("page_issues")))
+    return report.join(columns, "book_id", "left").select("book_id", F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("text"))
 
 
 def norm_key(c: Column) -> Column:

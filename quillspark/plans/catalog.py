@@ -14,6 +14,7 @@ from quillspark.plans import drawn as _drawn  # noqa: F401 (registers its querie
 from quillspark.plans import forms as _forms  # noqa: F401
 from quillspark.plans import mentions as _mentions  # noqa: F401
 from quillspark.plans import people as _people  # noqa: F401
+from quillspark.plans import roundtrips as _roundtrips  # noqa: F401
 from quillspark.plans.register import SQL as REG
 from quillspark.plans.register import register, table
 from quillspark.plans.registry import ORACLE, QUERIES, query
@@ -267,14 +268,12 @@ def normalised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", m["k"].alias("k"), m["other"].alias("other"), F.array_join(quality.unknown_keys("c", _TINY), ",").alias("unknown"))
 
 
-@query(r"""WITH b AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM documents)
-  SELECT item_id, doc_id, levenshtein(b.t, d.t[:300]) / greatest(1, length(b.t)) AS cer FROM b JOIN d ON doc_id % 200 = item_id AND length(d.t) < 400""")
+@query("SELECT a.p_partkey, levenshtein(a.p_name, coalesce(b.p_name, '')) / greatest(1, length(a.p_name)) AS next_name, levenshtein(a.p_name, a.p_type) / greatest(1, length(a.p_name)) AS own_type FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL engine counts edits of bytes, so both sides compare texts in ASCII
-    ascii_of = lambda name: F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias(name)
-    b, d = table(spark, sf_dir, "benchmark").select("item_id", ascii_of("truth")), table(spark, sf_dir, "documents").select("doc_id", ascii_of("got"))
-    j = b.join(d.where(F.length("got") < 400), F.col("doc_id") % 200 == F.col("item_id"))
-    return j.select("item_id", "doc_id", X.char_error_rate("truth", F.substring("got", 1, 300)).alias("cer"))
+    """Each part's name against its type and the next part's name; whole documents are in char_error_rate_whole."""
+    p = table(spark, sf_dir, "part")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("after"))
+    return p.join(after, "p_partkey", "left").select("p_partkey", X.char_error_rate("p_name", "after").alias("next_name"), X.char_error_rate("p_name", "p_type").alias("own_type"))
 
 
 @query()
@@ -421,10 +420,18 @@ def extracted_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_mentions(_fake_records(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang AS book_id, count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS json_valid, count(*) FILTER (doc_id % 10 <> 0) AS rowcount_match, avg(CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 4 = 0)::INT / 4.0 END) AS cer, avg(CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 4 <> 0)::INT END) AS field_accuracy FROM documents GROUP BY ROLLUP (lang)")
+@query("""WITH s AS (SELECT p_brand AS book_id, p_partkey AS k, p_name AS a, p_type AS b, p_name[1 + p_partkey % 3 + 1:] || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END AS ga, CASE WHEN p_partkey % 4 = 0 THEN 'y' || p_type ELSE p_type END AS gb FROM part),
+cells AS (SELECT book_id, k, a AS t, ga AS g FROM s UNION ALL SELECT book_id, k, b, gb FROM s UNION ALL SELECT book_id, k, b, gb FROM s WHERE k % 7 <> 0 UNION ALL SELECT book_id, k, '', CASE WHEN k % 6 = 0 THEN 'z' ELSE '' END FROM s WHERE k % 7 <> 0),
+f AS (SELECT book_id, avg(CASE WHEN t <> '' THEN levenshtein(t, trim(g)) / length(t) END) AS cer, avg((t = trim(g))::INT) AS field_accuracy FROM cells WHERE k % 10 <> 0 GROUP BY ROLLUP (book_id)),
+n AS (SELECT book_id, count(*) AS n, count(*) FILTER (k % 10 <> 0) AS json_valid, count(*) FILTER (k % 10 <> 0 AND k % 7 <> 0) AS rowcount_match FROM s GROUP BY ROLLUP (book_id))
+SELECT n.book_id, n, json_valid, rowcount_match, round(cer, 9) AS cer, round(field_accuracy, 9) AS field_accuracy FROM n LEFT JOIN f ON f.book_id IS NOT DISTINCT FROM n.book_id""")
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    truth = F.array(F.create_map(F.lit("a"), F.lit("abcd")))
-    got = F.array(F.create_map(F.lit("a"), F.when(F.col("doc_id") % 4 == 0, "abcx").otherwise("abcd ")))
-    s = d.select(F.col("lang").alias("book_id"), truth.alias("truth"), F.when(F.col("doc_id") % 10 != 0, got).alias("got"))
-    return dataset.evaluation(s)
+    """Names and types of parts, read with letters lost, added and mixed up, some rows missing, some answers unreadable."""
+    k = F.col("p_partkey")
+    read = F.concat(F.expr("substring(p_name, CAST(p_partkey % 3 AS INT) + 2)"), F.when(k % 5 == 0, "x").otherwise(""))
+    kind = F.when(k % 4 == 0, F.concat(F.lit("y"), "p_type")).otherwise(F.concat(F.lit(" "), "p_type"))
+    row = lambda a, b: F.create_map(F.lit("a"), a, F.lit("b"), b)
+    truth = F.array(row(F.col("p_name"), F.col("p_type")), row(F.col("p_type"), F.lit("")))
+    got = F.array(row(read, kind), row(kind, F.when(k % 6 == 0, "z").otherwise(" ")))
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book_id"), truth.alias("truth"), F.when(k % 10 != 0, F.when(k % 7 == 0, F.slice(got, 1, 1)).otherwise(got)).alias("got"))
+    return dataset.evaluation(s).withColumns({c: F.round(c, 9) for c in ("cer", "field_accuracy")})

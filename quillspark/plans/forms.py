@@ -130,11 +130,11 @@ def values_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("o_orderkey", cell.alias("value"), (cell != "").alias("filled"))
 
 
-_LINKS = "(SELECT l_partkey AS person_id, (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS mention_id FROM lineitem WHERE l_partkey < 50)"
+_LINKS = "(SELECT l_partkey AS person_id, (l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS mention_id FROM lineitem)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_partkey < 50").select(F.col("l_partkey").alias("person_id"), F.expr("(l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000").alias("mention_id"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("person_id"), F.expr("(l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000").alias("mention_id"))
 
 
 _CONS = f"""links AS {_LINKS}, firsts AS (SELECT person_id, min(mention_id) AS lo, max(mention_id) AS hi FROM links GROUP BY 1),
@@ -258,11 +258,11 @@ def corrected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("record_id", F.col("cells")["value"].alias("value"), F.coalesce(F.try_element_at("cells", F.lit("extra")), F.lit("")).alias("extra"))
 
 
-@query(REG + """ SELECT r.type, person_a, person_b, list_contains(list(e.type), 'birth') AS shown, bool_or(p.death_year_est IS NOT NULL) AS a_died FROM (SELECT type, person_a, person_b, unnest(evidence) AS record_id FROM reg_relations WHERE person_a < 900 AND person_b < 900) r
+@query(REG + """ SELECT r.type, person_a, person_b, list_contains(list(e.type), 'birth') AS shown, bool_or(p.death_year_est IS NOT NULL) AS a_died FROM (SELECT type, person_a, person_b, unnest(evidence) AS record_id FROM reg_relations) r
   JOIN reg_events e USING (record_id) JOIN reg_persons p ON p.id = person_a GROUP BY 1, 2, 3""")
 def shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = register(spark, sf_dir)
-    nodes, edges = graph.subgraph(r.persons.where("id < 900").select("id", F.lit(0).alias("depth")), r.persons, r.relations, r.events)
+    nodes, edges = graph.subgraph(r.persons.select("id", F.lit(0).alias("depth")), r.persons, r.relations, r.events)
     e = edges.select("type", "person_a", "person_b", graph.visible(["birth"]).alias("shown"))
     return e.join(nodes.select(F.col("id").alias("person_a"), F.col("has_death").alias("a_died")), "person_a").select("type", "person_a", "person_b", "shown", "a_died")
 
@@ -338,14 +338,14 @@ def reextracted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 gap AS (SELECT book_id, list(n ORDER BY n) AS g FROM (SELECT book_id, unnest(range(lo, hi + 1))::INT AS n FROM span EXCEPT SELECT * FROM num) GROUP BY 1),
 dup AS (SELECT book_id, list(n ORDER BY n) AS d FROM (SELECT book_id, n FROM num GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
 page AS (SELECT o_custkey::VARCHAR AS book_id, count(*) AS pages, count(*) FILTER (o_orderkey % 3 <> 0) AS ok, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0) AS even,
-  list('  - ' || o_orderkey || '.png: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'odd' END ORDER BY o_orderkey) FILTER (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AS issues FROM orders GROUP BY 1)
-SELECT book_id, 'Report: Book.jsonl' || chr(10) || 'Stránky: ' || pages || ' (ok ' || ok || ', chyb ' || pages - ok || ')' || chr(10) || 'Záznamů celkem: ' || ok * 2 || chr(10)
-  || CASE WHEN lo IS NULL THEN '' ELSE 'Čísla záznamů: ' || lo || '–' || hi || ', mezer ' || coalesce(len(g), 0) || ', duplicit ' || coalesce(len(d), 0) || chr(10) END
-  || CASE WHEN g IS NULL THEN '' ELSE '  chybějící čísla: ' || array_to_string(g[1:40], ', ') || CASE WHEN len(g) > 40 THEN ' …' ELSE '' END || chr(10) END
-  || CASE WHEN d IS NULL THEN '' ELSE '  duplicitní čísla: ' || array_to_string(d[1:40], ', ') || CASE WHEN len(d) > 40 THEN ' …' ELSE '' END || chr(10) END || 'Vyplněnost sloupců:' || chr(10)
-  || CASE WHEN ok = 0 THEN '' ELSE '  ' || rpad('cislo', 28, ' ') || ' ' || ok * 2 || '/' || ok * 2 || ' (100%)' || chr(10) END
-  || CASE WHEN even = 0 THEN '' ELSE '  ' || rpad('record_type', 28, ' ') || ' ' || even * 2 || '/' || ok * 2 || ' (' || even * 100 // ok || '%)' || chr(10) END
-  || CASE WHEN issues IS NULL THEN '' ELSE 'Stránky s upozorněními (' || len(issues) || '):' || chr(10) || array_to_string(issues, chr(10)) || chr(10) END AS text
+  list('look at  ' || o_orderkey || '.png: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'odd' END ORDER BY o_orderkey) FILTER (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AS issues FROM orders GROUP BY 1)
+SELECT book_id, 'book     Book' || chr(10) || 'pages    ' || ok || ' read, ' || pages - ok || ' failed' || chr(10) || 'rows     ' || ok * 2 || chr(10)
+  || 'numbers  ' || CASE WHEN lo IS NULL THEN 'none' ELSE 'from ' || lo || ' to ' || hi END || chr(10)
+  || CASE WHEN g IS NULL THEN '' ELSE 'missing  ' || array_to_string(g[1:40], ', ') || CASE WHEN len(g) > 40 THEN ' …' ELSE '' END || chr(10) END
+  || CASE WHEN d IS NULL THEN '' ELSE 'repeated ' || array_to_string(d[1:40], ', ') || CASE WHEN len(d) > 40 THEN ' …' ELSE '' END || chr(10) END
+  || CASE WHEN ok = 0 THEN '' ELSE 'filled   cislo in ' || ok * 2 || ' of ' || ok * 2 || ' rows, 100 per cent' || chr(10) END
+  || CASE WHEN even = 0 THEN '' ELSE 'filled   record_type in ' || even * 2 || ' of ' || ok * 2 || ' rows, ' || even * 100 // ok || ' per cent' || chr(10) END
+  || CASE WHEN issues IS NULL THEN '' ELSE array_to_string(issues, chr(10)) || chr(10) END AS text
 FROM page LEFT JOIN span USING (book_id) LEFT JOIN gap USING (book_id) LEFT JOIN dup USING (book_id)""")
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _page_rows(spark, sf_dir)
