@@ -7,8 +7,9 @@ placed in turn. The open windows that a partition is left with carry their ids o
 merged in the same way, fanin partitions at a time, until one task has the last few; their
 end is cut at powers of two, so that no sequence needs padding.
 
-Nulls count as empty texts (one token: the end id); repeated rows and ids are packed once
-each; an empty input gives no sequence; extra columns are ignored.
+Nulls count as empty texts (one token: the end id); texts of any length are packed whole, cut
+into pieces; of windows that fit equally well the first opened takes the piece; repeated rows
+and ids are packed once each; an empty input gives no sequence; extra columns are ignored.
 """
 
 from __future__ import annotations

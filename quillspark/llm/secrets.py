@@ -8,8 +8,9 @@ run measured. Kinds with an embedded checksum count only if it is right.
 Base kinds: assign, access, hex. Kinds the method adds: github and npm tokens (CRC-32 in
 base 62), xprv keys (base58 with a double SHA-256), age and nsec keys (bech32).
 
-Nulls count as empty texts; empty texts have no span; repeated rows and ids give one row
-each; extra columns are ignored.
+Nulls count as empty texts; empty texts have no span; texts of any length are read whole;
+where spans start at one place they are ordered by kind; repeated rows and ids give one row
+each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

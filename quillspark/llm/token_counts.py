@@ -1,18 +1,22 @@
 """Token counts by overlap resynchronisation (operator 4).
 
-Texts up to chunk_chars are encoded whole. Longer ones are encoded as overlapping chunks
-with offsets. Two neighbouring chunks are spliced at a boundary that both have and that is
-proven stable: a space after a non-space. No piece of the vocabulary has a space mark behind
-another character (checked when the model is loaded), so no merge crosses such a place, and
-what stands on either side can't change the other. Without such a boundary in the overlap,
-the overlap is doubled; in the limit the whole text is one chunk.
-
-Nulls count as empty texts; empty texts have no token; repeated rows and ids give one row
-each; extra columns are ignored.
+Texts up to chunk_chars are encoded whole. Longer ones are encoded as overlapping chunks with
+offsets. Two neighbouring chunks are spliced at a boundary that both have and that is proven
+stable: two characters that stay as they are when the text is normalised and that no piece of
+the vocabulary has side by side, or a space after a non-space where no piece has a space mark
+behind another character (checked when the model is loaded). No merge crosses such a place, so
+what stands on either side can't change the other. Without such a boundary in the overlap, the
+overlap is doubled, and after the whole chunk the chunk is: the work stays in proportion to the
+text, and in the limit the whole text is one chunk.
+
+Nulls count as empty texts; empty texts have no token; texts of any length are counted whole;
+repeated rows and ids give one row each; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +42,12 @@ class PieceCounter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
+        pieces = list(pieces)
         self.stable = not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.inner = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        # Without bytes to fall back to, unknown characters that stand together are one token.
+        self.bytes = any(self.sp.is_byte(i) for i in range(self.sp.get_piece_size()))
+        self._splits: dict[str, bool] = {}
         self.chunk, self.overlap = max(2, chunk_chars), max(1, overlap)
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -50,42 +59,47 @@ class PieceCounter:
         """Where the tokens of text[start:end] begin, in characters of text."""
         return [start + begin for begin, _ in self.sp.encode(text[start:end], return_type="offset_mapping")["offsets"]]
 
+    def splits(self, pair: str) -> bool:
+        """Can no token cover both characters of the pair?"""
+        if pair not in self._splits:
+            a, b = pair
+            if b == " ":
+                ok = self.stable and a not in " " + MARK
+            else:
+                plain = not (a.isspace() or MARK in pair or unicodedata.combining(b) or unicodedata.category(b) in ("Cf", "Cn", "Cs") or "\u1100" <= b <= "\u11ff")
+                ok = plain and self.bytes and pair not in self.inner and all(self.sp.normalize(x).lstrip(MARK) == x for x in (a, b, pair))
+            self._splits[pair] = ok
+        return self._splits[pair]
+
     def long_count(self, text: str) -> int:
-        if not self.stable:
-            return len(self.sp.encode(text))
         n, total, cut, start = len(text), 0, 0, 0
         end = min(n, self.chunk)
         left = self._bounds(text, start, end)
         while end < n:
-            overlap = self.overlap
-            while True:
+            overlap, at, stop, right = self.overlap, None, min(n, end + self.chunk), []
+            while at is None:
                 low = max(end - overlap, cut + 1)
-                stop = min(n, end + self.chunk)
-                right = self._bounds(text, low, stop)
-                at = self._common(text, left, right, low, end)
-                if at is not None:
+                if any(self.splits(text[i - 1 : i + 1]) for i in range(low + 1, end)):
+                    right = self._bounds(text, low, stop)
+                    at = self._common(text, left, right, low, end)
+                if at is None and low == cut + 1:
                     break
-                if low == cut + 1 or overlap >= end - cut:
-                    # nothing to splice at in the whole chunk: the chunk itself is widened
-                    end = stop
-                    left = self._bounds(text, start, end)
-                    if end == n:
-                        return total + self._from(left, cut)
-                    overlap = self.overlap
-                    continue
                 overlap *= 2
-            total += sum(cut <= b < at for b in left)
-            cut, start, end, left = at, low, stop, right
+            if at is None:
+                end = min(n, start + 2 * (end - start))
+                left = self._bounds(text, start, end)
+            else:
+                total += sum(cut <= b < at for b in left)
+                cut, start, end, left = at, low, stop, right
         return total + self._from(left, cut)
 
     @staticmethod
     def _from(bounds: list[int], cut: int) -> int:
         return sum(b >= cut for b in bounds)
 
-    @staticmethod
-    def _common(text: str, left: list[int], right: list[int], low: int, end: int) -> int | None:
-        """The middlemost boundary of both encodings that is a space after a non-space."""
-        both = sorted(b for b in set(left) & set(right) if low < b < end and text[b] == " " and text[b - 1] not in " " + MARK)
+    def _common(self, text: str, left: list[int], right: list[int], low: int, end: int) -> int | None:
+        """The middlemost boundary of both encodings that is stable."""
+        both = sorted(b for b in set(left) & set(right) if low < b < end and self.splits(text[b - 1 : b + 1]))
         return both[len(both) // 2] if both else None
 
 
