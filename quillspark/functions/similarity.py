@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -61,3 +62,47 @@ def _pairs(a: pd.Series, b: pd.Series) -> pd.Series:
 def name_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """0 if either is empty, 1 if equal, else Jaro-Winkler."""
     return _pairs(F.coalesce(col(a), F.lit("")), F.coalesce(col(b), F.lit("")))
+
+
+def edits(a: str, b: str) -> int:
+    """The edit distance of two texts, by bit vectors: a column of the table is two numbers of len(b) bits.
+
+    The bits of `up` and `down` say where the next cell of the column is one more or one less;
+    each character of a changes them with a few operations on whole numbers, so 64 cells cost
+    about as much as one.
+    """
+    while a and b and a[0] == b[0]:
+        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        a, b = a[k:], b[k:]
+    while a and b and a[-1] == b[-1]:
+        k = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+        a, b = a[: len(a) - k], b[: len(b) - k]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(b) > len(a):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(b)) - 1, 1 << len(b) - 1
+    up, down, n = full, 0, len(b)
+    for c in a:
+        equal = where.get(c, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | (full & ~(diagonal | up)), up & diagonal
+        n += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = right_down | (full & ~(diagonal | right_up)), right_up & diagonal
+    return n
+
+
+@F.arrow_udf("long")
+def _edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else edits(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+
+def edit_distance(a: Column, b: Column, bands: tuple[int, ...] = (16, 256)) -> Column:
+    """Edits between two texts of any length: in bands that widen, and by bit vectors where the texts fit none; null if one is null."""
+    banded = F.coalesce(*(F.when((n := F.levenshtein(a, b, k)) >= 0, n) for k in bands)).cast("long")
+    rest = banded.isNull()
+    return F.coalesce(banded, _edits(F.when(rest, a), F.when(rest, b)))

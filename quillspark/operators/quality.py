@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.text import leading_int, strip
+from quillspark.operators import asking
+from quillspark.operators.asking import AT_ONCE, Pace
 from quillspark.sources.templates import REQUIRED, Template
 
 
@@ -226,29 +228,6 @@ def first_of_equal(images: DataFrame, by: str | None = None, order: str = "path"
     return h.join(h.groupBy(*key).agg(F.min(order).alias("first")), key)
 
 
-def asked(images: DataFrame, ask: Callable[[bytes, int], str], content: str = "content", tries: int = 2) -> DataFrame:
-    """images, without their content, with raw, error and tries: what `ask(content, n)` answers, n from 0.
-
-    ask may be stricter as n grows; the first answer that holds a JSON object is kept, else the
-    last; an error of the last try is kept as text. ask runs in the tasks.
-    """
-    keep = [c for c in images.columns if c != content]
-    schema = T.StructType([images.schema[c] for c in keep] + [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())])
-
-    def one(image: bytes) -> tuple[str, str | None, int]:
-        raw, error, n = "", None, 0
-        for n in range(tries):
-            try:
-                raw, error = ask(bytes(image), n), None
-            except Exception as e:  # a service that fails must not fail the other pages
-                raw, error = "", str(e)
-            if error is None and json_block(raw) is not None:
-                break
-        return raw, error, n + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([one(x) for x in b[content]], columns=["raw", "error", "tries"], index=b.index)
-            yield pd.concat([b[keep], got], axis=1)
-
-    return images.mapInPandas(run, schema)
+def asked(images: DataFrame, ask: Callable[[bytes, int], str], content: str = "content", tries: int = 2, pace: Pace = AT_ONCE) -> DataFrame:
+    """asking.asked, where an answer is a text that holds a JSON object."""
+    return asking.asked(images, ask, lambda raw: json_block(raw) is not None, content, tries, pace)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates as D
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as X
+from quillspark.functions.similarity import edit_distance
 from quillspark.operators import dataset, extract, graph, linkage, quality, search
 from quillspark.plans import analytics as A
 from quillspark.plans import drawn as _drawn  # noqa: F401 (registers its queries)
@@ -280,10 +281,7 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_error_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each whole document against its cleaned text; the SQL engine counts bytes, so the tests have brute force.
     t, g = X.clean_cell("text"), F.coalesce("text", F.lit(""))
-    # bands that widen until the edits fit, then the whole table: exact, and cheap where the texts are alike
-    banded = [F.when((n := F.levenshtein(t, g, k)) >= 0, n) for k in (16, 256, 4096)]
-    edits = F.coalesce(*banded, F.levenshtein(t, g))
-    return table(spark, sf_dir, "documents").select("doc_id", (edits / F.greatest(F.lit(1), F.length(t))).alias("cer"))
+    return table(spark, sf_dir, "documents").select("doc_id", (edit_distance(t, g) / F.greatest(F.lit(1), F.length(t))).alias("cer"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents")

@@ -8,12 +8,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators import quality
+from quillspark.operators.asking import Pace, Refused, unfinished
 from quillspark.plans import snapshot
 from quillspark.plans.register import SQL as REG
 from quillspark.plans.register import register, table
 from quillspark.plans.registry import query
 from quillspark.sources import pages, sinks
-from quillspark.storage import shared_dir
+from quillspark.storage import shared_dir, staged
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -77,6 +79,34 @@ def snapshot_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.size(F.coalesce("mentions", F.array())).cast("long").alias("mentions"))
 
 
+def _service(image: bytes, n: int) -> str:
+    """A service that fails at first, talks at first, always fails, refuses, or answers, by the number of the page."""
+    k = int(image.decode())
+    if k % 5 == 2 or k % 5 == 0 and n < 2:
+        raise TimeoutError(f"busy {n}")
+    if k % 5 == 3 and k % 2:
+        raise Refused("too large")
+    return "let me see" if k % 5 == 1 and n == 0 else f'{{"rows": [{{"cislo": "{k}"}}]}}'
+
+
+@query("""SELECT o_orderkey, k % 5 <> 2 AND NOT (k % 5 = 3 AND k % 2 = 1) AS answered, CASE WHEN k % 5 = 0 THEN 3 WHEN k % 5 = 1 THEN 2 WHEN k % 5 = 2 THEN 6 ELSE 1 END::INT AS tries,
+  CASE WHEN k % 5 = 2 THEN 'busy 5' WHEN k % 5 = 3 AND k % 2 = 1 THEN 'too large' END AS error, CASE k % 5 WHEN 0 THEN 20.0 WHEN 2 THEN 70.0 ELSE 0.0 END::DOUBLE AS backed_off FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def asked_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scripted service asked about every order, at most four times, and again about those left, up to six; its clock is the tests' own."""
+
+    def timer() -> tuple:
+        now = [0.0]
+        return (lambda: now[0]), (lambda s: now.__setitem__(0, now[0] + s))
+
+    images = table(spark, sf_dir, "orders").select("o_orderkey", F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("content"))
+    pace = Pace(timer=timer)
+    first = staged(quality.asked(images, _service, tries=4, pace=pace), "answers")
+    left = unfinished(images, first.where("coalesce(error, '') <> 'too large'"), ["o_orderkey"], 6)
+    again = quality.asked(left.where("tries IS NOT NULL"), _service, tries=6, pace=pace)
+    both = first.unionByName(again).groupBy("o_orderkey")
+    return both.agg(F.max("answered").alias("answered"), F.max("tries").alias("tries"), F.max_by("error", "tries").alias("error"), F.sum("backed_off").alias("backed_off"))
+
+
 @query("SELECT json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', CASE WHEN n_regionkey > 0 THEN n_regionkey END)::VARCHAR AS json FROM nation")
 def rows_as_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.as_objects(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates as D
 from quillspark.functions import text as X
 from quillspark.functions.names import norm_given, norm_surname, read_cell, split_name
-from quillspark.functions.similarity import jaro, jaro_winkler
+from quillspark.functions.similarity import edit_distance, edits, jaro, jaro_winkler
 
 
 def values(spark, function, inputs):
@@ -101,3 +102,24 @@ def test_lines_and_months(spark):
     assert lines("one two  three", 8) == ["one two", "three"] and lines("a bcdefghij k", 8) == ["a bcdefg", "hij k"]
     got = spark.createDataFrame([(1,), (12,), (13,), (None,)], "n int").select(X.month_label("n")).collect()
     assert [r[0] for r in got] == ["led", "pro", "13", None]
+
+
+def test_edits_by_bit_vectors(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(4)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+    cases = [(word(n, letters), word(n, letters)) for n in (3, 9, 70, 200) for letters in ("ab", "abcdé漢😀") for _ in range(12)]
+    assert [edits(a, b) for a, b in cases] == [plain(a, b) for a, b in cases]
+    long = ("x" * 3000 + word(2000, "abc"), "y" * 2500)
+    rows = [*cases, long, (None, "a"), ("a", None), ("same" * 9000, "same" * 9000 + "!")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(rows)], "i int, a string, b string")
+    got = [x["n"] for x in df.select("i", edit_distance(F.col("a"), F.col("b"), (4, 30)).alias("n")).orderBy("i").collect()]
+    assert got == [*(plain(a, b) for a, b in cases), max(map(len, long)), None, None, 1]
