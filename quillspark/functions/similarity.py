@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from quillspark.functions.text import ColumnOrName, col
 
@@ -96,7 +96,7 @@ def edits(a: str, b: str) -> int:
     return n
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _edits(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else edits(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
 
