@@ -56,10 +56,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["content"] = [encoded(drawn(*([r[k] for r in rows] for k in ("height", "strokes", "ruled")))) for rows in b["rows"]]
-            yield b
+            for k in range(0, len(b), 200):
+                part = b.iloc[k : k + 200].copy()
+                part["content"] = [encoded(drawn(*([r[c] for r in rows] for c in ("height", "strokes", "ruled")))) for rows in part["rows"]]
+                yield part
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return of_page.mapInPandas(run, T.StructType([*of_page.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
