@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns a
-DataFrame. Rows with null texts are scored as empty texts; rows without an id are kept by
-the near-dedup stage; an empty table passes through all stages.
+DataFrame. Rows with null texts are scored as empty texts; texts of any length are read whole.
+The near-dedup stage keeps rows without an id, and one row of those that repeat id and text; of
+a group the text of the smallest id, then of the smallest hash stays. The other stages treat
+repeated rows alike. Extra columns, whatever their names, go through all stages but the last;
+an empty table passes through all stages.
 """
 
 from __future__ import annotations
