@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.text import char_error_rate, first_number, strip
 from quillspark.operators.identity import dense_ids
@@ -17,6 +23,7 @@ LEFT = {
     ).split(),
     "narozeni": "cislo datum_narozeni datum_krtu krtitel dite_jmeno nabozenstvi dite_pohlavi dite_manzelske otec_jmeno_stav otec_bydliste".split(),
 }
+_BRACE, _FENCE = re.compile("[{}]"), re.compile(r"(?m)^```(?:json)?|```$")
 HEADINGS = {"oddani": {"rok": "left", "folio": "right"}, "narozeni": {"rok": "right", "folio": "right"}}
 
 
@@ -92,13 +99,43 @@ def evaluation(samples: DataFrame, by: str = "book_id") -> DataFrame:
     """Per group and in all (null): n, json_valid, rowcount_match, cer, field_accuracy of truth and got (arrays of cell maps; got null if unreadable)."""
     pairs = samples.select(by, "truth", "got")
     fields = pairs.where("got IS NOT NULL").select(by, F.explode(F.arrays_zip(F.slice("truth", 1, F.least(F.size("truth"), F.size("got"))).alias("t"), F.slice("got", 1, F.least(F.size("truth"), F.size("got"))).alias("g"))).alias("z"))
-    cells = fields.select(by, F.col("z.g").alias("g"), F.explode("z.t").alias("k", "tv")).withColumn("gv", strip(F.try_element_at("g", "k"))).withColumn("tv", strip("tv"))
+    cells = fields.where("z.g IS NOT NULL").select(by, F.col("z.g").alias("g"), F.explode("z.t").alias("k", "tv")).withColumn("gv", strip(F.try_element_at("g", "k"))).withColumn("tv", strip("tv"))
     error = F.when(F.col("tv") != "", char_error_rate("tv", "gv"))
     f = cells.rollup(by).agg(F.avg(error).alias("cer"), F.avg((F.col("tv") == F.col("gv")).cast("double")).alias("field_accuracy"))
     s = pairs.rollup(by).agg(F.count("*").alias("n"), F.count_if(F.col("got").isNotNull()).alias("json_valid"), F.count_if(F.size("truth") == F.size("got")).alias("rowcount_match"))
     return s.join(f.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
+def _reply_rows(reply: str | None) -> list[dict[str, str] | None] | None:
+    """The rows of the first balanced {...} of a reply, braces in strings counted too; an object without rows is a row; null if it can't be read."""
+    text = _FENCE.sub("", (reply or "").strip())
+    braces = [(m.start(), 1 if m[0] == "{" else -1) for m in _BRACE.finditer(text, max(text.find("{"), 0))]
+    ends = (at for (at, _), depth in zip(braces, accumulate(d for _, d in braces), strict=True) if not depth)
+    if not braces or braces[0][1] < 0 or (end := next(ends, None)) is None:
+        return None
+    try:
+        found = json.loads(text[braces[0][0] : end + 1])
+    except ValueError:
+        return None
+    rows = (found["rows"] or []) if "rows" in found else [found]
+    return [{k: str(v or "") for k, v in r.items()} if isinstance(r, dict) else None for r in rows] if isinstance(rows, list) else []
+
+
+_CELLS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+
+
+@F.arrow_udf(_CELLS)
+def reply_rows(replies: pa.Array) -> pa.Array:
+    """Cell maps of each reply of a transcriber, or of a sample's target; a row that is no object is null, a reply without JSON too."""
+    rows = [_reply_rows(x) for x in replies.to_pylist()]
+    return pa.array([None if r is None else [None if c is None else list(c.items()) for c in r] for r in rows], pa.list_(pa.map_(pa.string(), pa.string())))
+
+
+def with_replies(samples: DataFrame, target: str = "target", reply: str = "reply") -> DataFrame:
+    """samples with truth and got, the rows of target and reply, for evaluation()."""
+    return samples.withColumns({"truth": F.coalesce(reply_rows(F.col(target)), F.array().cast(_CELLS)), "got": reply_rows(F.col(reply))})
+
+
 def dataset_report(halves: DataFrame, rows: DataFrame, by: str = "book_id") -> DataFrame:
     """Per book: half pages, those matched to rows, rows."""
     h = halves.groupBy(by).agg(F.count("*").alias("halves"), F.count_if("matched").alias("matched"))

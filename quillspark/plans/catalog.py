@@ -433,3 +433,23 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = F.array(row(read, kind), row(kind, F.when(k % 6 == 0, "z").otherwise(" ")))
     s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book_id"), truth.alias("truth"), F.when(k % 10 != 0, F.when(k % 7 == 0, F.slice(got, 1, 1)).otherwise(got)).alias("got"))
     return dataset.evaluation(s).withColumns({c: F.round(c, 9) for c in ("cer", "field_accuracy")})
+
+
+@query("""WITH s AS (SELECT p_brand AS book_id, p_partkey AS k, p_name AS t, CASE p_partkey % 4 WHEN 0 THEN p_name[2:] WHEN 1 THEN p_name || 'x' ELSE p_name END AS g FROM part),
+cells AS (SELECT book_id, k, t, g FROM s WHERE k % 9 <> 4 UNION ALL SELECT book_id, k, k::VARCHAR, CASE WHEN k = 0 THEN '' ELSE k::VARCHAR END FROM s WHERE k % 9 <> 4 UNION ALL SELECT book_id, k, '', CASE WHEN k % 2 = 0 THEN '' ELSE 'z' END FROM s WHERE k % 9 <> 4),
+f AS (SELECT book_id, avg(CASE WHEN t <> '' THEN levenshtein(t, trim(g)) / length(t) END) AS cer, avg((t = trim(g))::INT) AS field_accuracy FROM cells WHERE k % 7 <> 3 GROUP BY ROLLUP (book_id)),
+n AS (SELECT book_id, count(*) AS n, count(*) FILTER (k % 7 <> 3) AS json_valid, count(*) FILTER (k % 7 <> 3 AND k % 5 <> 0) AS rowcount_match FROM s GROUP BY ROLLUP (book_id))
+SELECT n.book_id, n, json_valid, rowcount_match, round(cer, 9) AS cer, round(field_accuracy, 9) AS field_accuracy FROM n LEFT JOIN f ON f.book_id IS NOT DISTINCT FROM n.book_id""")
+def evaluation_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with talk and fences around them, numbers and nulls in them, a row too many, rows that are no objects, or no whole object."""
+    k = F.col("p_partkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.when(k % 4 == 0, F.expr("substring(p_name, 2)")).when(k % 4 == 1, F.concat("p_name", F.lit("x"))).otherwise(F.concat(F.lit(" "), "p_name"))
+    row = F.concat(F.lit('{"a": '), quoted(name), F.lit(', "b": '), k.cast("string"), F.lit(', "c": '), F.when(k % 2 == 0, "null").otherwise('"z"'), F.lit("}"))
+    row = F.when(k % 9 == 4, F.lit('"a row of text"')).otherwise(row)
+    rows = F.when(k % 5 == 0, F.concat(row, F.lit(', {"a": "more"}'))).otherwise(row)
+    whole = F.when((k % 5 != 0) & (k % 9 != 4) & (k % 3 == 0), row).otherwise(F.concat(F.lit('{"folio": "1", "rows": ['), rows, F.lit("]}")))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\nThat is {all}."))
+    target = F.concat(F.lit('{"folio": "", "rok": "", "rows": [{"a": '), quoted("p_name"), F.lit(', "b": '), quoted(k.cast("string")), F.lit(', "c": ""}]}'))
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book_id"), target.alias("target"), F.when(k % 7 == 3, F.when(k % 2 == 0, '{"rows": [').otherwise("I see { nothing } here")).otherwise(reply).alias("reply"))
+    return dataset.evaluation(dataset.with_replies(s)).withColumns({c: F.round(c, 9) for c in ("cer", "field_accuracy")})
