@@ -64,10 +64,11 @@ def sound_books(pages: DataFrame) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, books_root: str) -> DataFrame:
-    """The meta.json of each book folder, with the folder's name."""
-    meta = spark.read.schema(META).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").json(books_root)
-    folder = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B")))
-    return meta.select("*", folder.alias("folder"), F.regexp_replace("_metadata.file_path", "/meta.json$", "").alias("scans_dir"))
+    """The meta.json of each book folder, with the folder's name: a file, or what sinks.write_once has written under that name."""
+    meta = spark.read.schema(META).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "{meta,part-*}.json").json(books_root)
+    scans_dir = F.regexp_extract("_metadata.file_path", r"^(.*)/meta\.json(?:/part-[^/]*)?$", 1)
+    folder = F.url_decode(F.replace(F.element_at(F.split(scans_dir, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return meta.select("*", folder.alias("folder"), scans_dir.alias("scans_dir")).where("scans_dir <> ''")
 
 
 def books(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.sources import pages
+from quillspark.sources import pages, sinks
 from quillspark.sources.versions import Versions
 
 
@@ -68,3 +68,18 @@ def test_versions(spark, tmp_path):
         v.read("t", 1)
     with pytest.raises(ValueError, match="no version 9"):
         v.read("t", 9)
+
+
+def test_side_files_are_written_once(spark, tmp_path):
+    """A side file of a book, as one JSON file or as written by the sink, which keeps the first unless forced."""
+    one = lambda name: spark.createDataFrame([("7", name, ["Lhota", "Ves"])], "id string, name string, localities array<string>")
+    at = tmp_path / "Kniha A+B [7]" / "meta.json"
+    sinks.write_once(one("first"), str(at))
+    sinks.write_once(one("second"), str(at))
+    (tmp_path / "deep" / "Plain [8]").mkdir(parents=True)
+    (tmp_path / "deep" / "Plain [8]" / "meta.json").write_text('{\n "id": "8",\n "name": "plain"}')
+    (tmp_path / "deep" / "Plain [8]" / "part-1.json").write_text('{"id": "no"}')
+    read = lambda: sorted((r["id"], r["name"], r["folder"], r["localities"]) for r in pages.read_meta(spark, str(tmp_path)).collect())
+    assert read() == [("7", "first", "Kniha A+B [7]", ["Lhota", "Ves"]), ("8", "plain", "Plain [8]", None)]
+    sinks.write_once(one("second"), str(at), force=True)
+    assert read()[0][1] == "second" and pages.read_meta(spark, str(tmp_path)).where("id = '7'").first()["scans_dir"].endswith("/Kniha%20A+B%20%5B7%5D")
