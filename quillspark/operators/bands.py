@@ -57,23 +57,21 @@ def encoded(gray: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (gray.shape[1], gray.shape[0]) + np.ascontiguousarray(gray, np.uint8).tobytes()
 
 
-def _sums(a: np.ndarray, k: int, axis: int) -> np.ndarray:
-    """Sums over windows of k places around each place, cut at the borders."""
-    total = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis=axis)], axis=axis)
-    n = a.shape[axis]
-    low, high = np.maximum(np.arange(n) - k // 2, 0), np.minimum(np.arange(n) - k // 2 + k, n)
-    return total.take(high, axis) - total.take(low, axis)
+def _spread(mask: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """Where a window of k places around holds a set one; windows grow by doubling."""
+    n, w = mask.shape[axis], 1
+    a = np.pad(mask, [(k // 2, k - 1 - k // 2) if x == axis else (0, 0) for x in (0, 1)])
+    part = lambda lo, hi: (slice(lo, hi), slice(None)) if axis == 0 else (slice(None), slice(lo, hi))
+    while 2 * w <= k:
+        size = a.shape[axis]
+        a, w = a[part(0, size - w)] | a[part(w, size)], 2 * w
+    return a[part(0, n)] | a[part(k - w, k - w + n)]
 
 
 def opened(mask: np.ndarray, k: int) -> np.ndarray:
     """The parts of a mask that hold a square of side k; what lies outside counts as set."""
-    inside, outside = mask, ~mask
-    for axis in (0, 1):
-        outside = _sums(outside.astype(np.int32), k, axis) > 0
-    inside = ~outside
-    for axis in (0, 1):
-        inside = _sums(inside.astype(np.int32), k, axis) > 0
-    return inside
+    inside = ~_spread(_spread(~mask, k, 0), k, 1)
+    return _spread(_spread(inside, k, 0), k, 1)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +95,11 @@ def long_runs(mask: np.ndarray, k: int) -> np.ndarray:
 
 def page_box(gray: np.ndarray, f: Form) -> tuple[int, int, int, int]:
     """(x, y, width, height) of the largest bright region, or of the image if none is bright."""
-    row, start, end = _runs(opened(gray > f.bright, f.page_hole))
+    mask = opened(gray > f.bright, f.page_hole)
+    # Rows like the one before add nothing but height: one of each stretch of equal rows is looked at.
+    tops = np.flatnonzero(np.append(True, (mask[1:] != mask[:-1]).any(axis=1)))
+    below = np.append(tops[1:], len(mask)).tolist()
+    row, start, end = _runs(mask[tops])
     if not len(row):
         return 0, 0, gray.shape[1], gray.shape[0]
     root = list(range(len(row)))
@@ -108,10 +110,10 @@ def page_box(gray: np.ndarray, f: Form) -> tuple[int, int, int, int]:
             i = root[i]
         return i
 
-    first = np.searchsorted(row, np.arange(gray.shape[0] + 1))
+    first = np.searchsorted(row, np.arange(len(tops) + 1)).tolist()
     rows, starts, ends = row.tolist(), start.tolist(), end.tolist()
-    for y in range(1, gray.shape[0]):
-        i, j = int(first[y - 1]), int(first[y])
+    for y in range(1, len(tops)):
+        i, j = first[y - 1], first[y]
         while i < first[y] and j < first[y + 1]:
             if starts[i] <= ends[j] and starts[j] <= ends[i]:
                 a, b = find(i), find(j)
@@ -122,8 +124,8 @@ def page_box(gray: np.ndarray, f: Form) -> tuple[int, int, int, int]:
                 j += 1
     boxes: dict[int, list[int]] = {}
     for i, y in enumerate(rows):
-        box = boxes.setdefault(find(i), [starts[i], y, ends[i], y + 1])
-        box[0], box[2], box[3] = min(box[0], starts[i]), max(box[2], ends[i]), y + 1
+        box = boxes.setdefault(find(i), [starts[i], int(tops[y]), ends[i], below[y]])
+        box[0], box[2], box[3] = min(box[0], starts[i]), max(box[2], ends[i]), below[y]
     x0, y0, x1, y1 = max(boxes.values(), key=lambda b: (b[2] - b[0]) * (b[3] - b[1]))
     return x0, y0, x1 - x0, y1 - y0
 
@@ -131,9 +133,10 @@ def page_box(gray: np.ndarray, f: Form) -> tuple[int, int, int, int]:
 def darker_than_around(gray: np.ndarray, f: Form) -> np.ndarray:
     """Places at least f.darker below the mean of the window around them, borders repeated outwards."""
     half = f.window // 2
-    wide = np.pad(gray, half, mode="edge").astype(np.int64)
-    total = np.zeros((wide.shape[0] + 1, wide.shape[1] + 1), np.int64)
-    np.cumsum(np.cumsum(wide, axis=0), axis=1, out=total[1:, 1:])
+    wide = np.pad(gray, half, mode="edge")
+    # Sums are taken modulo 2^32: those of one window are smaller, so their differences are right.
+    total = np.zeros((wide.shape[0] + 1, wide.shape[1] + 1), np.uint32)
+    np.cumsum(np.cumsum(wide, axis=0, dtype=np.uint32), axis=1, dtype=np.uint32, out=total[1:, 1:])
     k = 2 * half + 1
     mean = np.rint((total[k:, k:] - total[:-k, k:] - total[k:, :-k] + total[:-k, :-k]) / (k * k))
     return gray <= mean - f.darker

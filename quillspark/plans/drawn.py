@@ -52,7 +52,9 @@ def drawn(heights: list[int], strokes: list[int], ruled: list[bool]) -> np.ndarr
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, page, rows (n, l_partkey, ...) in order, and the image."""
     rows = spark.sql(_ROWS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
-    of_page = rows.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "height", "strokes", "ruled"))).alias("rows"))
+    # An explicit number of parts: rows are small and drawing them isn't, so they mustn't be put together into few tasks.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey", "page")
+    of_page = dealt.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "height", "strokes", "ruled"))).alias("rows"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

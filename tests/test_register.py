@@ -263,7 +263,7 @@ def test_report_files(spark, run, tmp_path):
     report = quality.book_report(run["pages"], run["records"])
     sinks.write_reports(report, quality.report_texts(report, quality.fill_rates(run["records"])), str(tmp_path))
     text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/txt/book_id=8103").collect())
-    assert "chybějící čísla: 2, 3" in text and "(100%)" in text
+    assert "missing  2, 3" in text and "100 per cent" in text
     assert spark.read.json(f"{tmp_path}/json").where("book_id = 8103").first()["gaps"] == [2, 3]
 
 
