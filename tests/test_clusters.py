@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 PAIRS, CONS = "a long, b long, score double", "kind string, mention_a long, mention_b long"
 
 
-@pytest.mark.parametrize(("seed", "ties"), [(11, 1), (12, 2), (13, 6)])
+@pytest.mark.parametrize(("seed", "ties"), [(11, 1), (13, 6)])
 def test_dense_links_with_many_constraints(spark, seed, ties):
     """Few scores, so that ties decide; constraints inside most components; cannot-links between tied mentions are void."""
     r = random.Random(seed)
