@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,12 @@ def test_edits_by_bit_vectors(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(rows)], "i int, a string, b string")
     got = [x["n"] for x in df.select("i", edit_distance(F.col("a"), F.col("b"), (4, 30)).alias("n")).orderBy("i").collect()]
     assert got == [*(plain(a, b) for a, b in cases), max(map(len, long)), None, None, 1]
+
+
+def test_edits_of_long_texts_are_few():
+    r = random.Random(5)
+    whole = "".join(r.choice("abcd \n") for _ in range(300_000))
+    start = time.process_time()
+    assert edits(whole, whole.replace("\n", " ", 200)) <= 200
+    assert edits(whole, "".join(c for k, c in enumerate(whole) if k % 3000 != 1500)) == 100
+    assert time.process_time() - start < 10  # by bit vectors alone: minutes
