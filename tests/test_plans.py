@@ -37,3 +37,12 @@ def test_pairs_come_from_one_equi_join(spark):
     m, e = people(spark, SF)
     p = plan(linkage.candidate_pairs(linkage.enriched(m, e)))
     assert not re.search("Cartesian|NestedLoop|Python", p) and re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join \[block", p)
+
+
+def test_only_pairs_of_like_given_names_are_made(spark):
+    m, e = people(spark, SF)
+    m = linkage.enriched(m, e)
+    near = lambda p: {(r["x"], r["y"]) for r in p.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()}
+    every = linkage.candidate_pairs(m)
+    alike = near(every.where(linkage.name_similarity("a.given_norm", "b.given_norm") >= linkage.LEAST_GIVEN))
+    assert near(linkage.candidate_pairs(m, linkage.near_names(m, linkage.LEAST_GIVEN))) == alike and len(alike) < every.count()
