@@ -86,9 +86,11 @@ def book_report(pages: DataFrame, rows: DataFrame) -> DataFrame:
     bad = ~ok | ~F.coalesce("page.lint.ok", F.lit(True))
     p = pages.groupBy("book_id").agg(F.min("book_name").alias("book_name"), F.count("*").alias("pages"), F.count_if(ok).alias("pages_ok"), F.count_if(~ok).alias("pages_failed"), F.sum(F.when(ok, F.coalesce(F.size("page.rows"), F.lit(0))).otherwise(0)).alias("total_rows"), F.array_sort(F.collect_list(F.when(bad, F.struct("line_no", text.alias("t"))))).alias("__i"))
     n = rows.select("book_id", leading_int(F.try_element_at("cells", F.lit("cislo"))).alias("number"))
-    span = n.groupBy("book_id").agg(F.min("number").alias("number_min"), F.max("number").alias("number_max"))
-    listed = lambda d, name: d.groupBy("book_id").agg(F.array_sort(F.collect_list("number")).alias(name))
-    out = p.join(span, "book_id", "left").join(listed(gaps(n, "book_id", "number"), "gaps"), "book_id", "left").join(listed(duplicates(n, "book_id", "number"), "duplicates"), "book_id", "left")
+    each = n.where("number IS NOT NULL").groupBy("book_id", "number").agg(F.count("*").alias("n"))
+    said = each.groupBy("book_id").agg(F.min("number").alias("number_min"), F.max("number").alias("number_max"), F.collect_list("number").alias("__seen"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("number")))).alias("__twice"))
+    # Gaps are listed last, where a book's numbers lie: there are far more of them than numbers, so they aren't shuffled.
+    lacking = F.array_except(F.sequence("number_min", "number_max"), "__seen")
+    out = p.join(said, "book_id", "left").withColumns({"gaps": F.when(F.size(lacking) > 0, lacking), "duplicates": F.when(F.size("__twice") > 0, F.col("__twice"))}).drop("__seen", "__twice")
     return out.withColumn("page_issues", F.transform("__i", lambda x: x["t"])).drop("__i")
 
 

@@ -285,3 +285,14 @@ def test_images_and_snapshot_parts_are_found(spark, tmp_path):
     assert sorted(r["path"].rpartition("/")[2] for r in pages.read_images(spark, f"{tmp_path}/img").collect()) == ["1.png", "2.JPG", "4.jpeg"]
     spark.range(2).write.json(f"{tmp_path}/snap/analytics/surnames")
     assert rows(snapshot.read_snapshot(spark, f"{tmp_path}/snap", "analytics/surnames"), "id") == [(0,), (1,)]
+
+
+def test_gaps_of_a_report_are_not_shuffled(spark):
+    ends = [(1, 1), (1, 40_000), (1, 40_000), (2, 7), (3, None)]
+    rows = spark.createDataFrame(ends, "book_id long, n int").selectExpr("book_id", "map('cislo', coalesce(CAST(n AS STRING), '')) AS cells")
+    p = spark.createDataFrame([(1,), (2,), (3,)], "book_id long").selectExpr("book_id", "'B' AS book_name", "0L AS line_no", "named_struct('file', 'f', 'ok', true, 'error', '', 'rows', array(1), 'lint', named_struct('ok', true, 'issues', array('x'))) AS page")
+    report = quality.book_report(p, rows)
+    got = {r["book_id"]: r for r in report.collect()}
+    assert got[1]["gaps"] == list(range(2, 40_000)) and got[1]["duplicates"] == [40_000] and (got[1]["number_min"], got[1]["number_max"]) == (1, 40_000)
+    assert all(got[k]["gaps"] is None and got[k]["duplicates"] is None for k in (2, 3)) and got[2]["number_min"] == 7 and got[3]["number_min"] is None
+    assert "explode" not in report._jdf.queryExecution().executedPlan().toString()
