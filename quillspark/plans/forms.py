@@ -330,7 +330,7 @@ def reextracted_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "record_id long, cell_key string, corrected_value string")
     fixes = search.corrected_cell(search.corrected_cell(none, other, "datum_umrti", "9.9.1899"), one["record_id"], "datum_umrti", "3.4.1881")
     e, m = extract.reextracted(r, fixes, events, mentions, one["record_id"])
-    by = m.join(mentions.select("id", F.col("record_id").alias("before")), "id", "left").groupBy("record_id").agg(F.count("*").alias("mentions"), F.bool_and(F.col("before").eqNullSafe(F.col("record_id"))).alias("kept"))
+    by = m.join(mentions.select("id", F.col("record_id").alias("before")).hint("merge"), "id", "left").groupBy("record_id").agg(F.count("*").alias("mentions"), F.bool_and(F.col("before").eqNullSafe(F.col("record_id"))).alias("kept"))
     return e.select("record_id", "date").join(by, "record_id")
 
 
