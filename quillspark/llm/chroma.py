@@ -9,14 +9,12 @@ judged by the share of different bits at the most frequent offset; fewer than le
 integers prove nothing.
 
 Search: equal fingerprints are one class. Two that align have an equal integer, so every
-integer of a class names a bucket, whatever the lengths, and all pairs of a bucket are aligned,
-but those of large ones (over `limit` classes) that are known to be of one group: all of such a
-bucket are first aligned with its smallest class, those that it doesn't fit with the smallest of
-them, for `rounds` rounds, and two that fit one class aren't aligned with each other. The groups
-are those of all alignments; the work grows with the square of the classes that have an integer
-in common without being alike. Pairs of large buckets are made where the codes are, in blocks of
-BLOCK classes, each pair in the bucket of its smallest common integer. Classes that fit, directly
-or through others, form a group.
+integer of a class names a bucket, whatever the lengths, and all pairs of a bucket are aligned.
+All of a large bucket (over `limit` classes) are first aligned with its smallest class, those
+that it doesn't fit with the smallest of them, for `rounds` rounds. The links and groups are those
+of all alignments; the work grows with the square of the classes that have an integer in common.
+Pairs of large buckets are made where the codes are, in blocks of BLOCK classes, each pair in the
+bucket of its smallest common integer. Classes that fit, directly or through others, form a group.
 
 The tables have no recordings. The query plays the UTF-8 bytes of texts as 8-bit samples at
 2 kHz, in windows of 256.
@@ -145,7 +143,7 @@ def same(a: np.ndarray, b: np.ndarray, most_errors: float, least_overlap: float,
 
 
 def block_pairs(key: int, one: list[dict], two: list[dict] | None) -> Iterator[tuple[dict, dict]]:
-    """Pairs (of one and two, or within one) of different labels whose smallest common integer is key."""
+    """Pairs (of one and two, or within one) whose smallest common integer is key."""
     other = one if two is None else two
     own = [np.unique(np.frombuffer(x["codes"], "<u4")) for x in other]
     size = [len(c) for c in own]
@@ -158,7 +156,7 @@ def block_pairs(key: int, one: list[dict], two: list[dict] | None) -> Iterator[t
         fresh = np.ones(len(other), bool)
         fresh[owner[lower]] = False
         for j in np.flatnonzero(fresh).tolist():
-            if (two is not None or j > k) and other[j]["label"] != x["label"]:
+            if two is not None or j > k:
                 yield x, other[j]
 
 
@@ -236,12 +234,10 @@ def links(classes: DataFrame, limit: int = 16, rounds: int = 2, most_errors: flo
         left = at.join(now.where("not ok").select(F.col("a").alias("centre"), F.col("b").alias("rep")), ["centre", "rep"], "left_semi").select("key", "rep")
     if fits is not None:
         found = found.unionByName(fits)
-    label = found.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
-    members = classes.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     last = F.expr(f"(size(reps) - 1) div {BLOCK}")
     sided = hot.select("key", last.alias("last"), F.posexplode("reps").alias("i", "rep")).select("key", F.expr(f"i div {BLOCK}").alias("side"), "rep", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
-    dealt = sided.join(members, "rep").select("key", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), F.struct("side", "rep", "label", "codes").alias("x"))
-    block = dealt.groupBy("key", "first", "second").agg(F.collect_list("x").alias("x")).where(F.array_min("x.label") < F.array_max("x.label"))
+    dealt = sided.join(classes, "rep").select("key", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), F.struct("side", "rep", "codes").alias("x"))
+    block = dealt.groupBy("key", "first", "second").agg(F.collect_list("x").alias("x"))
     found = found.select("a", "b", "offset", "bit_errors").unionByName(block.mapInArrow(blocks, "a long, b long, offset long, bit_errors double"))
     return found.dropDuplicates(["a", "b"])
 

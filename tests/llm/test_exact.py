@@ -125,6 +125,13 @@ def test_chroma_links_past_the_centres(spark, options):
     assert {(r["a"], r["b"]) for r in chroma.links(fingerprint_rows(spark, rows), **options).collect()} == {(11, 12)}
 
 
+def test_chroma_links_all_of_a_large_bucket(spark):
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 2**32, 60, np.uint32)
+    rows = [(k, noisy(rng, whole, [30])) for k in range(20)]
+    assert {(r["a"], r["b"]) for r in chroma.links(fingerprint_rows(spark, rows), limit=4).collect()} == {(a, b) for b in range(20) for a in range(b)}
+
+
 def test_chroma_links_clips_of_long_recordings(spark):
     rng = np.random.default_rng(2)
     long = rng.integers(0, 2**32, 6000, np.uint32)
