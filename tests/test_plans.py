@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import linkage
+from quillspark.operators import identity, linkage
 from quillspark.plans import analytics, catalog
 from quillspark.plans.people import people
 from quillspark.plans.register import register
@@ -46,3 +46,9 @@ def test_only_pairs_of_like_given_names_are_made(spark):
     every = linkage.candidate_pairs(m)
     alike = near(every.where(linkage.name_similarity("a.given_norm", "b.given_norm") >= linkage.LEAST_GIVEN))
     assert near(linkage.candidate_pairs(m, linkage.near_names(m, linkage.LEAST_GIVEN))) == alike and len(alike) < every.count()
+
+
+def test_old_ids_are_not_broadcast(spark):
+    new, old = spark.range(3).withColumnRenamed("id", "k"), spark.range(5).selectExpr("id AS k", "id + 10 AS i")
+    df = identity.keep_ids(new, old, ["k"], ["k"], "i")
+    assert "BroadcastHashJoin [k" not in plan(df) and {(r["k"], r["i"]) for r in df.collect()} == {(0, 10), (1, 11), (2, 12)}
