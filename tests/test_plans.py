@@ -52,3 +52,16 @@ def test_old_ids_are_not_broadcast(spark):
     new, old = spark.range(3).withColumnRenamed("id", "k"), spark.range(5).selectExpr("id AS k", "id + 10 AS i")
     df = identity.keep_ids(new, old, ["k"], ["k"], "i")
     assert "BroadcastHashJoin [k" not in plan(df) and {(r["k"], r["i"]) for r in df.collect()} == {(0, 10), (1, 11), (2, 12)}
+
+
+def test_links_without_suggestions(spark):
+    """Only pairs that can still be links are made; clusters, persons and relations are those of a whole run."""
+    m, e = people(spark, "/root/testdata/sf0.001")
+    whole, links = linkage.link(m, e), linkage.link(m, e, suggestions=False)
+    same = lambda a, b, *c: sorted(map(tuple, a.select(*c).collect()), key=str) == sorted(map(tuple, b.select(*c).collect()), key=str)
+    assert same(whole.person_mentions, links.person_mentions, "person_id", "mention_id", "confidence") and same(whole.persons, links.persons, *whole.persons.columns)
+    assert same(whole.relations, links.relations, *whole.relations.columns) and same(whole.found, links.found, "id", "root")
+    assert 0 < links.pairs.count() == whole.pairs.where("score >= 0.72").count() < whole.pairs.count()
+    near = linkage.near_names(whole.mentions, linkage.LEAST_GIVEN)
+    bound = linkage.candidate_pairs(whole.mentions, near, 0.72)
+    assert links.pairs.count() <= bound.count() < linkage.candidate_pairs(whole.mentions, near).count()
