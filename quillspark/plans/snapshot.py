@@ -35,11 +35,11 @@ def details(r: Register, candidates: DataFrame, base_url: str = "") -> DataFrame
 
 
 def write_snapshot(r: Register, candidates: DataFrame, path: str, base_url: str = "") -> None:
-    """persons, graph, details, analytics/<name> and stats as JSON lines below path."""
+    """persons, graph, details, analytics/<name> and stats as JSON lines, gzipped, below path."""
     parts: dict[str, Callable[[], DataFrame]] = {"persons": lambda: persons_index(r), "graph": lambda: graph_edges(r), "details": lambda: details(r, candidates, base_url), "stats": lambda: stats(r)}
     parts |= {f"analytics/{k}": lambda f=f: f(r) for k, f in ANALYSES.items()}
     for name, make in parts.items():
-        make().write.mode("overwrite").json(f"{path}/{name}")
+        make().write.mode("overwrite").json(f"{path}/{name}", compression="gzip")
 
 
 def as_objects(df: DataFrame) -> DataFrame:

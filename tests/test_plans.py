@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,11 @@ def test_links_without_suggestions(spark):
     near = linkage.near_names(whole.mentions, linkage.LEAST_GIVEN)
     bound = linkage.candidate_pairs(whole.mentions, near, 0.72)
     assert links.pairs.count() <= bound.count() < linkage.candidate_pairs(whole.mentions, near).count()
+
+
+def test_snapshots_are_gzipped(spark):
+    from quillspark.plans import roundtrips
+
+    at = roundtrips._snapshot(spark, "/root/testdata/sf0.001")
+    names = [f.name for f in Path(at, "details").iterdir() if f.name.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
