@@ -8,13 +8,13 @@ is cut into four levels, two bits in Gray code, so each place in time gives an i
 judged by the share of different bits at the most frequent offset; fewer than least_codes
 integers prove nothing.
 
-Search: equal fingerprints are one class. Two that align have an equal integer, so every
-integer of a class names a bucket, whatever the lengths, and all pairs of a bucket are aligned.
-All of a large bucket (over `limit` classes) are first aligned with its smallest class, those
-that it doesn't fit with the smallest of them, for `rounds` rounds. The links and groups are those
-of all alignments; the work grows with the square of the classes that have an integer in common.
-Pairs of large buckets are made where the codes are, in blocks of BLOCK classes, each pair in the
-bucket of its smallest common integer. Classes that fit, directly or through others, form a group.
+Search: equal fingerprints are one class. Two that align have an equal integer; every pair of
+classes that has one is aligned, so the links and groups are those of all alignments. Classes are
+dealt into `parts` by a hash, and each two parts meet in one task: the first lies there as an index
+of its integers, the second goes past it in batches, so codes are shuffled, pairs never. There are
+at least PARTS parts, and more where one would be larger than PART_BYTES; codes are shuffled once
+for each part, and the pairs grow with the square of the classes that have an integer in common.
+Classes that fit, directly or through others, form a group.
 
 The tables have no recordings. The query plays the UTF-8 bytes of texts as 8-bit samples at
 2 kHz, in windows of 256.
@@ -47,7 +47,8 @@ LEVELS = (-0.05, 0.0, 0.05)
 FLOOR = 0.05
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 CHUNK = 4096
-BLOCK = 128
+#: Least number of parts of a search, most bytes of codes of one, and equal integers or codes that are compared at once.
+PARTS, PART_BYTES, HITS = 8, 48 << 20, 1 << 21
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -142,22 +143,103 @@ def same(a: np.ndarray, b: np.ndarray, most_errors: float, least_overlap: float,
     return overlap >= max(least_codes, least_overlap * min(len(a), len(b))) and errors <= most_errors, offset, errors
 
 
-def block_pairs(key: int, one: list[dict], two: list[dict] | None) -> Iterator[tuple[dict, dict]]:
-    """Pairs (of one and two, or within one) whose smallest common integer is key."""
-    other = one if two is None else two
-    own = [np.unique(np.frombuffer(x["codes"], "<u4")) for x in other]
-    size = [len(c) for c in own]
-    codes, owner = np.concatenate(own), np.repeat(np.arange(len(own)), size)
-    codes, owner = codes[(order := np.argsort(codes, kind="stable"))], owner[order]
-    codes, owner = codes[(below := codes <= key)], owner[below]
-    for k, x in enumerate(one):
-        c = np.unique(np.frombuffer(x["codes"], "<u4"))
-        lower = np.isin(codes, c[c < key])
-        fresh = np.ones(len(other), bool)
-        fresh[owner[lower]] = False
-        for j in np.flatnonzero(fresh).tolist():
-            if two is not None or j > k:
-                yield x, other[j]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ..., sizes[i] numbers, for all i."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of consecutive places whose sizes add up to `most` or less, or of one place."""
+    total, k = np.cumsum(sizes), 0
+    while k < len(sizes):
+        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + most, "right")))
+        yield slice(k, end)
+        k = end
+
+
+class Part:
+    """Fingerprints, one after the other."""
+
+    def __init__(self, rep: np.ndarray, codes: list[bytes]) -> None:
+        self.rep, self.size = rep, np.array([len(c) // 4 for c in codes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.codes = np.frombuffer(b"".join(codes), "<u4")
+
+    def own(self, k: int) -> np.ndarray:
+        return self.codes[self.start[k] : self.start[k] + self.size[k]]
+
+
+class Index:
+    """A part whose integers can be looked up."""
+
+    def __init__(self, part: Part) -> None:
+        self.part = part
+        self.order = np.argsort(part.codes, kind="stable").astype(np.uint32 if len(part.codes) < 1 << 32 else np.int64)
+        self.sorted = part.codes[self.order]
+        self.owner = np.repeat(np.arange(len(part.rep), dtype=np.int32), part.size)
+
+    def links(self, other: Part, within: bool, most_errors: float, least_overlap: float, least_codes: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(a, b, offset, bit_errors) of what `same` finds between the part and other (within: is of this part, too), a < b."""
+        limits, x, y = (most_errors, least_overlap, least_codes), self.part, other
+        lo, hi = np.searchsorted(self.sorted, y.codes, "left"), np.searchsorted(self.sorted, y.codes, "right")
+        hits = np.add.reduceat(hi - lo, y.start) if len(y.codes) else np.zeros(0, np.int64)
+        for rows in portions(hits, HITS):
+            if hits[rows].sum() > HITS:  # one fingerprint with very many equal integers: pair by pair
+                yield self._one_by_one(y, rows.start, lo, hi, within, limits)
+                continue
+            at = slice(y.start[rows.start], y.start[rows.stop - 1] + y.size[rows.stop - 1])
+            n = hi[at] - lo[at]
+            i = self.order[ranges(lo[at], n)]
+            u = self.owner[i].astype(np.int64)
+            j = np.repeat(np.arange(at.start, at.stop), n)
+            v = np.repeat(np.repeat(np.arange(rows.start, rows.stop), y.size[rows]), n)
+            wanted = x.rep[u] < y.rep[v] if within else x.rep[u] != y.rep[v]
+            i, u, j, v = i[wanted].astype(np.int64), u[wanted], j[wanted], v[wanted]
+            if not len(u):
+                continue
+            first = x.rep[u] < y.rep[v]
+            offset = (i - x.start[u]) - (j - y.start[v])
+            offset = np.where(first, offset, -offset)
+            # Equal integers of each pair and offset, in this order; of the offsets of a pair the first of the most.
+            least, width = offset.min(), int(offset.max() - offset.min()) + 1
+            told, count = np.unique(((v - rows.start) * len(x.rep) + u) * width + (offset - least), return_counts=True)
+            pair = told // width
+            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            most = np.repeat(np.maximum.reduceat(count, head), np.diff(np.r_[head, len(pair)]))
+            top = np.flatnonzero(count == most)
+            top = top[np.r_[True, pair[top][1:] != pair[top][:-1]]]
+            offset, u, v = told[top] % width + least, pair[top] % len(x.rep), pair[top] // len(x.rep) + rows.start
+            yield from self._judged(y, u, v, offset, limits)
+
+    def _judged(self, y: Part, u: np.ndarray, v: np.ndarray, offset: np.ndarray, limits: tuple[float, float, int]) -> Iterator[tuple[np.ndarray, ...]]:
+        x, (most_errors, least_overlap, least_codes) = self.part, limits
+        first = x.rep[u] < y.rep[v]
+        m, n = np.where(first, x.size[u], y.size[v]), np.where(first, y.size[v], x.size[u])
+        start, stop = np.maximum(0, offset), np.minimum(m, offset + n)
+        ok = np.flatnonzero(stop - start >= np.maximum(least_codes, least_overlap * np.minimum(m, n)))
+        u, v, offset, first, start, size = u[ok], v[ok], offset[ok], first[ok], start[ok], (stop - start)[ok]
+        in_x, in_y = x.start[u] + np.where(first, start, start - offset), y.start[v] + np.where(first, start - offset, start)
+        for some in portions(size, HITS):
+            bits = np.bitwise_count(x.codes[ranges(in_x[some], size[some])] ^ y.codes[ranges(in_y[some], size[some])])
+            errors = np.add.reduceat(bits, np.cumsum(size[some]) - size[some], dtype=np.int64) / (32 * size[some])
+            near = errors <= most_errors
+            p, q = x.rep[u[some][near]], y.rep[v[some][near]]
+            yield np.minimum(p, q), np.maximum(p, q), offset[some][near], errors[near]
+
+    def _one_by_one(self, y: Part, v: int, lo: np.ndarray, hi: np.ndarray, within: bool, limits: tuple[float, float, int]) -> tuple[np.ndarray, ...]:
+        x, out = self.part, []
+        near = np.zeros(len(x.rep), bool)
+        at = np.arange(y.start[v], y.start[v] + y.size[v])
+        _, once = np.unique(y.codes[at], return_index=True)  # each place of the index is looked at once
+        for some in portions((hi - lo)[at[once]], HITS):
+            k = at[once][some]
+            near[self.owner[self.order[ranges(lo[k], hi[k] - lo[k])]]] = True
+        for u in np.flatnonzero(near & (x.rep < y.rep[v] if within else x.rep != y.rep[v])).tolist():
+            first = x.rep[u] < y.rep[v]
+            ok, offset, errors = same(*((x.own(u), y.own(v)) if first else (y.own(v), x.own(u))), *limits)
+            if ok:
+                out.append((min(x.rep[u], y.rep[v]), max(x.rep[u], y.rep[v]), offset, errors))
+        return tuple(np.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
 
 
 def fingerprints(media: DataFrame, id_col: str, media_col: str, rate: int = 11025, frame: int = 4096, hop: int = 1365, sample: str = "<i2") -> DataFrame:
@@ -183,63 +265,55 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, rate: int = 1102
     return mapped(rows, run, "id long, n_samples long, codes binary, fingerprint_sha256 string, short_sha256 string")
 
 
-def links(classes: DataFrame, limit: int = 16, rounds: int = 2, most_errors: float = 0.2, least_overlap: float = 0.5, least_codes: int = 8) -> DataFrame:
-    """(a, b, offset, bit_errors) of classes (rep, codes) that align."""
+def links(classes: DataFrame, limit: int = 16, rounds: int = 2, most_errors: float = 0.2, least_overlap: float = 0.5, least_codes: int = 8, parts: int | None = None) -> DataFrame:
+    """(a, b, offset, bit_errors) of classes (rep, codes) that align. limit and rounds, of an earlier search, change nothing."""
     limits = (most_errors, least_overlap, least_codes)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rep = b.column("rep").to_numpy(zero_copy_only=False)
-            own = [np.unique(np.frombuffer(c, "<u4")) for c in b.column("codes").to_pylist()]
-            key = np.concatenate(own).astype(np.int64) if own else []
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.repeat(rep, [len(k) for k in own]), pa.int64())], names=["key", "rep"])
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            for cols in found:
+                for k in range(0, len(cols[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "offset", "bit_errors"])
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [same(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), *limits) for x, y in zip(b.column("codes_a").to_pylist(), b.column("codes_b").to_pylist(), strict=True)]
-            ok, offset, errors = zip(*got, strict=True) if got else ((), (), ())
-            cols = [b.column("a"), b.column("b"), pa.array(ok, pa.bool_()), pa.array(offset, pa.int64()), pa.array(errors, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "ok", "offset", "bit_errors"])
+        def indexed() -> tuple[Index | None, Iterator[pa.RecordBatch]]:
+            one = Index(Part(np.concatenate([r for r, _ in lying]), [c for _, codes in lying for c in codes])) if lying else None
+            lying.clear()
+            return one, iter(()) if one is None or not itself else (x for piece in pieces(one.part) for x in told(one.links(piece, True, *limits)))
+
+        def pieces(part: Part) -> Iterator[Part]:
+            for k in range(0, len(part.rep), 512):
+                yield Part(part.rep[k : k + 512], [part.own(i).tobytes() for i in range(k, min(k + 512, len(part.rep)))])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, itself, lying, index = None, False, [], None
         for b in batches:
-            for k in range(b.num_rows):
-                row, out = b.slice(k, 1).to_pylist()[0], []
-                sides = [sorted((x for x in row["x"] if x["side"] == side), key=lambda x: x["rep"]) for side in (row["first"], row["second"])]
-                for x, y in block_pairs(row["key"], sides[0], None if row["first"] == row["second"] else sides[1]):
-                    x, y = (x, y) if x["rep"] < y["rep"] else (y, x)
-                    ok, offset, errors = same(np.frombuffer(x["codes"], "<u4"), np.frombuffer(y["codes"], "<u4"), *limits)
-                    if ok:
-                        out.append((x["rep"], y["rep"], offset, errors))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b", "offset", "bit_errors"])
-
-    classes = classes.where(F.octet_length("codes") >= 4 * least_codes)  # shorter ones fit nothing
-    one, two = classes.select(F.col("rep").alias("a"), F.col("codes").alias("codes_a")), classes.select(F.col("rep").alias("b"), F.col("codes").alias("codes_b"))
-
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        return staged(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "codes_a", "codes_b").mapInArrow(judged, "a long, b long, ok boolean, offset long, bit_errors double"), name)
-
-    buckets = staged(mapped(classes, keyed, "key long, rep long").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps")).where(F.size("reps") > 1), "buckets")
-    small = buckets.where(F.size("reps") <= limit).select("reps", F.posexplode("reps").alias("i", "a"))
-    found = checked(small.select("a", F.explode(F.slice("reps", F.col("i") + 2, F.size("reps"))).alias("b")), "pairs").where("ok")
-    hot = buckets.where(F.size("reps") > limit)
-    left = hot.select("key", F.explode("reps").alias("rep"))
-    fits = None
-    for _ in range(rounds):
-        centres = left.groupBy("key").agg(F.min("rep").alias("centre"))
-        at = staged(left.join(centres, "key").where("rep <> centre"), "centres")
-        now = checked(at.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "judged")
-        fits = now.where("ok") if fits is None else fits.unionByName(now.where("ok"))
-        left = at.join(now.where("not ok").select(F.col("a").alias("centre"), F.col("b").alias("rep")), ["centre", "rep"], "left_semi").select("key", "rep")
-    if fits is not None:
-        found = found.unionByName(fits)
-    last = F.expr(f"(size(reps) - 1) div {BLOCK}")
-    sided = hot.select("key", last.alias("last"), F.posexplode("reps").alias("i", "rep")).select("key", F.expr(f"i div {BLOCK}").alias("side"), "rep", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
-    dealt = sided.join(classes, "rep").select("key", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), F.struct("side", "rep", "codes").alias("x"))
-    block = dealt.groupBy("key", "first", "second").agg(F.collect_list("x").alias("x"))
-    found = found.select("a", "b", "offset", "bit_errors").unionByName(block.mapInArrow(blocks, "a long, b long, offset long, bit_errors double"))
-    return found.dropDuplicates(["a", "b"])
+            cells, moving = b.column("cell").to_numpy(), b.column("moving").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (moving[1:] != moving[:-1])) + 1).tolist(), b.num_rows]
+            for k, end in zip(cuts, cuts[1:], strict=False):
+                if k == end:
+                    continue
+                if cells[k] != cell:
+                    yield from indexed()[1]
+                    cell, itself, index = cells[k], b.column("itself")[k].as_py(), None
+                rep, codes = b.column("rep").slice(k, end - k).to_numpy(), b.column("codes").slice(k, end - k).to_pylist()
+                if not moving[k]:
+                    lying.append((rep, codes))
+                    continue
+                if lying:
+                    index = indexed()[0]
+                if index is not None:
+                    yield from told(index.links(Part(rep, codes), False, *limits))
+        yield from indexed()[1]
+
+    classes = classes.where(F.octet_length("codes") >= 4 * max(1, least_codes))  # shorter ones fit nothing
+    if parts is None:
+        size = classes.agg(F.coalesce(F.sum(F.octet_length("codes").cast("long")), F.lit(0))).first()[0]
+        parts = max(PARTS, -(-size // PART_BYTES))
+    of, other = F.col("part"), F.col("other")
+    low, high = F.least(of, other), F.greatest(of, other)
+    dealt = classes.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    dealt = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("cell"), (of > other).alias("moving"), (of == other).alias("itself"), "rep", "codes")
+    cells = dealt.repartitionById(parts * (parts + 1) // 2, "cell").sortWithinPartitions("cell", "moving")
+    return mapped(cells, met, "a long, b long, offset long, bit_errors double").dropDuplicates(["a", "b"])
 
 
 def grouped(media: DataFrame, id_col: str, media_col: str, rate: int = 11025, frame: int = 4096, hop: int = 1365, sample: str = "<i2", **search: float) -> DataFrame:

@@ -139,6 +139,25 @@ def test_chroma_links_clips_of_long_recordings(spark):
     assert {(r["a"], r["b"], r["offset"]) for r in chroma.links(fingerprint_rows(spark, rows)).collect()} == {(0, k, 600 * k) for k in range(1, 10)}
 
 
+@pytest.mark.parametrize("hits", [1 << 21, 50])
+def test_chroma_part_links_as_pair_by_pair(hits, monkeypatch):
+    monkeypatch.setattr(chroma, "HITS", hits)
+    rng = np.random.default_rng(5)
+    rows = [(k, noisy(rng, np.resize(rng.integers(0, 9, 30, np.uint32), n), range(0, n, 7))) for k, n in enumerate(rng.integers(8, 90, 60).tolist())]
+    rows += [(60 + k, noisy(rng, rows[k][1][k % 5 :], range(3))) for k in range(30)]
+    part = chroma.Part(np.array([i for i, _ in rows]), [c.astype("<u4").tobytes() for _, c in rows])
+    got = [x for cols in chroma.Index(part).links(part, True, 0.2, 0.5, 8) for x in zip(*(c.tolist() for c in cols), strict=True)]
+    want = [(a, b, offset, errors) for a, x in rows for b, y in rows if a < b and set(x) & set(y) for ok, offset, errors in [chroma.same(x, y, 0.2, 0.5, 8)] if ok]
+    assert len(want) >= 20 and sorted(got) == sorted(want)
+
+
+def test_chroma_shuffles_codes_not_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, np.concatenate([rng.integers(0, 2**32, 20, np.uint32), np.arange(k % 3, k % 3 + 12, dtype=np.uint32)])) for k in range(300)]
+    plan = chroma.links(fingerprint_rows(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("table, least", [("sf0.01", 6), ("sf0.1", 100)])
 def test_chroma_recall_of_different_fingerprints(spark, table, least):
     docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
