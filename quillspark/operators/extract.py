@@ -12,6 +12,7 @@ from quillspark.functions.dates import parse_age, parse_date
 from quillspark.functions.names import parse_cells
 from quillspark.functions.text import feminize_surname, first_non_empty, fold_ascii, given_norm, split_people, split_place_house, status_of, strip
 from quillspark.operators.identity import keep_ids
+from quillspark.storage import staged
 
 _TEXTS = "raw_text given_name surname given_norm surname_norm maiden_norm sex occupation marital_status place_text".split()
 MENTION = T.StructType(
@@ -167,17 +168,24 @@ def extract_events(records: DataFrame, corrections: DataFrame | None = None) ->
     return _events(corrected(records, corrections)).select("record_id", "event.*")
 
 
-def extract_mentions(records: DataFrame, corrections: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
-    """Mentions (id, record_id and the fields of MENTION); ids that previous has for (record_id, role, ordinal) stay.
+def read_mentions(records: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Mentions without ids: record_id, seq (their place in the record) and the fields of MENTION.
 
-    Each record is parsed where it lies: no shuffle before ids are given. The outer explode
-    keeps the optimizer from filtering on the size of the array first, which would parse
-    every cell twice.
+    Each record is parsed where it lies, without a shuffle. The outer explode keeps the optimizer
+    from filtering on the size of the array first, which would parse every cell twice.
     """
     r = _events(corrected(records, corrections))
     branches = [make(r.where(F.col("record_type") == t)).select("record_id", F.posexplode_outer("__all").alias("seq", "m")) for t, make in zip(EVENT_TYPES, (_births, _marriages, _deaths), strict=True)]
     found = branches[0].unionByName(branches[1]).unionByName(branches[2]).where("m is not null").select("record_id", "seq", "m.*")
-    found = found.withColumn("birth_year", F.nullif("birth_year", F.lit(0)))
+    return found.withColumn("birth_year", F.nullif("birth_year", F.lit(0)))
+
+
+def extract_mentions(records: DataFrame, corrections: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
+    """Mentions (id, record_id and the fields of MENTION); ids that previous has for (record_id, role, ordinal) stay.
+
+    They are written before ids are given: ranging them would else parse all cells twice, to sample and to shuffle.
+    """
+    found = staged(read_mentions(records, corrections), "mentions")
     return keep_ids(found, previous, ["record_id", "role", "ordinal"], ["record_id", "seq"], "id").drop("seq")
 
 

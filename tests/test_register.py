@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dataset, extract, graph, linkage, metadata, quality, search
-from quillspark.plans import analytics, snapshot
+from quillspark.operators import dataset, extract, graph, identity, linkage, metadata, quality, search
+from quillspark.plans import analytics, catalog, snapshot
 from quillspark.sources import pages, sinks
 from quillspark.sources.templates import combined, template
 from quillspark.streaming import pages as stream
@@ -296,3 +296,15 @@ def test_gaps_of_a_report_are_not_shuffled(spark):
     assert got[1]["gaps"] == list(range(2, 40_000)) and got[1]["duplicates"] == [40_000] and (got[1]["number_min"], got[1]["number_max"]) == (1, 40_000)
     assert all(got[k]["gaps"] is None and got[k]["duplicates"] is None for k in (2, 3)) and got[2]["number_min"] == 7 and got[3]["number_min"] is None
     assert "explode" not in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roles_are_counted_where_cells_lie(spark, monkeypatch):
+    """No ids are given and nothing is written for a count of roles."""
+
+    def written(*_):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(identity, "staged", written)
+    monkeypatch.setattr(extract, "staged", written)
+    got = {r["role"]: r["n"] for r in catalog.extracted_roles(spark, "/root/testdata/sf0.001").collect()}
+    assert got["otec"] > 0 and got["zenich"] * 2 == got["svedek"]
