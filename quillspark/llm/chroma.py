@@ -14,7 +14,8 @@ dealt into `parts` by a hash, and each two parts meet in one task: the first lie
 of its integers, the second goes past it in batches, so codes are shuffled, pairs never. There are
 at least PARTS parts, and more where one would be larger than PART_BYTES; codes are shuffled once
 for each part, and the pairs grow with the square of the classes that have an integer in common.
-Classes that fit, directly or through others, form a group.
+Classes that fit, directly or through others, form a group; a meeting gives a row for each of its
+classes that have links, not for each link.
 
 The tables have no recordings. The query plays the UTF-8 bytes of texts as 8-bit samples at
 2 kHz, in windows of 256.
@@ -22,7 +23,7 @@ The tables have no recordings. The query plays the UTF-8 bytes of texts as 8-bit
 Media too short for an integer are followed by silence up to one; of these, only equal samples
 are one class. Null and empty media have an empty fingerprint and form no group; media of any
 length are read whole, one at a time; of offsets with equally many integers the least counts;
-repeated rows give repeated rows; a null id takes part in no search and has its fingerprint's
+repeated rows give repeated rows; classes of one id have the sum of their links; a null id takes part in no search and has its fingerprint's
 group; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -179,7 +180,7 @@ class Index:
         self.owner = np.repeat(np.arange(len(part.rep), dtype=np.int32), part.size)
 
     def links(self, other: Part, within: bool, most_errors: float, least_overlap: float, least_codes: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(a, b, offset, bit_errors) of what `same` finds between the part and other (within: is of this part, too), a < b."""
+        """(u, v, offset, bit_errors) of what `same` finds between places u of the part and v of other; within: other is of the part too, each pair is found from its larger id."""
         limits, x, y = (most_errors, least_overlap, least_codes), self.part, other
         lo, hi = np.searchsorted(self.sorted, y.codes, "left"), np.searchsorted(self.sorted, y.codes, "right")
         hits = np.add.reduceat(hi - lo, y.start) if len(y.codes) else np.zeros(0, np.int64)
@@ -223,8 +224,7 @@ class Index:
             bits = np.bitwise_count(x.codes[ranges(in_x[some], size[some])] ^ y.codes[ranges(in_y[some], size[some])])
             errors = np.add.reduceat(bits, np.cumsum(size[some]) - size[some], dtype=np.int64) / (32 * size[some])
             near = errors <= most_errors
-            p, q = x.rep[u[some][near]], y.rep[v[some][near]]
-            yield np.minimum(p, q), np.maximum(p, q), offset[some][near], errors[near]
+            yield u[some][near], v[some][near], offset[some][near], errors[near]
 
     def _one_by_one(self, y: Part, v: int, lo: np.ndarray, hi: np.ndarray, within: bool, limits: tuple[float, float, int]) -> tuple[np.ndarray, ...]:
         x, out = self.part, []
@@ -238,7 +238,7 @@ class Index:
             first = x.rep[u] < y.rep[v]
             ok, offset, errors = same(*((x.own(u), y.own(v)) if first else (y.own(v), x.own(u))), *limits)
             if ok:
-                out.append((min(x.rep[u], y.rep[v]), max(x.rep[u], y.rep[v]), offset, errors))
+                out.append((u, v, offset, errors))
         return tuple(np.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
 
 
@@ -265,55 +265,105 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, rate: int = 1102
     return mapped(rows, run, "id long, n_samples long, codes binary, fingerprint_sha256 string, short_sha256 string")
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join a[i] and b[i] for all i in root, where each place has the smallest of its group."""
+    while len(a := a[(apart := root[a] != root[b])]):
+        b = b[apart]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while not np.array_equal(root, further := root[root]):
+            root[:] = further
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Index, Part | None, int | None]]:
+    """(index, other, base) of sorted cells: all that meets the index, then None; base is the place of other in the index's own part, None if it is of another."""
+    cell, itself, lying, index = None, False, [], None
+
+    def ended() -> Iterator[tuple[Index, Part | None, int | None]]:
+        one = index or (Index(Part(np.concatenate([r for r, _ in lying]), [c for _, codes in lying for c in codes])) if lying and itself else None)
+        if one is not None and itself:
+            for k in range(0, len(one.part.rep), 512):
+                rep = one.part.rep[k : k + 512]
+                yield one, Part(rep, [one.part.own(i).tobytes() for i in range(k, k + len(rep))]), k
+        if one is not None:
+            yield one, None, None
+
+    for b in batches:
+        cells, moving = b.column("cell").to_numpy(), b.column("moving").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (moving[1:] != moving[:-1])) + 1).tolist(), b.num_rows]
+        for k, end in zip(cuts, cuts[1:], strict=False):
+            if k == end:
+                continue
+            if cells[k] != cell:
+                yield from ended()
+                cell, itself, lying, index = cells[k], b.column("itself")[k].as_py(), [], None
+            rep, codes = b.column("rep").slice(k, end - k).to_numpy(), b.column("codes").slice(k, end - k).to_pylist()
+            if not moving[k]:
+                lying.append((rep, codes))
+                continue
+            if lying:
+                index = Index(Part(np.concatenate([r for r, _ in lying]), [c for _, own in lying for c in own]))
+                lying = []
+            if index is not None:
+                yield index, Part(rep, codes), None
+    yield from ended()
+
+
+def cut_rows(cols: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(cols[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in cols], names=names)
+
+
 def links(classes: DataFrame, limit: int = 16, rounds: int = 2, most_errors: float = 0.2, least_overlap: float = 0.5, least_codes: int = 8, parts: int | None = None) -> DataFrame:
     """(a, b, offset, bit_errors) of classes (rep, codes) that align. limit and rounds, of an earlier search, change nothing."""
-    limits = (most_errors, least_overlap, least_codes)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for cols in found:
-                for k in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "offset", "bit_errors"])
+        for index, other, base in meetings(batches):
+            for u, v, offset, errors in index.links(other, base is not None, most_errors, least_overlap, least_codes) if other is not None else ():
+                p, q = index.part.rep[u], other.rep[v]
+                yield from cut_rows([np.minimum(p, q), np.maximum(p, q), offset, errors], ["a", "b", "offset", "bit_errors"])
 
-        def indexed() -> tuple[Index | None, Iterator[pa.RecordBatch]]:
-            one = Index(Part(np.concatenate([r for r, _ in lying]), [c for _, codes in lying for c in codes])) if lying else None
-            lying.clear()
-            return one, iter(()) if one is None or not itself else (x for piece in pieces(one.part) for x in told(one.links(piece, True, *limits)))
+    return mapped(dealt(classes, least_codes, parts), met, "a long, b long, offset long, bit_errors double").dropDuplicates(["a", "b"])
 
-        def pieces(part: Part) -> Iterator[Part]:
-            for k in range(0, len(part.rep), 512):
-                yield Part(part.rep[k : k + 512], [part.own(i).tobytes() for i in range(k, min(k + 512, len(part.rep)))])
 
-        cell, itself, lying, index = None, False, [], None
-        for b in batches:
-            cells, moving = b.column("cell").to_numpy(), b.column("moving").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (moving[1:] != moving[:-1])) + 1).tolist(), b.num_rows]
-            for k, end in zip(cuts, cuts[1:], strict=False):
-                if k == end:
-                    continue
-                if cells[k] != cell:
-                    yield from indexed()[1]
-                    cell, itself, index = cells[k], b.column("itself")[k].as_py(), None
-                rep, codes = b.column("rep").slice(k, end - k).to_numpy(), b.column("codes").slice(k, end - k).to_pylist()
-                if not moving[k]:
-                    lying.append((rep, codes))
-                    continue
-                if lying:
-                    index = indexed()[0]
-                if index is not None:
-                    yield from told(index.links(Part(rep, codes), False, *limits))
-        yield from indexed()[1]
+def linked(classes: DataFrame, limit: int = 16, rounds: int = 2, most_errors: float = 0.2, least_overlap: float = 0.5, least_codes: int = 8, parts: int | None = None) -> DataFrame:
+    """(rep, root, n_links) for each class and meeting of two parts where it has links: how many, and one class that they reach. What `links` gives, without a row for each pair of a large group."""
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = count = None
+        for index, other, base in meetings(batches):
+            n = len(index.part.rep)
+            if root is None:
+                root, count = np.arange(n), np.zeros(n, np.int64)
+            if other is None:
+                some = np.flatnonzero(count)
+                yield from cut_rows([index.part.rep[some], index.part.rep[root[some]], count[some]], ["rep", "root", "n_links"])
+                root = None
+                continue
+            if base is None:  # the other's places come after those of the index
+                root, count = np.append(root, np.arange(n, n + len(other.rep))), np.append(count, np.zeros(len(other.rep), np.int64))
+            for u, v, _, _ in index.links(other, base is not None, most_errors, least_overlap, least_codes):
+                v = v + (n if base is None else base)
+                count += np.bincount(np.concatenate([u, v]), minlength=len(count))
+                joined(root, u, v)
+            if base is None:
+                some = n + np.flatnonzero(count[n:])
+                yield from cut_rows([other.rep[some - n], index.part.rep[root[some]], count[some]], ["rep", "root", "n_links"])
+                root, count = root[:n], count[:n]
+
+    return mapped(dealt(classes, least_codes, parts), met, "rep long, root long, n_links long")
+
+
+def dealt(classes: DataFrame, least_codes: int, parts: int | None) -> DataFrame:
+    """Classes once for each meeting (cell) of their part with one of `parts`, those that lie first."""
     classes = classes.where(F.octet_length("codes") >= 4 * max(1, least_codes))  # shorter ones fit nothing
     if parts is None:
         size = classes.agg(F.coalesce(F.sum(F.octet_length("codes").cast("long")), F.lit(0))).first()[0]
         parts = max(PARTS, -(-size // PART_BYTES))
     of, other = F.col("part"), F.col("other")
     low, high = F.least(of, other), F.greatest(of, other)
-    dealt = classes.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    dealt = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("cell"), (of > other).alias("moving"), (of == other).alias("itself"), "rep", "codes")
-    cells = dealt.repartitionById(parts * (parts + 1) // 2, "cell").sortWithinPartitions("cell", "moving")
-    return mapped(cells, met, "a long, b long, offset long, bit_errors double").dropDuplicates(["a", "b"])
+    met = classes.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = met.select((high * (high + 1) / 2 + low).cast("int").alias("cell"), (of > other).alias("moving"), (of == other).alias("itself"), "rep", "codes")
+    return met.repartitionById(parts * (parts + 1) // 2, "cell").sortWithinPartitions("cell", "moving")
 
 
 def grouped(media: DataFrame, id_col: str, media_col: str, rate: int = 11025, frame: int = 4096, hop: int = 1365, sample: str = "<i2", **search: float) -> DataFrame:
@@ -326,9 +376,9 @@ def grouped(media: DataFrame, id_col: str, media_col: str, rate: int = 11025, fr
     fps = staged(fingerprints(media, id_col, media_col, rate, frame, hop, sample), "fingerprints")
     classes = fps.where("octet_length(codes) > 0 AND id IS NOT NULL").groupBy("fingerprint_sha256", "short_sha256").agg(F.min("id").alias("rep"), F.first("codes").alias("codes"))
     classes = staged(classes, "classes")
-    found = staged(links(classes.select("rep", "codes"), **search), "links")
-    roots = connected_components(found.select("a", "b"))
-    n = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    found = staged(linked(classes.select("rep", "codes"), **search), "links")
+    roots = connected_components(found.select(F.least("rep", "root").alias("a"), F.greatest("rep", "root").alias("b")).distinct())
+    n = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     named = classes.select("fingerprint_sha256", "short_sha256", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
     out = fps.join(named, ["fingerprint_sha256", "short_sha256"], "left")
     links_of = F.when(F.col("rep").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long")))

@@ -146,11 +146,34 @@ def test_chroma_part_links_as_pair_by_pair(hits, monkeypatch):
     rows = [(k, noisy(rng, np.resize(rng.integers(0, 9, 30, np.uint32), n), range(0, n, 7))) for k, n in enumerate(rng.integers(8, 90, 60).tolist())]
     rows += [(60 + k, noisy(rng, rows[k][1][k % 5 :], range(3))) for k in range(30)]
     part = chroma.Part(np.array([i for i, _ in rows]), [c.astype("<u4").tobytes() for _, c in rows])
-    got = [x for cols in chroma.Index(part).links(part, True, 0.2, 0.5, 8) for x in zip(*(c.tolist() for c in cols), strict=True)]
+    got = [x for u, v, *rest in chroma.Index(part).links(part, True, 0.2, 0.5, 8) for x in zip(*(c.tolist() for c in (part.rep[u], part.rep[v], *rest)), strict=True)]
     want = [(a, b, offset, errors) for a, x in rows for b, y in rows if a < b and set(x) & set(y) for ok, offset, errors in [chroma.same(x, y, 0.2, 0.5, 8)] if ok]
     assert len(want) >= 20 and sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_chroma_large_groups_without_a_row_per_link(spark, parts):
+    rng = np.random.default_rng(7)
+    whole = rng.integers(0, 2**32, 40, np.uint32)
+    rows = [(k, noisy(rng, whole, [20])) for k in range(0, 300, 2)] + [(k, rng.integers(0, 2**32, 40, np.uint32)) for k in range(1, 30, 2)]
+    rows.append((301, np.concatenate([rows[-1][1][:39], rng.integers(0, 2**32, 1, np.uint32)])))
+    classes = fingerprint_rows(spark, rows)
+    own, got = chroma.links(classes, parts=parts).collect(), chroma.linked(classes, parts=parts).collect()
+    want = Counter(i for r in own for i in (r["a"], r["b"]))
+    assert len(own) > 2000 and len(got) <= (parts + 1) * len(rows)
+    assert want == sum((Counter({r["rep"]: r["n_links"]}) for r in got), Counter())
+
+    def groups(edges):
+        of = {i: {i} for i, _ in rows}
+        for a, b in edges:
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                of |= dict.fromkeys(of[b], of[a])
+        return {frozenset(g) for g in of.values()}
+
+    assert groups((r["a"], r["b"]) for r in own) == groups((r["rep"], r["root"]) for r in got)
+
+
 def test_chroma_shuffles_codes_not_pairs(spark):
     rng = np.random.default_rng(6)
     rows = [(k, np.concatenate([rng.integers(0, 2**32, 20, np.uint32), np.arange(k % 3, k % 3 + 12, dtype=np.uint32)])) for k in range(300)]
