@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates as D
+from quillspark.functions import similarity
 from quillspark.functions import text as X
 from quillspark.functions.names import norm_given, norm_surname, read_cell, split_name
 from quillspark.functions.similarity import edit_distance, edits, jaro, jaro_winkler
@@ -133,3 +134,12 @@ def test_edits_of_long_texts_are_few():
     assert edits(whole, whole.replace("\n", " ", 200)) <= 200
     assert edits(whole, "".join(c for k, c in enumerate(whole) if k % 3000 != 1500)) == 100
     assert time.process_time() - start < 10  # by bit vectors alone: minutes
+
+
+def test_many_similarities_at_once():
+    """Those of the pairs one by one, to the last bit, whatever their lengths."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcé漢\0") for _ in range(r.randrange(12))) * r.choice((1, 1, 1, 4))
+    pairs = [(word(), word()) for _ in range(3000)] + [("a", ""), ("", ""), ("martha", "marhta"), ("x" * 70, "x" * 69 + "y"), ("ab\0", "ab")]
+    want = [similarity.jaro_winkler(x, y) if x and y and x != y else float(x == y != "") for x, y in pairs]
+    assert similarity.similarities(pairs).tolist() == want and sum(0 < s < 1 for s in want) > 1000 and not len(similarity.similarities([]))

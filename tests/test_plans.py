@@ -74,3 +74,14 @@ def test_snapshots_are_gzipped(spark):
     at = roundtrips._snapshot(spark, "/root/testdata/sf0.001")
     names = [f.name for f in Path(at, "details").iterdir() if f.name.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names)
+
+
+def test_only_some_pairs_are_suggested(spark):
+    """A function of ids leaves all links and of the other pairs those it names; none is made by a broadcast of mentions."""
+    m, e = people(spark, SF)
+    m = linkage.enriched(m, e)
+    some = lambda a, b: (a + b) % 3 == 1
+    of = lambda p: {tuple(r) for r in p.select("a", "b", "score").collect()}
+    every, part = of(linkage.scored_pairs(m)), of(linkage.scored_pairs(m, lambda a, b: F.when(some(a, b), 0.5).otherwise(0.72)))
+    assert part == {x for x in every if x[2] >= 0.72 or (x[0] + x[1]) % 3 == 1} and len(part) < len(every)
+    assert "BroadcastHashJoin [block" not in plan(linkage.candidate_pairs(m))
