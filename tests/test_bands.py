@@ -148,3 +148,13 @@ def test_images_opened_in_the_task(spark):
     found = bands.banded(df.select("id"), opened)
     assert "content" not in found.columns
     assert sorted(found.collect()) == sorted(bands.banded(df, keep=False).collect())
+
+
+def test_crops_of_images_opened_in_the_task(spark):
+    """Bands are cut from images that are opened again, not passed on."""
+    kept = [bands.encoded(drawn.drawn([40 + n, 50], [5, 6 + n], [True, n != 2])) for n in range(4)] + [None]
+    df = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in enumerate(kept)], "id long, content binary")
+    opened = lambda b: [kept[i] for i in b.column(0).to_pylist()]
+    want = bands.cut_all(bands.banded(df)).select("id", "crops").collect()
+    assert sorted(bands.cut_all(bands.banded(df.select("id"), opened), opened).select("id", "crops").collect()) == sorted(want)
+    assert [len(r["crops"] or ()) for r in sorted(want)] == [2, 2, 1, 2, 0]
