@@ -85,3 +85,49 @@ def test_only_some_pairs_are_suggested(spark):
     every, part = of(linkage.scored_pairs(m)), of(linkage.scored_pairs(m, lambda a, b: F.when(some(a, b), 0.5).otherwise(0.72)))
     assert part == {x for x in every if x[2] >= 0.72 or (x[0] + x[1]) % 3 == 1} and len(part) < len(every)
     assert "BroadcastHashJoin [block" not in plan(linkage.candidate_pairs(m))
+
+
+def _counted_scores(monkeypatch):
+    """The steps in which pairs are scored, one entry each."""
+    made, whole = [], linkage._explained
+    monkeypatch.setattr(linkage, "_explained", lambda m, least: made.append(m) or whole(m, least))
+    return made
+
+
+def test_constraints_on_scored_pairs_cost_no_second_scoring(spark, monkeypatch):
+    from quillspark.plans import people as P
+
+    made = _counted_scores(monkeypatch)
+    got = P.linkage_constrained(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    m, e = people(spark, "/root/testdata/sf0.001")
+    want = linkage.link(m, e, P._constraints(linkage.scored_pairs(linkage.enriched(m, e)))).person_mentions
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_reruns_score_what_has_changed(spark, tmp_path, monkeypatch):
+    """A rerun scores nothing if all mentions are as they were, else pairs with one that isn't; candidates are those of a whole run."""
+    from quillspark.sources.versions import Versions
+
+    m, e = people(spark, "/root/testdata/sf0.001")
+    v = Versions(spark, f"{tmp_path}/v")
+    linkage.rebuild(v, m.where("id % 7 <> 3"), e, t=linkage.Thresholds(flag=0.8))
+    made = _counted_scores(monkeypatch)
+    candidates = lambda c: sorted((r["mention_a"], r["mention_b"], r["score"], tuple(sorted(r["features"].items())), r["accepted"]) for r in c.collect())
+    pairs = lambda df: {(r["a"], r["b"]) for r in df.select("a", "b").collect()}
+    linkage.rebuild(v, m, e)
+    again = linkage._explained(made[0], 0.5)
+    whole = linkage.link(m, e, t=linkage.Thresholds(flag=0.8))
+    assert 0 < len(pairs(again)) < len(pairs(whole.pairs)) and pairs(v.read("match_pairs")) == pairs(whole.pairs)
+    n = len(made)
+    # One mention goes, one gets another place, and the bound of suggestions is higher: the rest is kept.
+    less = m.where("id <> 10").withColumn("place_text", F.when(F.col("id") == 20, "elsewhere").otherwise(F.col("place_text")))
+    linkage.rebuild(v, less, e, t=linkage.Thresholds(flag=0.8, suggest=0.6))
+    assert len(made) == n + 1 and made[-1].where("fresh").count() < 10
+    first = linkage.link(less, e, t=linkage.Thresholds(flag=0.8, suggest=0.6))
+    assert pairs(v.read("match_pairs")) == pairs(first.pairs)
+    known = lambda c: sorted(x[:4] for x in candidates(c.where("accepted")))
+    assert known(v.read("match_candidates")) == known(first.candidates)
+    n = len(made)
+    linkage.rebuild(v, less, e)
+    assert len(made) == n and candidates(v.read("match_candidates")) == candidates(v.read("match_candidates", 3))
