@@ -131,3 +131,23 @@ def test_reruns_score_what_has_changed(spark, tmp_path, monkeypatch):
     n = len(made)
     linkage.rebuild(v, less, e)
     assert len(made) == n and candidates(v.read("match_candidates")) == candidates(v.read("match_candidates", 3))
+
+
+def test_snapshots_broadcast_no_persons(spark):
+    """Neither persons nor books are broadcast, however small their files; relations are read, not made, by each part."""
+    from dataclasses import replace
+
+    from quillspark.plans import snapshot
+
+    r = register(spark, SF)
+    books = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS id", "c_name AS name")
+    records = r.records.selectExpr("o_orderkey AS record_id", "CAST(o_custkey AS STRING) AS book_id", "'x.png' AS file", "0 AS row_idx", "'' AS record_type")
+    none = spark.createDataFrame([], "mention_a long, mention_b long, score double, accepted boolean")
+    whole = replace(r, records=records, books=books, person_mentions=r.person_mentions.selectExpr("*", "1.0D AS confidence", "'auto' AS source"), events=r.events.selectExpr("*", "'' AS house_no"))
+    apart = snapshot._apart(whole)
+    keys = ("person_a", "person_b", "parent", "otec_id", "matka_id", "person_id", "other_id", "book_id")
+    found = lambda r: {k for f in (*snapshot.ANALYSES.values(), lambda r: snapshot.details(r, none)) for k in keys if f"BroadcastHashJoin [{k}#" in plan(f(r))}
+    assert found(whole) and not found(apart)
+    assert all("lineitem" not in plan(snapshot.ANALYSES[k](apart)) for k in ("family-size", "top-families"))
+    for name in ("family-size", "top-families", "marriage-age"):
+        assert sorted(map(str, snapshot.ANALYSES[name](whole).collect())) == sorted(map(str, snapshot.ANALYSES[name](apart).collect()))
